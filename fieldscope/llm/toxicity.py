@@ -1,6 +1,7 @@
 """Toxic passages by maximum-scoring segments.
 
-Words get the log-odds of toxic against clean training text under a Dirichlet prior; those whose log-odds differ from 0 by
+Words get the log-odds of toxic against clean training texts (a word counts once a text, so that one text alone can't make it
+toxic) under a Dirichlet prior; those whose log-odds differ from 0 by
 MIN_Z standard deviations keep them, all others only a small negative drift. A linear scan finds every maximal scoring segment of a
 text. Under clean word frequencies the expected number of segments of score S in n words is K n exp(-lambda S) (the extreme-value law of
 local scores); lambda solves sum p(w) exp(lambda s(w)) = 1 and K is fitted to clean training texts. Segments with an expectation below
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from fieldscope.llm.common import ddl, durable, whole
 
-SAMPLE_ROWS, MIN_Z, MAX_E, DRIFT = 20_000, 4.0, 0.01, 0.05
+SAMPLE_ROWS, MIN_Z, MAX_E, DRIFT = 20_000, 3.0, 0.01, 0.05
 WORDS = re.compile(r"[^\W_]+")
 
 
@@ -70,7 +71,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 class Model:
     """Word scores, extreme-value parameters, and the logistic curve over the summed evidence."""
 
-    def __init__(self, scores: dict[str, float], lam: float, ln_k: float, curve: tuple[float, float]):
+    def __init__(self, scores: dict[str, float], lam: float, ln_k: float, curve: tuple[float, ...]):
         self.scores, self.lam, self.ln_k, self.curve = scores, lam, ln_k, curve
 
     def passages(self, text: str) -> tuple[int, list[tuple[int, int, float, float]]]:
@@ -87,8 +88,9 @@ class Model:
         return len(words), found
 
     def score(self, found: list) -> float:
-        a, b = self.curve
-        return 1 / (1 + math.exp(-min(50.0, max(-50.0, a + b * math.log1p(sum(f[3] for f in found))))))
+        none, some, slope = self.curve
+        x = none + (some + slope * math.log1p(sum(f[3] for f in found)) if found else 0.0)
+        return 1 / (1 + math.exp(-min(50.0, max(-50.0, x))))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, holdout: bool = True, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -106,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ho
 
         for b in batches:
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                n[label == 1].update(WORDS.findall(text.lower()))
+                n[label == 1].update(set(WORDS.findall(text.lower())))
                 if len(n[0]) + len(n[1]) > 400_000:
                     yield flush()
         yield flush()
@@ -115,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ho
     counts = durable(counts)
     n0, n1 = (float(x or 0) for x in counts.agg(F.sum("n0"), F.sum("n1")).first())
     if not n0 or not n1:
-        return Model({}, 1.0, 0.0, (math.log(0.05 / 0.95), 1.0))
+        return Model({}, 1.0, 0.0, (math.log(0.05 / 0.95), 0.0, 1.0))
     prior = 0.5 + 100 * (F.col("n0") + F.col("n1")) / (n0 + n1)
     odds = F.log((F.col("n1") + prior) / n1) - F.log((F.col("n0") + prior) / n0)
     z = odds / F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
@@ -131,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ho
         middle = (low + high) / 2
         low, high = (middle, high) if excess(middle) < 0 else (low, middle)
     lam = low
-    raw = Model(scores, lam, 0.0, (0.0, 1.0))
+    raw = Model(scores, lam, 0.0, (0.0, 0.0, 1.0))
 
     def best(batches):
         for b in batches:
@@ -156,14 +158,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ho
     return Model(scores, lam, ln_k, logistic(x, y))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple[float, float]:
-    """Intercept and slope by Newton's method, the slope with a small ridge."""
-    m, w = np.stack([np.ones_like(x), x], axis=1), np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple[float, float, float]:
+    """Intercept, step where there is evidence, and slope, by Newton's method with a small ridge on the latter two."""
+    m, w, pull = np.stack([np.ones_like(x), x > 0, x], axis=1), np.zeros(3), np.array([1e-6, ridge, ridge])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(m @ w, -30, 30)))
-        h = (m * (p * (1 - p))[:, None]).T @ m + np.diag([1e-6, ridge])
-        w = w + np.clip(np.linalg.solve(h, m.T @ (y - p) - np.array([0, ridge]) * w), -2, 2)
-    return float(w[0]), float(w[1])
+        h = (m * (p * (1 - p))[:, None]).T @ m + np.diag(pull)
+        w = w + np.clip(np.linalg.solve(h, m.T @ (y - p) - pull * w), -2, 2)
+    return tuple(map(float, w))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
