@@ -7,7 +7,7 @@ mu + radius of the pivot, so the right ones that near the boundary are also sent
 recursion runs on arrays down to small leaves, which are compared whole; a shard returns a star for each of its groups, never all pairs.
 The stars are joined by alternating large-star and small-star steps.
 
-Wide fingerprints are searched in lanes: each lane is a choice of 32 of the bits with a tree of its own, and a pair that a lane brings
+Wide fingerprints are searched in lanes: each lane is a choice of LANE_BITS of the bits with a tree of its own, and a pair that a lane brings
 together is linked if the whole fingerprints differ in few enough bits.
 
 Defined results: null and empty texts, and those without words, have fingerprint zero and are linked with each other; any length; rows
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from fieldscope.llm.common import ddl, durable, whole
 
-SEED, SAMPLE, LEAF = 42, 8192, 96
+SEED, SAMPLE, LEAF, LANE_BITS = 42, 8192, 64, 24
+#: A boundary near which more than this share of the rows lies divides too little to be worth its copies.
+MOST_COPIED = 0.45
 
 
 def hashes(text: str, shingle: int) -> np.ndarray:
@@ -69,11 +71,11 @@ def fingerprints(df: DataFrame, shingle: int, width: int = 1, id_col: str = "doc
 
 
 def lanes_of(width: int, lanes: int) -> list[np.ndarray]:
-    """The bits of each lane; one lane of all bits, or `lanes` choices of 32."""
+    """The bits of each lane; one lane of all bits, or `lanes` choices of LANE_BITS, apart from each other as far as possible."""
     if lanes == 1 and width == 1:
         return [np.arange(64)]
-    rng = np.random.default_rng(7)
-    return [x[:32] for _ in range(-(-lanes // (2 * width))) for x in np.split(rng.permutation(64 * width), 2 * width)][:lanes]
+    rng, each = np.random.default_rng(7), 64 * width // LANE_BITS
+    return [x for _ in range(-(-lanes // each)) for x in rng.permutation(64 * width)[: each * LANE_BITS].reshape(each, LANE_BITS)][:lanes]
 
 
 def lane_values(fps: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -101,9 +103,9 @@ def grow(values: np.ndarray, depth: int, radius: int):
         pivot = values[(i * 7919) % len(values)]
         d = np.bitwise_count(values ^ pivot)
         mu = split_at(d, radius)
-        options.append((max((d <= mu + radius).sum(), (d > mu).sum()), i, pivot, mu, d))
-    most, _, pivot, mu, d = min(options, key=lambda x: x[:2])
-    if most > 0.95 * len(values):
+        options.append((((d > mu) & (d <= mu + radius)).sum(), i, pivot, mu, d))
+    copied, _, pivot, mu, d = min(options, key=lambda x: x[:2])
+    if copied > MOST_COPIED * len(values) or not (d > mu + radius).any():
         return None
     return (pivot, mu, grow(values[d <= mu + radius], depth - 1, radius), grow(values[d > mu], depth - 1, radius))
 
@@ -151,16 +153,16 @@ def search(values: np.ndarray, fps: np.ndarray, rows: np.ndarray, radius: int, w
             d = np.bitwise_count(values[rows] ^ values[rows[(k * 7919) % len(rows)]])
             mu = split_at(d, radius)
             left, right = rows[d <= mu + radius], rows[d > mu]
-            if max(len(left), len(right)) <= 0.9 * len(rows):
+            if len(left) + len(right) <= (1 + MOST_COPIED) * len(rows) and max(len(left), len(right)) < 0.95 * len(rows):
                 todo += [left, right]
                 break
-        else:  # so dense that no boundary divides it: flood from row to row, which leaves few to compare
+        else:  # so dense that no boundary divides it: flood from row to row, which leaves few to compare where rows are linked
             rest = rows
             while len(rest):
                 front, rest = [rest[0]], rest[1:]
                 while front and len(rest):
                     x = front.pop()
-                    near = (np.bitwise_count(values[rest] ^ values[x]) <= radius) & (np.bitwise_count(fps[rest] ^ fps[x]).sum(axis=1, dtype=np.int64) <= within)
+                    near = np.bitwise_count(fps[rest] ^ fps[x]).sum(axis=1, dtype=np.int64) <= within
                     for y in rest[near].tolist():
                         union.join(int(x), y)
                     front += rest[near].tolist()
@@ -239,7 +241,7 @@ def hex_of(fp: str = "fp"):
 
 
 #: For a similarity (Jaccard) of 0.8 of sets of shingles the angle of their vectors is arccos(0.889), which 39 of 256 bits show on average.
-STAGE = {"shingle": 5, "width": 4, "lanes": 16, "radius": 2, "within": 42, "shard_rows": 32_768}
+STAGE = {"shingle": 5, "width": 4, "lanes": 16, "radius": 1, "within": 42, "shard_rows": 32_768}
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -55,17 +55,17 @@ def measure(text: str) -> tuple[int, int, int, int, int, int, int]:
 
 
 def votes(m: tuple) -> tuple[int, ...]:
+    """Two rules recognise prose or abstain, five recognise a defect or abstain."""
     n, chars, symbols, dup, repeated, upper, lines = m
-    band = lambda x, good, bad: 1 if x <= good else -1 if x >= bad else 0
-    mean = chars / max(1, n)
+    mean, symbols, dup, repeated, upper = chars / max(1, n), symbols / max(1, n), dup / max(1, lines), repeated / max(1, n), upper / max(1, chars)
     return (
-        1 if n >= 80 else -1 if n < 50 else 0,
-        1 if 3 <= mean <= 12 else -1 if mean < 2 or mean > 20 else 0,
-        band(symbols / max(1, n), 0.02, 0.15),
-        band(dup / max(1, lines), 0.05, 0.3),
-        band(repeated / max(1, n), 0.1, 0.4),
-        band(upper / max(1, chars), 0.15, 0.4),
-        1 if n and lines and 3 <= n / lines <= 400 else 0,
+        int(3 <= mean <= 12 and symbols < 0.05 and upper < 0.2 and repeated < 0.2),
+        int(n >= 20 and 3 <= n / max(1, lines) <= 400 and repeated < 0.1 and symbols < 0.1 and upper < 0.3),
+        -int(symbols >= 0.15),
+        -int(dup >= 0.3),
+        -int(repeated >= 0.3),
+        -int(upper >= 0.4),
+        -int(mean < 2 or mean > 20),
     )
 
 
