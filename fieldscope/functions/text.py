@@ -1,0 +1,13 @@
+"""Scalar functions shared by listings and exports."""
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def csv_field(c: Column) -> Column:
+    """RFC 4180 quoting."""
+    return F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))).otherwise(c)
+
+
+def clamp(c: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), c))

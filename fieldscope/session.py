@@ -1,0 +1,10 @@
+"""Session factory with the settings the operators assume."""
+
+from pyspark.sql import SparkSession
+
+
+def session(app: str = "fieldscope", **conf: str) -> SparkSession:
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    for k, v in conf.items():
+        builder = builder.config(k.replace("__", "."), v)
+    return builder.getOrCreate()
