@@ -82,7 +82,7 @@ def lane_values(fps: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """fps: (n, width) words. The lane's bits as one word each."""
     if len(bits) == 64:
         return fps[:, 0]
-    chosen = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")[:, bits]
+    chosen = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), 8 * fps.shape[1]), axis=1, bitorder="little")[:, bits]
     return np.ascontiguousarray(np.packbits(np.pad(chosen, ((0, 0), (0, 64 - len(bits)))), axis=1, bitorder="little")).view("<u8")[:, 0]
 
 
