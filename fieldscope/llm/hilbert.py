@@ -3,7 +3,8 @@
 Metadata columns are quantised to a few bits each and the cell's place on the Hilbert curve through that grid is looked up. Rows are
 ordered by (curve index, bucket of the id's hash, id) and the order is cut into runs whose counts differ by one at most, so a shard's
 files cover a compact region of all dimensions. The rank of a row is the number of rows in earlier (cell, bucket) groups plus its place
-in its own group; only counts of groups are summed globally, and a cell that holds a third of all rows is split over its buckets.
+in its own group; only counts of groups are summed globally. A cell has a bucket for every BUCKET_ROWS of its rows, so that one which holds
+a third of all rows is split accordingly. Only the counts of cells, 2**16 at most, are broadcast by intent.
 
 Defined results: a null dimension is quantised as 0; null text has no bytes; ties and repeated rows get places of their own; an empty
 table gives no rows; columns not named are not read. law is always "rows"; grown_shard is null.
@@ -14,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARDS, BITS, BUCKET_ROWS = 24, 4, 20_000
+from fieldscope.llm.common import durable
+
+SHARDS, BITS, BUCKET_ROWS = 24, 4, 1000
 
 
 def curve(dims: int, bits: int) -> list[int]:
@@ -58,7 +61,7 @@ def quantised_size(column: str, bits: int = BITS) -> Column:
     return F.least(F.when(n > 0, F.length(F.bin(n))).otherwise(0), F.lit((1 << bits) - 1))
 
 
-def id_bucket(id_col: str, buckets: int) -> Column:
+def id_bucket(id_col: str, buckets: Column) -> Column:
     return F.coalesce(F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(0)) % buckets
 
 
@@ -67,14 +70,16 @@ def shard(df: DataFrame, dims: list[Column], shards: int = SHARDS, bits: int = B
     code = F.lit(0)
     for d in dims:
         code = code * (1 << bits) + d
-    rows_total = df.count()
-    buckets = max(1, -(-rows_total // BUCKET_ROWS))
     cell = F.element_at(F.array(*(F.lit(h) for h in curve(len(dims), bits))), code.cast("int") + 1)
-    place = df.withColumn("__cell", cell).withColumn("__bucket", id_bucket(id_col, buckets))
+    celled = df.withColumn("__cell", cell)
+    cell_rows = durable(celled.groupBy("__cell").agg(F.count("*").alias("__rows")))
+    rows_total = cell_rows.agg(F.sum("__rows")).first()[0] or 0
+    split = cell_rows.select("__cell", F.expr(f"cast((__rows + {BUCKET_ROWS - 1}) div {BUCKET_ROWS} as bigint)").alias("__buckets"))
+    place = celled.join(F.broadcast(split), "__cell").withColumn("__bucket", id_bucket(id_col, F.col("__buckets")))
     # One row a group; the cells are 2**16 at most, and within a cell the sum runs over its buckets.
     groups = place.groupBy("__cell", "__bucket").agg(F.count("*").alias("__n"))
     before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = groups.groupBy("__cell").agg(F.sum("__n").alias("__n")).select("__cell", before(Window.orderBy("__cell")).alias("__cells_before"))
+    cells = cell_rows.select("__cell", F.col("__rows").alias("__n")).select("__cell", before(Window.orderBy("__cell")).alias("__cells_before"))
     groups = groups.withColumn("__buckets_before", before(Window.partitionBy("__cell").orderBy("__bucket")))
     first = groups.join(cells, "__cell").select("__cell", "__bucket", (F.col("__cells_before") + F.col("__buckets_before")).alias("__before"))
     text = F.coalesce(F.col(text_col), F.lit(""))
