@@ -37,3 +37,16 @@ def signals(data: bytes, database: list[dbc.Signal]) -> Iterator[tuple[str, floa
     for ts, can, frame in frames(data):
         for s in known.setdefault(can, dbc.lookup(database, can)):
             yield f"{can & 0x3F}/{s.name}", ts, dbc.decode(s, frame)
+
+
+def read_files(files, database: list[dbc.Signal]):
+    """log_id, entry (device/signal), seq, ts, value of logs listed with format binaryFile; the database is a small list."""
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                name = path.rsplit("/", 1)[-1].removesuffix(".revlog")
+                yield pd.DataFrame(((name, entry, seq, ts, v) for seq, (entry, ts, v) in enumerate(signals(bytes(data), database))), columns=["log_id", "entry", "seq", "ts", "value"])
+
+    return files.select("path", "content").mapInPandas(run, "log_id string, entry string, seq long, ts double, value double")

@@ -53,3 +53,9 @@ def decode_array(name: str, payload: bytes) -> list[dict[str, float]] | None:
         return None
     n = struct.calcsize(layout)
     return [decode(name, payload[i : i + n]) for i in range(0, len(payload) - n + 1, n)]
+
+
+def listing(spark):
+    """name, size (bytes), fields of every known struct."""
+    rows = [(n, struct.calcsize(f), fields.split()) for n, (f, fields) in sorted((LAYOUTS | OWN).items())]
+    return spark.createDataFrame(rows, "name string, size int, fields array<string>")

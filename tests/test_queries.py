@@ -3,10 +3,12 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
-from fieldscope import queries
+from fieldscope import queries, tool_queries
 
+SQL = queries.ORACLE_SQL | tool_queries.ORACLE_SQL
 DATA = "/root/testdata/sf0.001"
 
 
@@ -18,9 +20,17 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def rows(d):
+    plain = lambda x: None if pd.isna(x) else int(x) if isinstance(x, float) and x.is_integer() else x
+    return sorted(repr([plain(x) for x in r]) for r in d[sorted(d.columns)].astype(object).itertuples(index=False, name=None))
+
+
+@pytest.mark.parametrize("name", SQL)
 def test_equals_sql(spark, con, name):
-    got = queries.QUERIES[name](spark, DATA).toPandas()
-    want = con.sql(queries.ORACLE_SQL[name]).df()
-    rows = lambda d: sorted(repr([None if x != x else x for x in r]) for r in d[sorted(d.columns)].itertuples(index=False, name=None))
+    got = (queries.QUERIES | tool_queries.QUERIES)[name](spark, DATA).toPandas()
+    want = con.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_every_query_is_registered_once():
+    assert not queries.QUERIES.keys() & tool_queries.QUERIES.keys()
