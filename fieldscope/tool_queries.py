@@ -282,12 +282,13 @@ def sync_status(spark, sf_dir):
     return rounded(fleet.sync_status(fleet.set_offset(syncs, "7", 2.5, "can")))
 
 
-@query(f"WITH {E}, {SIDES} SELECT log_id, seq, round(ts + 5 + CASE WHEN CAST(log_id AS BIGINT) % 3 = 0 THEN 0 ELSE (ts - 1704067200) * 20000 / 1e9 END, 6) AS ts FROM c WHERE CAST(log_id AS BIGINT) % 2 = 0 UNION ALL SELECT log_id, seq, round(ts, 4) FROM c WHERE CAST(log_id AS BIGINT) % 2 = 1")
+@query(f"WITH {E}, {SIDES} SELECT log_id, seq, round(ts + 5 + CASE WHEN CAST(log_id AS BIGINT) % 3 = 0 THEN 0 ELSE (ts - 1704067200) * 20000 / 1e9 END - ts, 4) AS shift FROM c WHERE CAST(log_id AS BIGINT) % 2 = 0 UNION ALL SELECT log_id, seq, 0.0 FROM c WHERE CAST(log_id AS BIGINT) % 2 = 1")
 def clock_shift(spark, sf_dir):
     e = events(spark, sf_dir).where("kind = 'click'").select("log_id", "seq", "ts")
     n = F.col("log_id").cast("long")
     syncs = e.select("log_id").distinct().where(n % 2 == 0).withColumns({"offset": F.lit(5.0), "drift": F.when(n % 3 == 0, 0.0).otherwise(20000.0), "reference": F.lit(1704067200.0)})
-    return rounded(fleet.on_log_time(e, syncs))
+    moved = fleet.on_log_time(e.withColumn("before", F.col("ts")), syncs)
+    return moved.select("log_id", "seq", F.round(F.col("ts") - F.col("before"), 4).alias("shift"))
 
 
 @query(f"WITH {E}, p AS (SELECT seq, ts, value FROM e WHERE kind = 'click' AND ts >= 1704153600 ORDER BY ts, seq LIMIT 1000) SELECT seq, round(ts, 6) AS ts, round(value, 6) AS value, round(min(value) OVER (), 6) AS min, round(max(value) OVER (), 6) AS max, round(avg(value) OVER (), 6) AS mean FROM p")
