@@ -8,7 +8,9 @@ recursion runs on arrays down to small leaves, which are compared whole; a shard
 The stars are joined by alternating large-star and small-star steps.
 
 Wide fingerprints are searched in lanes: each lane is a choice of LANE_BITS of the bits with a tree of its own, and a pair that a lane brings
-together is linked if the whole fingerprints differ in few enough bits.
+together is linked if the whole fingerprints differ in `within` bits or fewer. With a least similarity, pairs that differ in more, up to
+`doubt` bits, are compared by their sets of shingles, unless their groups are linked already. Of the rows of one group in doubt against
+another row of their shard only the nearest is compared, so that two large groups never meet pair by pair.
 
 Defined results: null and empty texts, and those without words, have fingerprint zero and are linked with each other; any length; rows
 that repeat share a fingerprint; rows without id keep their fingerprint and take the component of their equals; an empty table gives no
@@ -58,12 +60,13 @@ def fingerprint(h: np.ndarray, width: int = 1) -> bytes:
     return np.packbits(np.concatenate(totals) * 2 > len(h), bitorder="little").tobytes()
 
 
-def fingerprints(df: DataFrame, shingle: int, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (binary) of every row; no shuffle."""
+def fingerprints(df: DataFrame, shingle: int, width: int = 1, repeats: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (binary) of every row; no shuffle. Without `repeats` each shingle of a text counts once."""
 
     def run(batches):
         for b in batches:
-            fp = [fingerprint(hashes(t, shingle), width) for t in b.column("text").to_pylist()]
+            found = (hashes(t, shingle) for t in b.column("text").to_pylist())
+            fp = [fingerprint(h if repeats else np.unique(h), width) for h in found]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.binary())], ["doc_id", "fp"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
@@ -82,7 +85,8 @@ def lane_values(fps: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """fps: (n, width) words. The lane's bits as one word each."""
     if len(bits) == 64:
         return fps[:, 0]
-    chosen = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), 8 * fps.shape[1]), axis=1, bitorder="little")[:, bits]
+    octets = np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), 8 * fps.shape[1])
+    chosen = octets[:, bits >> 3] >> (bits & 7).astype(np.uint8) & np.uint8(1)
     return np.ascontiguousarray(np.packbits(np.pad(chosen, ((0, 0), (0, 64 - len(bits)))), axis=1, bitorder="little")).view("<u8")[:, 0]
 
 
@@ -137,17 +141,41 @@ class Union:
             self.up[max(a, b)] = min(a, b)
 
 
-def search(values: np.ndarray, fps: np.ndarray, rows: np.ndarray, radius: int, within: int, union: Union) -> None:
-    """Unites all rows of a shard whose lane values differ in up to `radius` bits and whose fingerprints in up to `within`."""
-    todo = [rows]
+def nearest_in_doubt(i: np.ndarray, j: np.ndarray, d: np.ndarray, union: Union) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) of different groups, for each row and each other group the one with the smallest d."""
+    if not len(i):
+        return i, j
+    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    group = np.array([union.find(x) for x in rows.tolist()])[at]
+    gi, gj = group[: len(i)], group[len(i) :]
+    apart = gi != gj
+    if not apart.any():
+        return i[apart], j[apart]
+    i, j, d, gi, gj = i[apart], j[apart], d[apart], gi[apart], gj[apart]
+    chosen = np.zeros(len(i), bool)
+    for row, other in ((i, gj), (j, gi)):
+        order = np.lexsort((np.minimum(i, j), np.maximum(i, j), d, other, row))
+        r, g = row[order], other[order]
+        chosen[order[np.r_[True, (r[1:] != r[:-1]) | (g[1:] != g[:-1])]]] = True
+    return np.minimum(i, j)[chosen], np.maximum(i, j)[chosen]
+
+
+def search(values: np.ndarray, fps: np.ndarray, rows: np.ndarray, radius: int, within: int, union: Union, doubt: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Unites all rows of a shard whose lane values differ in up to `radius` bits and whose fingerprints in up to `within`.
+
+    Returns the pairs in doubt, which differ in more than `within` and up to `doubt` bits.
+    """
+    todo, open_pairs = [rows], [(np.zeros(0, int),) * 3]
     while todo:
         rows = todo.pop()
         if len(rows) <= LEAF:
             v, f = values[rows], fps[rows]
             i, j = np.nonzero(np.triu(np.bitwise_count(v[:, None] ^ v[None, :]) <= radius, 1))
-            near = np.bitwise_count(f[i] ^ f[j]).sum(axis=1, dtype=np.int64) <= within
+            d = np.bitwise_count(f[i] ^ f[j]).sum(axis=1, dtype=np.int64)
+            near, unsure = d <= within, (d > within) & (d <= doubt)
             for a, b in zip(rows[i[near]].tolist(), rows[j[near]].tolist(), strict=True):
                 union.join(a, b)
+            open_pairs.append((rows[i[unsure]], rows[j[unsure]], d[unsure]))
             continue
         for k in range(4):
             d = np.bitwise_count(values[rows] ^ values[rows[(k * 7919) % len(rows)]])
@@ -167,14 +195,21 @@ def search(values: np.ndarray, fps: np.ndarray, rows: np.ndarray, radius: int, w
                         union.join(int(x), y)
                     front += rest[near].tolist()
                     rest = rest[~near]
+            for k, x in enumerate(rows[:-1] if doubt > within else ()):
+                d = np.bitwise_count(fps[rows[k + 1 :]] ^ fps[x]).sum(axis=1, dtype=np.int64)
+                unsure = np.flatnonzero((d > within) & (d <= doubt))
+                if len(unsure):
+                    a, b = nearest_in_doubt(np.full(len(unsure), x), rows[k + 1 :][unsure], d[unsure], union)
+                    open_pairs.append((a, b, np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)))
+    return nearest_in_doubt(*(np.concatenate(x) for x in zip(*open_pairs, strict=True)), union)
 
 
 def _words(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, width)
 
 
-def stars(distinct: DataFrame, n: int, width: int, lanes: int, radius: int, within: int, shard_rows: int) -> DataFrame:
-    """a, b: a tree of links over each group of a shard. distinct: rep (long), fp; n: its rows."""
+def stars(distinct: DataFrame, n: int, width: int, lanes: int, radius: int, within: int, doubt: int, shard_rows: int) -> DataFrame:
+    """a, b, sure: a tree of sure links over each group of a shard, and the pairs in doubt. distinct: rep (long), fp; n: its rows."""
     choices = lanes_of(width, lanes)
     depth = max(0, min(14, math.ceil(math.log2(max(1, n) / shard_rows))))
     sample = _words(distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 20))).select("fp").limit(2 * SAMPLE).toArrow()["fp"].combine_chunks(), width)
@@ -198,12 +233,13 @@ def stars(distinct: DataFrame, n: int, width: int, lanes: int, radius: int, with
         order = np.argsort(reps)
         fps, reps = fps[order], reps[order]
         union = Union(len(reps))
-        search(lane_values(fps, choices[key[0].as_py() >> 14]), fps, np.arange(len(reps)), radius, within, union)
+        i, j = search(lane_values(fps, choices[key[0].as_py() >> 14]), fps, np.arange(len(reps)), radius, within, union, doubt)
         own = np.flatnonzero(union.up != np.arange(len(reps)))
         root = np.array([union.find(i) for i in own.tolist()], int)
-        return pa.table({"a": pa.array(reps[own], pa.int64()), "b": pa.array(reps[root], pa.int64())})
+        a, b = np.concatenate([reps[own], reps[i]]), np.concatenate([reps[root], reps[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array(np.arange(len(a)) < len(own))})
 
-    return distinct.mapInArrow(route, "shard int, rep long, fp binary").groupBy("shard").applyInArrow(link, "a long, b long")
+    return distinct.mapInArrow(route, "shard int, rep long, fp binary").groupBy("shard").applyInArrow(link, "a long, b long, sure boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,12 +261,48 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, width: int = 1, lanes: int = 1, within: int | None = None, shard_rows: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id of every row; fingerprints link at `radius` or fewer differing bits of a lane and `within` of all."""
-    fps = durable(fingerprints(df, shingle, width, id_col, text_col))
+def alike(df: DataFrame, pairs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose sets of shingles have a similarity (Jaccard) of `least` or more."""
+
+    def sets(batches):
+        for b in batches:
+            found = [np.unique(hashes(t, shingle)).astype("<u8").tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], ["id", "grams"])
+
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = df.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text")).join(ids, "id", "left_semi")
+    grams = durable(texts.mapInArrow(sets, "id long, grams binary"))
+    one, two = grams.toDF("a", "x"), grams.toDF("b", "y")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, width: int = 1, lanes: int = 1, within: int | None = None, doubt: int = -1, least: float | None = None, repeats: bool = True, shard_rows: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id of every row; fingerprints link at `radius` or fewer differing bits of a lane and `within` of all.
+
+    With `least`, also those up to `doubt` bits whose shingles have that similarity.
+    """
+    fps = durable(fingerprints(df, shingle, width, repeats, id_col, text_col))
     distinct = durable(fps.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("rep")))
-    links = stars(distinct.where("rep is not null"), distinct.count(), width, lanes, radius, radius if within is None else within, shard_rows)
-    found = components(links)
+    links = stars(distinct.where("rep is not null"), distinct.count(), width, lanes, radius, radius if within is None else within, doubt, shard_rows)
+    if least is None:
+        found = components(links.select("a", "b"))
+    else:
+        links = durable(links)
+        found = components(links.where("sure").select("a", "b"))
+        at_a, at_b = (found.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in "ab")
+        unsure = links.where("not sure").select("a", "b").distinct().join(at_a, "a", "left").join(at_b, "b", "left")
+        unsure = durable(unsure.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
+        more = alike(df, unsure, shingle, least, id_col, text_col)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -240,8 +312,9 @@ def hex_of(fp: str = "fp"):
     return F.lower(F.concat(*(F.substring(F.hex(fp), 2 * i + 1, 2) for i in range(7, -1, -1))))
 
 
-#: For a similarity (Jaccard) of 0.8 of sets of shingles the angle of their vectors is arccos(0.889), which 39 of 256 bits show on average.
-STAGE = {"shingle": 5, "width": 4, "lanes": 16, "radius": 1, "within": 42, "shard_rows": 32_768}
+#: For a similarity (Jaccard) of 0.8 of sets of shingles the angle of their vectors is arccos(0.889), which 78 of 512 bits show on average,
+#: with a deviation of 8. Fewer than 58 leave no doubt; 97 and more are 0.67 or less; those between are compared by shingles.
+STAGE = {"shingle": 5, "width": 8, "lanes": 20, "radius": 1, "within": 57, "doubt": 98, "least": 0.8, "repeats": False, "shard_rows": 65_536}
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -225,3 +225,38 @@ def test_near_copies_leave_one(spark):
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(other)), (4, " ".join(base)), (4, " ".join(base)), (None, "no id")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or -1) for r in kept) == [-1, 1, 3]
+
+
+def shingles(text, n=5):
+    w = text.split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+def test_pairs_in_doubt_are_compared_by_shingles(spark):
+    rng, rows, pairs = random.Random(3), [(9000, "")], []
+    for i in range(0, 600, 2):
+        base = [f"w{rng.randrange(9000)}" for _ in range(rng.choice([60, 250]))]
+        copy = list(base)
+        for _ in range(rng.randint(1, len(base) // 20)):
+            copy[rng.randrange(len(copy))] = f"z{rng.randrange(9000)}"
+        rows += [(i, " ".join(base)), (i + 1, " ".join(copy))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        pairs.append((i, i + 1, len(a & b) / len(a | b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([p[:2] for p in pairs], "a long, b long")
+    assert {tuple(r) for r in simhash.alike(df, asked, 5, 0.8, "doc_id", "text").collect()} == {p[:2] for p in pairs if p[2] >= 0.8}
+    group = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, **simhash.STAGE).collect()}
+    assert group[9000] == 9000
+    linked = [(j, group[a] == group[b]) for a, b, j in pairs]
+    assert not any(x for j, x in linked if j < 0.75)
+    over, high = [x for j, x in linked if j >= 0.8], [x for j, x in linked if j >= 0.9]
+    assert len(over) > 50 and sum(over) >= 0.88 * len(over) and all(high)
+
+
+def test_of_two_groups_only_nearest_pairs_stay_in_doubt():
+    union = simhash.Union(6)
+    union.join(0, 1)
+    union.join(2, 3)
+    i, j, d = np.array([0, 0, 1, 2, 0, 4]), np.array([2, 3, 2, 3, 1, 5]), np.array([70, 60, 65, 61, 59, 90])
+    a, b = simhash.nearest_in_doubt(i, j, d, union)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 3), (1, 2), (4, 5)]
