@@ -9,8 +9,10 @@ The stars are joined by alternating large-star and small-star steps.
 
 Wide fingerprints are searched in lanes: each lane is a choice of LANE_BITS of the bits with a tree of its own, and a pair that a lane brings
 together is linked if the whole fingerprints differ in `within` bits or fewer. With a least similarity, pairs that differ in more, up to
-`doubt` bits, are compared by their sets of shingles, unless their groups are linked already. Of the rows of one group in doubt against
-another row of their shard only the nearest is compared, so that two large groups never meet pair by pair.
+`doubt` bits, are compared by their sets of shingles, unless their groups are linked already. This goes in rounds, as a spanning tree grows: each
+row in doubt is compared with the nearest row outside its group in each lane, those alike merge their groups, and so on until a round merges
+none. The pairs of a round grow with the rows, never with their pairs. A row whose nearest row by fingerprint is not alike, while a farther one
+is, is linked only if that one finds it or another lane does.
 
 Defined results: null and empty texts, and those without words, have fingerprint zero and are linked with each other; any length; rows
 that repeat share a fingerprint; rows without id keep their fingerprint and take the component of their equals; an empty table gives no
@@ -142,28 +144,23 @@ class Union:
 
 
 def nearest_in_doubt(i: np.ndarray, j: np.ndarray, d: np.ndarray, union: Union) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs (i, j) of different groups, for each row and each other group the one with the smallest d."""
-    if not len(i):
-        return i, j
+    """Of the pairs (i, j) of different groups the nearest of each row."""
     rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    group = np.array([union.find(x) for x in rows.tolist()])[at]
+    group = np.array([union.find(x) for x in rows.tolist()], int)[at]
     gi, gj = group[: len(i)], group[len(i) :]
     apart = gi != gj
-    if not apart.any():
-        return i[apart], j[apart]
-    i, j, d, gi, gj = i[apart], j[apart], d[apart], gi[apart], gj[apart]
-    chosen = np.zeros(len(i), bool)
-    for row, other in ((i, gj), (j, gi)):
-        order = np.lexsort((np.minimum(i, j), np.maximum(i, j), d, other, row))
-        r, g = row[order], other[order]
-        chosen[order[np.r_[True, (r[1:] != r[:-1]) | (g[1:] != g[:-1])]]] = True
-    return np.minimum(i, j)[chosen], np.maximum(i, j)[chosen]
+    i, j, d = i[apart], j[apart], d[apart]
+    row, other = np.concatenate([i, j]), np.concatenate([j, i])
+    order = np.lexsort((other, np.tile(d, 2), row))
+    first = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+    pairs = np.unique(np.sort(np.stack([row[first], other[first]], axis=1), axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def search(values: np.ndarray, fps: np.ndarray, rows: np.ndarray, radius: int, within: int, union: Union, doubt: int = -1) -> tuple[np.ndarray, np.ndarray]:
     """Unites all rows of a shard whose lane values differ in up to `radius` bits and whose fingerprints in up to `within`.
 
-    Returns the pairs in doubt, which differ in more than `within` and up to `doubt` bits.
+    Returns the nearest pairs in doubt, which differ in more than `within` and up to `doubt` bits.
     """
     todo, open_pairs = [rows], [(np.zeros(0, int),) * 3]
     while todo:
@@ -195,12 +192,13 @@ def search(values: np.ndarray, fps: np.ndarray, rows: np.ndarray, radius: int, w
                         union.join(int(x), y)
                     front += rest[near].tolist()
                     rest = rest[~near]
-            for k, x in enumerate(rows[:-1] if doubt > within else ()):
-                d = np.bitwise_count(fps[rows[k + 1 :]] ^ fps[x]).sum(axis=1, dtype=np.int64)
-                unsure = np.flatnonzero((d > within) & (d <= doubt))
-                if len(unsure):
-                    a, b = nearest_in_doubt(np.full(len(unsure), x), rows[k + 1 :][unsure], d[unsure], union)
-                    open_pairs.append((a, b, np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)))
+            if doubt > within:
+                groups = np.array([union.find(x) for x in rows.tolist()])
+                for x, own in zip(rows, groups, strict=True):
+                    d = np.bitwise_count(fps[rows] ^ fps[x]).sum(axis=1, dtype=np.int64)
+                    unsure = np.flatnonzero((d > within) & (d <= doubt) & (groups != own))
+                    unsure = unsure[np.lexsort((rows[unsure], d[unsure]))[:1]]
+                    open_pairs.append((np.full(len(unsure), x), rows[unsure], d[unsure]))
     return nearest_in_doubt(*(np.concatenate(x) for x in zip(*open_pairs, strict=True)), union)
 
 
@@ -209,7 +207,7 @@ def _words(column, width: int) -> np.ndarray:
 
 
 def stars(distinct: DataFrame, n: int, width: int, lanes: int, radius: int, within: int, doubt: int, shard_rows: int) -> DataFrame:
-    """a, b, sure: a tree of sure links over each group of a shard, and the pairs in doubt. distinct: rep (long), fp; n: its rows."""
+    """a, b, sure: a tree of sure links over each group of a shard, and the nearest pairs in doubt. distinct: rep, grp (long), fp; n: its rows."""
     choices = lanes_of(width, lanes)
     depth = max(0, min(14, math.ceil(math.log2(max(1, n) / shard_rows))))
     sample = _words(distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 20))).select("fp").limit(2 * SAMPLE).toArrow()["fp"].combine_chunks(), width)
@@ -226,20 +224,22 @@ def stars(distinct: DataFrame, n: int, width: int, lanes: int, radius: int, with
                 begin += 1 << 14
             for at in range(0, len(rows), 8):
                 r = np.concatenate(rows[at : at + 8])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards[at : at + 8]), pa.int32()), b.column("rep").take(pa.array(r)), b.column("fp").take(pa.array(r))], ["shard", "rep", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards[at : at + 8]), pa.int32()), b.column("rep").take(pa.array(r)), b.column("grp").take(pa.array(r)), b.column("fp").take(pa.array(r))], ["shard", "rep", "grp", "fp"])
 
     def link(key, t):
-        fps, reps = _words(t["fp"].combine_chunks(), width), t["rep"].to_numpy()
+        fps, reps, groups = _words(t["fp"].combine_chunks(), width), t["rep"].to_numpy(), t["grp"].to_numpy()
         order = np.argsort(reps)
-        fps, reps = fps[order], reps[order]
-        union = Union(len(reps))
+        fps, reps, groups = fps[order], reps[order], groups[order]
+        union, order = Union(len(reps)), np.argsort(groups, kind="stable")
+        for k in np.flatnonzero(groups[order[1:]] == groups[order[:-1]]).tolist():
+            union.join(int(order[k]), int(order[k + 1]))
         i, j = search(lane_values(fps, choices[key[0].as_py() >> 14]), fps, np.arange(len(reps)), radius, within, union, doubt)
         own = np.flatnonzero(union.up != np.arange(len(reps)))
         root = np.array([union.find(i) for i in own.tolist()], int)
         a, b = np.concatenate([reps[own], reps[i]]), np.concatenate([reps[root], reps[j]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array(np.arange(len(a)) < len(own))})
 
-    return distinct.mapInArrow(route, "shard int, rep long, fp binary").groupBy("shard").applyInArrow(link, "a long, b long, sure boolean")
+    return distinct.mapInArrow(route, "shard int, rep long, grp long, fp binary").groupBy("shard").applyInArrow(link, "a long, b long, sure boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,18 +291,26 @@ def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, width: int
     With `least`, also those up to `doubt` bits whose shingles have that similarity.
     """
     fps = durable(fingerprints(df, shingle, width, repeats, id_col, text_col))
-    distinct = durable(fps.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("rep")))
-    links = stars(distinct.where("rep is not null"), distinct.count(), width, lanes, radius, radius if within is None else within, doubt, shard_rows)
+    least_id = F.min(F.col("doc_id").cast("long"))
+    distinct = durable(fps.groupBy("fp").agg(least_id.alias("rep"), least_id.alias("grp")))
+    how = width, lanes, radius, radius if within is None else within, doubt, shard_rows
+    links = stars(distinct.where("rep is not null"), distinct.count(), *how)
     if least is None:
         found = components(links.select("a", "b"))
     else:
         links = durable(links)
         found = components(links.where("sure").select("a", "b"))
-        at_a, at_b = (found.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in "ab")
-        unsure = links.where("not sure").select("a", "b").distinct().join(at_a, "a", "left").join(at_b, "b", "left")
-        unsure = durable(unsure.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
-        more = alike(df, unsure, shingle, least, id_col, text_col)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        unsure = links.where("not sure").select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        unsure = durable(distinct.select("rep", "fp").join(unsure, "rep", "left_semi"))
+        merged = unsure.count()
+        while merged:
+            rows = unsure.join(found, unsure["rep"] == found["node"], "left").select("rep", F.coalesce("component", "rep").alias("grp"), "fp")
+            rows = durable(rows)
+            pairs = durable(stars(rows, rows.count(), *how).where("not sure").select("a", "b").distinct())
+            more = durable(alike(df, pairs, shingle, least, id_col, text_col))
+            merged = more.count()
+            if merged:
+                found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 

@@ -257,6 +257,6 @@ def test_of_two_groups_only_nearest_pairs_stay_in_doubt():
     union = simhash.Union(6)
     union.join(0, 1)
     union.join(2, 3)
-    i, j, d = np.array([0, 0, 1, 2, 0, 4]), np.array([2, 3, 2, 3, 1, 5]), np.array([70, 60, 65, 61, 59, 90])
+    i, j, d = np.array([0, 0, 1, 2, 0, 4, 0, 2]), np.array([2, 3, 2, 3, 1, 5, 4, 4]), np.array([70, 60, 65, 61, 59, 90, 95, 96])
     a, b = simhash.nearest_in_doubt(i, j, d, union)
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 3), (1, 2), (4, 5)]
