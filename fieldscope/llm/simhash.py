@@ -307,6 +307,8 @@ def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, width: int
             rows = unsure.join(found, unsure["rep"] == found["node"], "left").select("rep", F.coalesce("component", "rep").alias("grp"), "fp")
             rows = durable(rows)
             pairs = durable(stars(rows, rows.count(), *how).where("not sure").select("a", "b").distinct())
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+            unsure = unsure.join(ends, "rep", "left_semi")  # groups only grow, so a row without a pair stays without
             more = durable(alike(df, pairs, shingle, least, id_col, text_col))
             merged = more.count()
             if merged:
