@@ -82,7 +82,7 @@ COLUMNS = [c.strip().split(" ")[0] for c in SAMPLES.replace("map<string,double>"
 
 
 def samples(log_id: str, data: bytes, most: int | None = None) -> Iterator[tuple]:
-    """Rows of the samples schema; a payload that does not fit its type ends the log, as damage does."""
+    """Rows of the samples schema; a payload that does not fit its type is skipped, and only a record cut by the file's end ends the log."""
     entries: dict[int, tuple[str, str]] = {}
     for seq, (entry, ts, payload) in enumerate(records(data)):
         if most is not None and seq >= most:
@@ -96,7 +96,7 @@ def samples(log_id: str, data: bytes, most: int | None = None) -> Iterator[tuple
             try:
                 v = value(kind, payload)
             except (struct.error, IndexError):
-                return
+                continue
             row = {"log_id": log_id, "entry": name, "type": kind, "seq": seq, "ts_us": ts, "ts": ts / 1e6} | v
             yield tuple(row.get(c) for c in COLUMNS)
 

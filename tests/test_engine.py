@@ -124,6 +124,15 @@ def test_damaged_tail_keeps_what_came_before():
         list(wpilog.records(b"nope"))
 
 
+def test_a_bad_payload_in_the_middle_costs_its_record_alone():
+    good = [(i * 1_000_000, struct.pack("<q", i)) for i in range(160)]
+    bad = [*good[:1], (1_000_000, b"\1\2\3\4"), *good[2:]]
+    rows = [("/d", "double", [(i * 1_000_000, struct.pack("<d", i)) for i in range(160)]), ("/e", "boolean", [(80_000_000, b"")])]
+    plain, got = (list(wpilog.samples("x", wpilog.write([("/n", "int64", n), *rows]))) for n in (good, bad))
+    at = {c: i for i, c in enumerate(wpilog.COLUMNS)}
+    assert len(plain) == 320 and got == [r for r in plain if (r[at["entry"]], r[at["ts_us"]]) != ("/n", 1_000_000)]
+
+
 def test_structs():
     assert structs.decode("Pose2d", b"short") is None and len(structs.LAYOUTS) == 16
     assert len(structs.decode_array("SwerveModuleState", struct.pack("<4d", 1, 2, 3, 4))) == 2
