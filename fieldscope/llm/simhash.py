@@ -8,11 +8,11 @@ recursion runs on arrays down to small leaves, which are compared whole; a shard
 The stars are joined by alternating large-star and small-star steps.
 
 Wide fingerprints are searched in lanes: each lane is a choice of LANE_BITS of the bits with a tree of its own, and a pair that a lane brings
-together is linked if the whole fingerprints differ in `within` bits or fewer. With a least similarity, pairs that differ in more, up to
-`doubt` bits, are compared by their sets of shingles, unless their groups are linked already. This goes in rounds, as a spanning tree grows: each
-row in doubt is compared with the nearest row outside its group in each lane, those alike merge their groups, and so on until a round merges
-none. The pairs of a round grow with the rows, never with their pairs. A row whose nearest row by fingerprint is not alike, while a farther one
-is, is linked only if that one finds it or another lane does.
+together is linked if the whole fingerprints differ in `within` bits or fewer. With a least similarity, each row is also compared by its set of
+shingles with the nearest row outside its group, up to `doubt` bits, in each lane. That only merges most groups early. What makes the result
+whole is a search without fingerprints: all pairs of different groups that share a shingle of their prefixes (the first in one order for all
+texts) and that sizes, places and parities do not exclude are compared. No pair of the least similarity lacks such a shingle, so all are linked.
+These pairs can grow with the square of a family of texts that share a rare shingle and are in different groups.
 
 Defined results: null and empty texts, and those without words, have fingerprint zero and are linked with each other; any length; rows
 that repeat share a fingerprint; rows without id keep their fingerprint and take the component of their equals; an empty table gives no
@@ -285,10 +285,76 @@ def alike(df: DataFrame, pairs: DataFrame, shingle: int, least: float, id_col: s
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def prefixes(texts: DataFrame, shingle: int, least: float, common: np.ndarray, counts: np.ndarray, shorter: bool) -> DataFrame:
+    """token, rep, grp, size, at, m0, m1 of each text's first shingles in the order of (counts, hash): so many that an alike text must share one.
+
+    For the `shorter` of two alike texts fewer are enough. m0 and m1 are the parities of the shingles in 128 cells.
+    """
+    share = 2 * least / (1 + least) if shorter else least
+
+    def run(batches):
+        for b in batches:
+            rows, held = [], 0
+            for rep, grp, text in zip(b.column("id").to_pylist(), b.column("grp").to_pylist(), b.column("text").to_pylist(), strict=True):
+                h = np.unique(hashes(text, shingle))
+                if len(h):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    seen = np.where(common[at] == h, counts[at], 0) if len(common) else np.zeros(len(h), int)
+                    n = len(h) - math.ceil(share * len(h) - 1e-9) + 1
+                    m = np.packbits(np.bincount((h & np.uint64(127)).astype(int), minlength=128).astype(np.uint8) & 1).view(np.int64)
+                    rows.append((h[np.lexsort((h, seen))[:n]].view(np.int64), rep, grp, len(h), *m))
+                    held += n
+                if held > 200_000:
+                    yield table_of(rows)
+                    rows, held = [], 0
+            if rows:
+                yield table_of(rows)
+
+    def table_of(rows):
+        each = [len(r[0]) for r in rows]
+        rest = [np.repeat(np.array(c, np.int64), each) for c in zip(*(r[1:] for r in rows), strict=True)]
+        at = np.concatenate([np.arange(n) for n in each])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate([r[0] for r in rows]), *rest[:3], at, *rest[3:])], ["token", "rep", "grp", "size", "at", "m0", "m1"])
+
+    return texts.mapInArrow(run, "token long, rep long, grp long, size long, at long, m0 long, m1 long")
+
+
+def sharing_prefixes(df: DataFrame, groups: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """a, b: all pairs of different groups (rep, grp) whose shingles can have a similarity of `least` or more; none that has it is left out.
+
+    Of two such texts the first shingles, in one order for all texts, share one. Rare shingles come first, by counts of a sample, which saves pairs
+    and does not change what is found. Sizes, places and parities exclude pairs that cannot get there.
+    """
+    def each_shingle(batches):
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(t, shingle)).view(np.int64))], ["h"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
+    texts = rows.join(groups.withColumnRenamed("rep", "id"), "id").distinct()
+    part = int(min(1.0, SAMPLE / max(1, groups.count())) * (1 << 20))
+    sample = rows.join(groups.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < part).select(F.col("rep").alias("id")), "id", "left_semi").distinct()
+    often = sample.mapInArrow(each_shingle, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(200_000).toArrow()
+    common, counts = often["h"].to_numpy().view(np.uint64), often["count"].to_numpy()
+    order = np.argsort(common)
+    common, counts = common[order], counts[order]
+    x, y = (prefixes(texts, shingle, least, common, counts, shorter).alias(k) for k, shorter in (("x", True), ("y", False)))
+    both, fits = "(x.size + y.size)", f"x.size >= {least!r} * y.size - 1e-9 and (x.size < y.size or x.size = y.size and x.rep < y.rep)"
+    room = f"least(x.size - x.at, y.size - y.at) >= {least / (1 + least)!r} * {both} - 1e-9"
+    cells = f"bit_count(x.m0 ^ y.m0) + bit_count(x.m1 ^ y.m1) <= {(1 - least) / (1 + least)!r} * {both} + 1e-9"
+    found = x.join(y, F.expr(f"x.token = y.token and x.grp <> y.grp and {fits} and {room} and {cells}"))
+    return found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) after further links (a, b)."""
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+
 def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, width: int = 1, lanes: int = 1, within: int | None = None, doubt: int = -1, least: float | None = None, repeats: bool = True, shard_rows: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id of every row; fingerprints link at `radius` or fewer differing bits of a lane and `within` of all.
 
-    With `least`, also those up to `doubt` bits whose shingles have that similarity.
+    With `least`, also all those whose shingles have that similarity, whatever their bits.
     """
     fps = durable(fingerprints(df, shingle, width, repeats, id_col, text_col))
     least_id = F.min(F.col("doc_id").cast("long"))
@@ -300,19 +366,12 @@ def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, width: int
     else:
         links = durable(links)
         found = components(links.where("sure").select("a", "b"))
-        unsure = links.where("not sure").select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        unsure = durable(distinct.select("rep", "fp").join(unsure, "rep", "left_semi"))
-        merged = unsure.count()
-        while merged:
-            rows = unsure.join(found, unsure["rep"] == found["node"], "left").select("rep", F.coalesce("component", "rep").alias("grp"), "fp")
-            rows = durable(rows)
-            pairs = durable(stars(rows, rows.count(), *how).where("not sure").select("a", "b").distinct())
-            ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-            unsure = unsure.join(ends, "rep", "left_semi")  # groups only grow, so a row without a pair stays without
-            more = durable(alike(df, pairs, shingle, least, id_col, text_col))
-            merged = more.count()
-            if merged:
-                found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        unsure = durable(links.where("not sure").select("a", "b").distinct())
+        found = merged(found, alike(df, unsure, shingle, least, id_col, text_col))
+        nodes = distinct.where("rep is not null").select("rep").distinct()
+        groups = durable(nodes.join(found, nodes["rep"] == found["node"], "left").select("rep", F.coalesce("component", "rep").alias("grp")))
+        pairs = durable(sharing_prefixes(df, groups, shingle, least, id_col, text_col))
+        found = merged(found, alike(df, pairs, shingle, least, id_col, text_col))
     named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -323,8 +382,7 @@ def hex_of(fp: str = "fp"):
 
 
 #: For a similarity (Jaccard) of 0.8 of sets of shingles the angle of their vectors is arccos(0.889), which 78 of 512 bits show on average,
-#: with a deviation of 8. 57 or fewer leave little doubt (1 in 300 pairs of 0.79 gets there); more than 98 show 1 in 200 pairs of 0.8; those
-#: between are compared by shingles.
+#: with a deviation of 8. 57 or fewer leave little doubt (1 in 300 pairs of 0.79 gets there). All other pairs of 0.8 are found by their shingles.
 STAGE = {"shingle": 5, "width": 8, "lanes": 20, "radius": 1, "within": 57, "doubt": 98, "least": 0.8, "repeats": False, "shard_rows": 65_536}
 
 

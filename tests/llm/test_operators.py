@@ -260,3 +260,19 @@ def test_of_two_groups_only_nearest_pairs_stay_in_doubt():
     i, j, d = np.array([0, 0, 1, 2, 0, 4, 0, 2]), np.array([2, 3, 2, 3, 1, 5, 4, 4]), np.array([70, 60, 65, 61, 59, 90, 95, 96])
     a, b = simhash.nearest_in_doubt(i, j, d, union)
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 3), (1, 2), (4, 5)]
+
+
+def test_all_alike_pairs_are_linked_whatever_is_nearest(spark):
+    """Families around one text: the nearest row of a row is often not alike while a farther one is."""
+    rng, rows = random.Random(12), []
+    for f in range(12):
+        base = [f"w{rng.randrange(9000)}" for _ in range(120)]
+        for k in range(25):
+            copy = list(base)
+            for _ in range(rng.randint(1, 4)):
+                copy[rng.randrange(len(copy))] = f"z{rng.randrange(9000)}"
+            rows.append((100 * f + k, " ".join(copy)))
+    sets = {i: shingles(t) for i, t in rows}
+    want = brute_groups(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **(simhash.STAGE | {"within": 0})).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == want
