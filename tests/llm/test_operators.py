@@ -276,3 +276,14 @@ def test_all_alike_pairs_are_linked_whatever_is_nearest(spark):
     want = brute_groups(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **(simhash.STAGE | {"within": 0})).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == want
+
+
+def test_short_texts_at_the_least_similarity_are_all_linked(spark):
+    rng, rows, pairs = random.Random(13), [], []
+    for i in range(0, 1200, 2):
+        base = [f"w{rng.randrange(90000)}" for _ in range(rng.randint(8, 60))]
+        more = (len(base) - 4) // 4  # so many words more that the similarity is 0.8 or just above
+        rows += [(i, " ".join(base)), (i + 1, " ".join(base + [f"z{rng.randrange(90000)}" for _ in range(more)]))]
+        pairs.append((i, i + 1))
+    group = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.STAGE).collect()}
+    assert sum(group[a] == group[b] for a, b in pairs) == len(pairs) and len(set(group.values())) == len(pairs)
