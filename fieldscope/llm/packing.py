@@ -108,23 +108,23 @@ class Shard:
     def take(self, seed: int | None, budget: int) -> list[int]:
         """Documents to follow the seed until their ids reach the budget, or all are used."""
         out = []
-        for d in self.neighbours(seed) if seed is not None else []:
-            if budget <= 0:
-                return out
-            out.append(d)
-            self.alive[d] = False
-            budget -= len(self.ids[d])
-        while budget > 0 and self.next < len(self.ids):
-            d, self.next = self.next, self.next + 1
-            if self.alive[d]:
+        while True:
+            for d in self.neighbours(seed) if seed is not None else []:
+                if budget <= 0:
+                    return out
                 out.append(d)
                 self.alive[d] = False
                 budget -= len(self.ids[d])
-                if budget > 0:  # a new seed within the window
-                    more = self.take(d, budget)
-                    out += more
-                    budget -= sum(len(self.ids[m]) for m in more)
-        return out
+            while self.next < len(self.ids) and not self.alive[self.next]:
+                self.next += 1
+            if budget <= 0 or self.next == len(self.ids):
+                return out
+            seed = self.next  # a new seed within the window
+            out.append(seed)
+            self.alive[seed] = False
+            budget -= len(self.ids[seed])
+            if budget <= 0:
+                return out
 
 
 class Packer:

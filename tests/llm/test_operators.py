@@ -287,3 +287,11 @@ def test_short_texts_at_the_least_similarity_are_all_linked(spark):
         pairs.append((i, i + 1))
     group = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.STAGE).collect()}
     assert sum(group[a] == group[b] for a, b in pairs) == len(pairs) and len(set(group.values())) == len(pairs)
+
+
+def test_packing_of_many_texts_without_terms(spark):
+    rows = [(i, None if i % 2 else "") for i in range(3000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), BYTE).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(3000)) and all(r["length"] == r["doc_tokens"] == 1 for r in got)
+    filled = Counter(r["sequence_id"] for r in got)
+    assert max(filled.values()) == packing.WINDOW and sum(filled.values()) == 3000
