@@ -45,15 +45,36 @@ def ddl(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def sampled(df: DataFrame, column: str, share: float) -> DataFrame:
+    """About this share of the rows, chosen by a 64-bit hash of the column: the same ones on every run, however small the share."""
+    return df if share >= 1 else df.where(F.xxhash64(column) < F.lit(int(share * 2**64) - 2**63))
+
+
+def lookup(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, hot_keys: int = 20_000) -> DataFrame:
+    """rows joined with keyed on one column; keyed has one row a key, with the number of rows that hold the key in `count`.
+
+    Keys that hold more than total / hot_keys of the rows, of which there are fewer than hot_keys, meet their rows by broadcast, so that no
+    task gets all rows of a hot key; the others by a shuffle.
+    """
+    most = max(1000, total // hot_keys)
+    hot, rest = keyed.where(F.col(count) > most).drop(count), keyed.where(F.col(count) <= most).drop(count)
+    columns = [*rows.columns, *(c for c in keyed.columns if c not in (key, count))]
+    marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
+    cold = marked.where("__hot is null").select(*rows.columns)
+    return marked.where("__hot").select(*columns).unionByName(cold.join(rest, key).select(*columns))
+
+
 class Memo(dict):
-    """A dict that computes missing values and starts anew beyond a number of entries, so that memory stays bounded."""
+    """A dict that computes missing values and starts anew beyond a number of entries. Long keys are not kept, so that memory stays bounded."""
 
-    def __init__(self, compute, most: int = 500_000):
+    def __init__(self, compute, most: int = 500_000, longest: int = 64):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.longest = compute, most, longest
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
