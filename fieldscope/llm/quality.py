@@ -98,9 +98,9 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str = "quality", sample
             yield pa.RecordBatch.from_arrays([b.column("label"), *(pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in (0, 1))], ["label", "at", "value"])
 
     rows = with_sample(docs, labelled_sample(labels, grade_col, sample_rows, id_col), text_col, id_col)
-    t = rows.mapInArrow(hashed, "label int, at binary, value binary").orderBy(F.md5("at"), "label").toArrow()  # numbers of the bounded sample
-    pairs = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(t["at"].to_pylist(), t["value"].to_pylist(), strict=True)]
-    return fit(pairs, np.array(t["label"].to_pylist(), int))
+    t = rows.mapInArrow(hashed, "label int, at binary, value binary").toArrow()  # numbers of the bounded sample
+    found = sorted(zip(t["at"].to_pylist(), t["value"].to_pylist(), t["label"].to_pylist(), strict=True))  # one order on every run
+    return fit([(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v, _ in found], np.array([k for _, _, k in found], int))
 
 
 def score_documents(docs: DataFrame, model: Model, cut: int | None = None, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

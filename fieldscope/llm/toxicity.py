@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import ddl, durable, whole
+from fieldscope.llm.common import ddl, durable, sampled, whole
 
 SAMPLE_ROWS, MIN_Z, MAX_E, DRIFT = 20_000, 3.0, 0.01, 0.05
 WORDS = re.compile(r"[^\W_]+")
@@ -41,8 +41,7 @@ def labelled_sample(labels: DataFrame, label_col: str, sample_rows: int, id_col:
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     rows = rows.where(fold(id_col) != 0) if holdout else rows
     rows = rows.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
-    share = min(1.0, sample_rows / max(1, rows.count()))
-    return rows.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return sampled(rows, "__id", min(1.0, sample_rows / max(1, rows.count())))
 
 
 def with_sample(docs: DataFrame, sample: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -133,29 +132,34 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ho
         middle = (low + high) / 2
         low, high = (middle, high) if excess(middle) < 0 else (low, middle)
     lam = low
-    raw = Model(scores, lam, 0.0, (0.0, 0.0, 1.0))
+    kinds = "label int, n long, x double"
 
-    def best(batches):
-        for b in batches:
-            out = []
-            for text in b.column("text").to_pylist():
-                words = WORDS.findall(text.lower())
-                found = segments(np.fromiter(map(raw.scores.get, words, [-DRIFT] * len(words)), float, len(words)))
-                out.append((len(words), max((f[2] for f in found), default=0.0), [f[2] for f in found]))
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out]), pa.array([o[2] for o in out], pa.list_(pa.float64()))], ["label", "n", "best", "each"])
-
-    seen = rows.mapInArrow(best, "label int, n long, best double, each array<double>").where("n > 0").toPandas()  # numbers of the bounded sample
-    clean = seen[(seen["label"] != 1) & (seen["best"] > 0)]
+    def measured(of):
+        """label, number of words and one number of each text with words."""
+
+        def run(batches):
+            for b in batches:
+                out = []
+                for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
+                    if words := WORDS.findall(text.lower()):
+                        found = segments(np.fromiter(map(scores.get, words, [-DRIFT] * len(words)), float, len(words)))
+                        out.append((label, len(words), of(len(words), [f[2] for f in found])))
+                columns = zip(*out, strict=True) if out else [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.float64()), strict=True)], ["label", "n", "x"])
+
+        return rows.mapInArrow(run, kinds).toPandas()  # three numbers for each row of the bounded sample
+
+    seen = measured(lambda n, each: float(max(each, default=0.0)))
+    clean = seen[(seen["label"] != 1) & (seen["x"] > 0)]
     # The maximum of lambda S - ln(K n) has Euler's constant as its mean.
-    ln_k = min(0.0, max(-8.0, float((lam * clean["best"] - np.log(clean["n"])).mean() - 0.5772))) if len(clean) >= 20 else -2.0
+    ln_k = min(0.0, max(-8.0, float((lam * clean["x"] - np.log(clean["n"])).mean() - 0.5772))) if len(clean) >= 20 else -2.0
 
     def evidence(n: int, each) -> float:
         e = lam * np.asarray(each, float) - ln_k - math.log(n)
         return math.log1p(float(e[e > -math.log(MAX_E)].sum()))
 
-    x = np.array([evidence(n, each) for n, each in zip(seen["n"], seen["each"], strict=True)])
-    y = (seen["label"] == 1).to_numpy(float)
-    return Model(scores, lam, ln_k, logistic(x, y))
+    seen = measured(evidence)
+    return Model(scores, lam, ln_k, logistic(seen["x"].to_numpy(), (seen["label"] == 1).to_numpy(float)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple[float, float, float]:
