@@ -1,10 +1,13 @@
 """Packing by lexical retrieval.
 
-Each task reads documents until a shard of a bounded number of ids is full, and indexes the shard: for every term (a pair of neighbouring ids,
-hashed) the documents that hold it. A window is opened by a seed document; the seed's rarest terms are looked up, BM25 scores its unused
-neighbours, and these fill the window greedily, best first. The document that reaches the window's end is cut there and its rest seeds
-the next window, so windows are full. What is left at the end of a task goes into sequences whose lengths are powers of two, which need no
-padding. Shards need no shuffle; a sequence's id holds the partition and its number there.
+Documents are encoded once. How many documents hold each token id, their number and their mean length are counted over the corpus: a table no
+longer than the vocabulary. A vocabulary numbers its tokens by the order of their merges, so a document's highest ids are its rarest terms;
+documents are ranged by their three highest, which brings those that share rare terms together, and by a hash, which parts copies that are
+too many for a task. A task cuts its range into shards of a bounded number of ids and makes an inverted index of each. A window is opened by
+a seed document; BM25 with all of the seed's terms (or its rarest `query_terms`) scores its unused neighbours in the shard, and these fill
+the window greedily, best first. The document that reaches the window's end is cut there and its rest seeds the next window, so windows are
+full. What is left at the end of a task goes into sequences whose lengths are powers of two, which need no padding. A sequence's id holds the
+partition and its number there. Neighbours in other shards are not looked up: that would meet all shards with all.
 
 Defined results: null and empty texts are the single id 1; documents of any length are cut into as many pieces as needed; repeated rows are
 packed each; an empty table gives no rows; columns not named are not read.
@@ -25,10 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import ddl, whole
+from fieldscope.llm.common import ddl, durable, whole
 from fieldscope.llm.wordbpe import printable_bytes
 
-WINDOW, END_ID, SHARD_IDS, QUERY_TERMS, K1, B = 2048, 1, 3_000_000, 12, 1.2, 0.75
+WINDOW, END_ID, K1, B = 2048, 1, 1.2, 0.75
+SHARD_IDS, TASK_IDS = 1 << 20, 1 << 26
 #: Fixed value: the split pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -60,50 +64,40 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+class Corpus:
+    """Counts over all documents, for BM25: their number, their mean length, and how many of them hold each id."""
+
+    def __init__(self, documents: int, ids: int, held: np.ndarray):
+        self.mean = max(1.0, ids / max(1, documents))
+        self.idf = np.log(1 + (documents - held + 0.5) / (held + 0.5))
+
+
 class Shard:
-    """An inverted index over the documents of a shard, and the packing of them into windows."""
+    """An inverted index over the documents of a shard, and the packing of them into windows. Ids are terms, but for the last one."""
 
-    def __init__(self, ids: list[np.ndarray]):
+    def __init__(self, ids: list[np.ndarray], corpus: Corpus, query_terms: int | None = None):
         self.ids, n = ids, len(ids)
-        lengths = np.array([len(x) for x in ids])
-        # A term is a pair of ids, hashed to 31 bits; pairs of a document are counted.
-        whole = np.concatenate(ids).astype(np.uint64)
-        term = (whole[:-1] * np.uint64(0x9E3779B1) ^ whole[1:] * np.uint64(0x85EBCA77)) & np.uint64(0x7FFFFFFF) if len(whole) > 1 else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(n), lengths)
-        inside = owner[:-1] == owner[1:]
-        key, tf = np.unique(term[inside] << np.uint64(32) | owner[:-1][inside].astype(np.uint64), return_counts=True)
-        term, doc = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        begin = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, int)
-        df = np.diff(np.append(begin, len(term)))
-        useful = np.repeat(df >= 2, df)  # a term of one document finds no neighbour
-        number = np.repeat(np.arange(len(df)), df)
-        self.begin, self.df, self.doc = begin, df, doc
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5)) if n else df
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1.0))
-        self.weight = (idf[number] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32) if len(doc) else np.zeros(0, np.float32)
-        # The rarest useful terms of each document: its query.
-        at = np.flatnonzero(useful)
-        small = np.min_scalar_type(n)  # two stable sorts of small integers, by count and then by document, take linear time
-        order = at[np.argsort(df[number[at]].astype(small), kind="stable")]
-        order = order[np.argsort(doc[order].astype(small), kind="stable")]
-        of = doc[order]
-        each = np.bincount(of, minlength=n)
-        place = np.arange(len(order)) - np.repeat(np.cumsum(each) - each, each)
-        order = order[place < QUERY_TERMS]
-        self.query, self.query_begin = number[order], np.searchsorted(doc[order], np.arange(n + 1))
+        lengths = np.array([len(x) - 1 for x in ids], np.int64)
+        term = np.concatenate([x[:-1] for x in ids]).astype(np.uint64)
+        key, tf = np.unique(term << np.uint64(32) | np.repeat(np.arange(n, dtype=np.uint64), lengths), return_counts=True)
+        term, self.doc = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        norm = K1 * (1 - B + B * (lengths + 1) / corpus.mean)
+        self.weight = corpus.idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
+        self.begin = np.searchsorted(term, np.arange(len(corpus.idf) + 1))
+        self.idf, self.query_terms = corpus.idf, query_terms
         self.alive, self.next = np.ones(n, bool), 0
 
     def neighbours(self, seed: int) -> list[int]:
-        """Unused documents that share rare terms with the seed, best BM25 score first, ties in their order."""
-        terms = self.query[self.query_begin[seed] : self.query_begin[seed + 1]]
-        if not len(terms):
+        """Unused documents that share terms with the seed, best BM25 score first, ties in their order."""
+        terms = np.unique(self.ids[seed][:-1])
+        if self.query_terms is not None:
+            terms = terms[np.argsort(-self.idf[terms], kind="stable")[: self.query_terms]]
+        spans = [slice(i, j) for i, j in zip(self.begin[terms].tolist(), self.begin[terms + 1].tolist(), strict=True) if j - i > 1]
+        if not spans:
             return []
-        spans = [slice(self.begin[t], self.begin[t] + self.df[t]) for t in terms]
-        docs, weights = np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans])
-        live = self.alive[docs]
-        docs, back = np.unique(docs[live], return_inverse=True)
-        score = np.bincount(back, weights[live], len(docs))
-        return docs[np.argsort(-score, kind="stable")].tolist()
+        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.ids))
+        found = np.flatnonzero(self.alive & (score > 0))
+        return found[np.argsort(-score[found], kind="stable")].tolist()
 
     def take(self, seed: int | None, budget: int) -> list[int]:
         """Documents to follow the seed until their ids reach the budget, or all are used."""
@@ -130,8 +124,9 @@ class Shard:
 class Packer:
     """Windows of a task, over its shards; an open window goes from one shard to the next."""
 
-    def __init__(self, partition: int):
+    def __init__(self, partition: int, corpus: Corpus, query_terms: int | None):
         self.sequence, self.used, self.base, self.rows = 0, 0, partition << 32, []
+        self.corpus, self.query_terms = corpus, query_terms
 
     def place(self, doc, ids: np.ndarray) -> None:
         start = 0
@@ -144,7 +139,7 @@ class Packer:
                 self.sequence, self.used = self.sequence + 1, 0
 
     def shard(self, docs: list, ids: list[np.ndarray]) -> None:
-        index, seed = Shard(ids), None
+        index, seed = Shard(ids, self.corpus, self.query_terms), None
         while True:
             taken = index.take(seed, WINDOW - self.used)
             if not taken:
@@ -171,15 +166,57 @@ class Packer:
                 done, used, left = done + m, used + m, left - m
 
 
+def encoded(df: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 16-bit, the end included), n, rare (the three highest ids in one number) of every row."""
+
+    def run(batches):
+        coder = byte_bpe(path)
+        for b in batches:
+            ids = [coder.encode(t) + END_ID.to_bytes(2, "little") for t in b.column("text").to_pylist()]
+            rare = []
+            for x in ids:
+                top = np.unique(np.frombuffer(x, "<u2"))[-3:].tolist()
+                rare.append(sum(t << 16 * i for i, t in enumerate(top, 3 - len(top))))
+            n = pa.array([len(x) // 2 for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), n, pa.array(rare, pa.int64())], ["doc_id", "ids", "n", "rare"])
+
+    rows = df.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {ddl(df, id_col)}, ids binary, n long, rare long")
+
+
+def corpus_counts(rows: DataFrame) -> Corpus:
+    """Over all rows of encoded(); one count for each id of the vocabulary comes to the driver."""
+
+    def held(batches):
+        n = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for x in b.column("ids").to_pylist():
+                n[np.unique(np.frombuffer(x, "<u2")[:-1])] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["id", "n"])
+
+    documents, ids = rows.agg(F.count("*"), F.sum("n")).first()
+    counts = rows.select("ids").mapInArrow(held, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << 16, np.int64)
+    total[counts["id"].to_numpy()] = counts["n"].to_numpy()
+    return Corpus(documents, ids or 0, total)
+
+
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
 
-def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, query_terms: int | None = None) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (binary, 32-bit) if asked for."""
     types = [None, *[pa.int64()] * 6, pa.binary()]
+    documents = durable(encoded(df, path, id_col, text_col))
+    corpus = corpus_counts(documents)
+    total = documents.agg(F.sum("n")).first()[0] or 0
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-total // TASK_IDS), min(-(-total // SHARD_IDS), 4 * cores))
+    ranged = documents.withColumn("salt", F.xxhash64("ids", "doc_id")).repartitionByRange(tasks, "rare", "salt").sortWithinPartitions("rare", "salt")
 
     def run(batches):
-        coder, packer, docs, ids, held, kind = byte_bpe(path), Packer(TaskContext.get().partitionId()), [], [], 0, None
+        packer, docs, ids, held, kind = Packer(TaskContext.get().partitionId(), corpus, query_terms), [], [], 0, None
 
         def rows(keep: int):
             ready = packer.rows[: len(packer.rows) - keep]
@@ -190,9 +227,9 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
 
         for b in batches:
             kind = b.schema.field("doc_id").type
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for doc, own in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 docs.append(doc)
-                ids.append(np.frombuffer(coder.encode(text) + END_ID.to_bytes(2, "little"), "<u2"))
+                ids.append(np.frombuffer(own, "<u2"))
                 held += len(ids[-1])
                 if held >= SHARD_IDS:
                     packer.shard(docs, ids)
@@ -204,5 +241,5 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
             packer.finish()
             yield from rows(0)
 
-    rows = df.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {ddl(df, id_col)}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
+    kinds = f"doc_id {ddl(df, id_col)}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return ranged.select("doc_id", "ids").mapInArrow(run, kinds + ", ids binary" * with_ids)
