@@ -1,13 +1,14 @@
 """Shards along a Hilbert curve, by DataFrame functions alone.
 
 Metadata columns are quantised to a few bits each and the cell's place on the Hilbert curve through that grid is looked up. Rows are
-ordered by (curve index, bucket of the id's hash, id) and the order is cut into runs whose counts differ by one at most, so a shard's
-files cover a compact region of all dimensions. The rank of a row is the number of rows in earlier (cell, bucket) groups plus its place
-in its own group; only counts of groups are summed globally. A cell has a bucket for every BUCKET_ROWS of its rows, so that one which holds
-a third of all rows is split accordingly. Only the counts of cells, 2**16 at most, are broadcast by intent.
+ordered by (curve index, bucket, id) and the order is cut into runs whose counts differ by one at most, so a shard's files cover a compact
+region of all dimensions and min/max statistics of any of them prune files. The rank of a row is the number of rows in earlier (cell, bucket)
+groups plus its place in its own group; only counts of groups are summed globally. A cell has a bucket for every BUCKET_ROWS of its rows, by
+a hash of the row, so that one which holds a third of all rows is split accordingly; equal rows are counted before the shuffle and get
+places one after another. Only the counts of cells, 2**16 at most, are broadcast.
 
 Defined results: a null dimension is quantised as 0; null text has no bytes; ties and repeated rows get places of their own; an empty
-table gives no rows; columns not named are not read. law is always "rows"; grown_shard is null.
+table gives no rows; columns not named are not read, or, by write_shards, written as they are. law is always "rows"; grown_shard is null.
 """
 
 from __future__ import annotations
@@ -61,36 +62,58 @@ def quantised_size(column: str, bits: int = BITS) -> Column:
     return F.least(F.when(n > 0, F.length(F.bin(n))).otherwise(0), F.lit((1 << bits) - 1))
 
 
-def id_bucket(id_col: str, buckets: Column) -> Column:
-    return F.coalesce(F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(0)) % buckets
-
-
-def shard(df: DataFrame, dims: list[Column], shards: int = SHARDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
+def cell_of(dims: list[Column], bits: int = BITS) -> Column:
     code = F.lit(0)
     for d in dims:
         code = code * (1 << bits) + d
-    cell = F.element_at(F.array(*(F.lit(h) for h in curve(len(dims), bits))), code.cast("int") + 1)
-    celled = df.withColumn("__cell", cell)
-    cell_rows = durable(celled.groupBy("__cell").agg(F.count("*").alias("__rows")))
-    rows_total = cell_rows.agg(F.sum("__rows")).first()[0] or 0
-    split = cell_rows.select("__cell", F.expr(f"cast((__rows + {BUCKET_ROWS - 1}) div {BUCKET_ROWS} as bigint)").alias("__buckets"))
-    place = celled.join(F.broadcast(split), "__cell").withColumn("__bucket", id_bucket(id_col, F.col("__buckets")))
+    return F.element_at(F.array(*(F.lit(h) for h in curve(len(dims), bits))), code.cast("int") + 1)
+
+
+def runs(rows: DataFrame, order: list[str], shards: int) -> DataFrame:
+    """rows (cell, spread, times, others) with shard and slot. spread: a text that parts the rows of a cell; times: equal rows that a row
+    stands for, which become as many rows; order: the columns that order the rows of a bucket."""
+    cell_rows = durable(rows.groupBy("cell").agg(F.sum("times").alias("n")))
+    total = max(1, cell_rows.agg(F.sum("n")).first()[0] or 0)
+    split = cell_rows.select("cell", F.expr(f"cast((n + {BUCKET_ROWS - 1}) div {BUCKET_ROWS} as bigint)").alias("buckets"))
+    bucket = F.conv(F.substring(F.md5(F.col("spread").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("buckets")
+    place = rows.join(F.broadcast(split), "cell").withColumn("bucket", bucket)
     # One row a group; the cells are 2**16 at most, and within a cell the sum runs over its buckets.
-    groups = place.groupBy("__cell", "__bucket").agg(F.count("*").alias("__n"))
-    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cell_rows.select("__cell", F.col("__rows").alias("__n")).select("__cell", before(Window.orderBy("__cell")).alias("__cells_before"))
-    groups = groups.withColumn("__buckets_before", before(Window.partitionBy("__cell").orderBy("__bucket")))
-    first = groups.join(cells, "__cell").select("__cell", "__bucket", (F.col("__cells_before") + F.col("__buckets_before")).alias("__before"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = place.select("__cell", "__bucket", F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    in_group = Window.partitionBy("__cell", "__bucket").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("__row", F.row_number().over(in_group) - 1).join(first, ["__cell", "__bucket"]).withColumn("__rank", F.col("__before") + F.col("__row"))
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = place.groupBy("cell", "bucket").agg(F.sum("times").alias("n"))
+    groups = groups.withColumn("in_cell", before("n", Window.partitionBy("cell").orderBy("bucket"))).drop("n")
+    cells = cell_rows.select("cell", before("n", Window.orderBy("cell")).alias("earlier"))
+    first = groups.join(F.broadcast(cells), "cell").select("cell", "bucket", (F.col("earlier") + F.col("in_cell")).alias("before"))
+    ranked = place.join(first, ["cell", "bucket"]).withColumn("own", before("times", Window.partitionBy("cell", "bucket").orderBy(*order)))
+    ranked = ranked.withColumn("equal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
     # Integer division, so that a large rank is not rounded.
-    ranked = ranked.withColumn("shard", F.expr(f"cast((__rank * {shards}L) div {max(1, rows_total)}L as int)"))
-    start = F.expr(f"(shard * {max(1, rows_total)}L + {shards - 1}L) div {shards}L")
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("__rank") - start).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("own") + F.col("equal")).withColumn("shard", F.expr(f"cast((rank * {shards}L) div {total}L as int)"))
+    start = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
+    return ranked.withColumn("slot", (F.col("rank") - start).cast("long")).drop("spread", "times", "buckets", "bucket", "before", "own", "equal", "rank")
+
+
+def shard(df: DataFrame, dims: list[Column], shards: int = SHARDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = [F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")]
+    rows = df.select(cell_of(dims, bits).alias("cell"), *own).groupBy("cell", "doc_id", "size", "text_crc32").agg(F.count("*").alias("times"))
+    spread = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32"), F.col("size"))
+    placed = runs(rows.withColumn("spread", spread), ["doc_id", "text_crc32", "size"], shards)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def write_shards(df: DataFrame, dims: list[Column], path: str, shards: int = SHARDS, bits: int = BITS, files: int | None = None, folder: str = "hilbert_shard") -> None:
+    """Writes df, with all its columns, as Parquet in a folder a shard, along the curve; `files` ranges (a shard each unless given) are tasks."""
+    row = F.struct("*")
+    rows = df.select(cell_of(dims, bits).alias("cell"), row.alias("row"), F.xxhash64(row).cast("string").alias("spread"), F.lit(1).cast("long").alias("times"))
+    placed = runs(rows.withColumn("hash", F.col("spread").cast("long")), ["hash"], shards)
+    ranged = placed.repartitionByRange(files or shards, "shard", "slot").sortWithinPartitions("shard", "slot")
+    ranged.select("row.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)
+
+
+def dimensions() -> list[Column]:
+    """Language, source and length of a document."""
+    return [quantised_text("lang"), quantised_text("source"), quantised_size("n_chars")]
 
 
 def shard_documents(docs: DataFrame) -> DataFrame:
-    return shard(docs, [quantised_text("lang"), quantised_text("source"), quantised_size("n_chars")])
+    return shard(docs, dimensions())

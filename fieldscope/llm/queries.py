@@ -55,16 +55,30 @@ def op10_simhash(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_toxicity, op4_quality_classifier, op5_packing, op6_sharding, op7_quality_rules, op8_line_dedup, op9_topk, op10_simhash)}
 
-_KEY = "md5(trim(x, ' '))"
+#: CRC-32 of the bytes of a text, whose table comes from the polynomial's rule; and the places of the cells along the curve.
+_CRC = """t AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END)) AS crc),
+b AS (SELECT *, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+c AS (SELECT doc_id, lang, source, n_chars, CAST(len(bytes) + 8 AS BIGINT) AS size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1]))) AS text_crc32 FROM b, t)"""
+_NAME = "coalesce(CAST('0x' || substr(md5({0}), 1, 4) AS INTEGER), 0) % 16"
+_SIZE = "CASE WHEN coalesce(n_chars, 0) > 0 THEN least(length(ltrim(bin(n_chars), '0')), 15) ELSE 0 END"
+_WHITE = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
+
 ORACLE_SQL = {
+    "op6_sharding": f"""
+WITH {_CRC}, place AS (SELECT {hilbert.curve(3, hilbert.BITS)} AS place),
+d AS (SELECT doc_id, size, text_crc32, place[1 + 256 * ({_NAME.format('lang')}) + 16 * ({_NAME.format('source')}) + {_SIZE}] AS cell, coalesce(CAST(doc_id AS VARCHAR), '') || '/' || text_crc32 || '/' || size AS spread FROM c, place),
+n AS (SELECT *, count(*) OVER (PARTITION BY cell) AS in_cell, count(*) OVER () AS total FROM d),
+r AS (SELECT *, row_number() OVER (ORDER BY cell, CAST('0x' || substr(md5(spread), 1, 8) AS BIGINT) % ((in_cell + {hilbert.BUCKET_ROWS - 1}) // {hilbert.BUCKET_ROWS}), doc_id, text_crc32, size) - 1 AS rank FROM n)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(rank * {hilbert.SHARDS} // total AS INTEGER) AS shard,
+    CAST(rank - ((rank * {hilbert.SHARDS} // total) * total + {hilbert.SHARDS - 1}) // {hilbert.SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM r""",
     "op8_line_dedup": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, string_split(text, chr(10)) AS lines FROM documents),
 hosts AS (SELECT source, count(*) AS host_pages FROM d GROUP BY source),
 counts AS (SELECT source, line, count(*) AS pages FROM (
-    SELECT DISTINCT rid, source, line FROM (SELECT rid, source, unnest(list_transform(lines, lambda x: trim(x, ' '))) AS line FROM d) WHERE line <> '') GROUP BY source, line),
+    SELECT DISTINCT rid, source, line FROM (SELECT rid, source, unnest(list_transform(lines, lambda x: trim(x, {_WHITE}))) AS line FROM d) WHERE line <> '') GROUP BY source, line),
 boiler AS (SELECT c.source, list(c.line) AS drops FROM counts c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
     WHERE c.pages >= {line_dedup.LEAST_PAGES} AND c.pages > {line_dedup.RATIO} * h.host_pages GROUP BY c.source),
-kept AS (SELECT d.*, CASE WHEN b.drops IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(b.drops, trim(x, ' '))) END AS k FROM d LEFT JOIN boiler b ON d.source IS NOT DISTINCT FROM b.source)
+kept AS (SELECT d.*, CASE WHEN b.drops IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(b.drops, trim(x, {_WHITE}))) END AS k FROM d LEFT JOIN boiler b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, source, array_to_string(k, chr(10)) AS text, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(k), 0) AS BIGINT) AS n_dropped FROM kept""",
     "op9_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
