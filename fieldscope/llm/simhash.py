@@ -1,22 +1,24 @@
 """SimHash near-duplicates by a distributed vantage-point tree.
 
 A fingerprint bit is set if it is set in over half the hashes of a text's word shingles. Equal fingerprints are collapsed first, so a
-group of copies counts once. A vantage-point tree built on a bounded sample deals the distinct fingerprints to shards: those within mu
-of a node's pivot go left, the others right. Two fingerprints within the radius of which one is left and one right are both within
-mu + radius of the pivot, so the right ones that near the boundary are also sent left and no pair is lost. Inside a shard the same
-recursion runs on arrays down to small leaves, which are compared whole; a shard returns a star for each of its groups, never all pairs.
-The stars are joined by alternating large-star and small-star steps.
-
-Wide fingerprints are searched in lanes: each lane is a choice of LANE_BITS of the bits with a tree of its own, and a pair that a lane brings
-together is linked if the whole fingerprints differ in `within` bits or fewer. With a least similarity, each row is also compared by its set of
-shingles with the nearest row outside its group, up to `doubt` bits, in each lane. That only merges most groups early. What makes the result
-whole is a search without fingerprints: all pairs of different groups that share a shingle of their prefixes (the first in one order for all
-texts) and that sizes, places and parities do not exclude are compared. No pair of the least similarity lacks such a shingle, so all are linked.
-These pairs can grow with the square of a family of texts that share a rare shingle and are in different groups.
+group of copies counts once. A vantage-point tree grown on a sample deals the distinct fingerprints to shards: those within mu of a node's
+pivot go left, the others right. Two fingerprints within the radius of which one is left and one right are both within mu + radius of the
+pivot, so the right ones that near the boundary are also sent left and no pair is lost. The sample holds PER_SHARD rows for each shard, so
+there are as many leaves as the rows need; a path whose copies add up to MOST_COPIES is not divided further. A leaf that is larger than a
+shard and that no boundary divides is cut into groups, and each two groups meet in a shard of their own. Inside a shard the same recursion
+runs on arrays down to small leaves, which are compared whole; a shard returns the pairs that span its groups, never all pairs. These are
+joined by alternating large-star and small-star steps.
+
+copy_groups (the pipeline's stage) links texts whose sets of shingles have a similarity (Jaccard) of `least` or more. Texts of equal sets
+are collapsed; the tree finds pairs of near fingerprints, which are compared by their sets. What the fingerprints miss is found without
+them: of two alike texts the first shingles, in one order for all texts, share one. Rows of such prefixes whose shingle occurs in one group
+only are dropped; then one row of each other group is compared with the first group's of its shingle, and last all pairs of still different
+groups that share a prefix shingle and that sizes, places and parities of shingles do not exclude. No pair of the least similarity is left
+out. The pairs of the last step can grow with the square of a family of texts that share a rare shingle and are not alike.
 
 Defined results: null and empty texts, and those without words, have fingerprint zero and are linked with each other; any length; rows
-that repeat share a fingerprint; rows without id keep their fingerprint and take the component of their equals; an empty table gives no
-rows; other columns are not read.
+that repeat share a fingerprint; rows without id keep their fingerprint and take the component of their equals; ids may be of any type with
+an order; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,14 +29,17 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import ddl, durable, whole
+from fieldscope.llm.common import ddl, durable, lookup, whole
 
-SEED, SAMPLE, LEAF, LANE_BITS = 42, 8192, 64, 24
+SEED, LEAF, PIECE = 42, 64, 65_536
+SHARD_ROWS, PER_SHARD = 32_768, 64
 #: A boundary near which more than this share of the rows lies divides too little to be worth its copies.
-MOST_COPIED = 0.45
+MOST_COPIED, MOST_COPIES = 0.45, 32.0
+#: Up to so many rows (of at most 100 bytes) are broadcast; beyond it the same join shuffles.
+BROADCAST_ROWS = 300_000
 
 
 def hashes(text: str, shingle: int) -> np.ndarray:
@@ -45,51 +50,29 @@ def hashes(text: str, shingle: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64)
 
 
-def fingerprint(h: np.ndarray, width: int = 1) -> bytes:
-    """width * 64 bits, little-endian; further words of a hash are mixed from it."""
-    if not len(h):
-        return bytes(8 * width)
-    totals = []
-    for k in range(width):
-        z = h
-        if k:  # the finaliser of SplitMix64
-            z = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            z = z ^ (z >> np.uint64(31))
-        bits = np.unpackbits(z.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        totals.append(sum(bits[i : i + 255].sum(axis=0, dtype=np.uint8).astype(np.int64) for i in range(0, len(bits), 255)))
-    return np.packbits(np.concatenate(totals) * 2 > len(h), bitorder="little").tobytes()
+def fingerprint(h: np.ndarray) -> bytes:
+    """64 bits, little-endian."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(h), PIECE):  # so that the bits of a long text are not all held
+        bits = np.unpackbits(h[at : at + PIECE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        for i in range(0, len(bits), 255):
+            total += bits[i : i + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(total * 2 > len(h), bitorder="little").tobytes()
 
 
-def fingerprints(df: DataFrame, shingle: int, width: int = 1, repeats: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (binary) of every row; no shuffle. Without `repeats` each shingle of a text counts once."""
+def fingerprints(df: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (binary) of every row; no shuffle."""
 
     def run(batches):
         for b in batches:
-            found = (hashes(t, shingle) for t in b.column("text").to_pylist())
-            fp = [fingerprint(h if repeats else np.unique(h), width) for h in found]
+            fp = [fingerprint(hashes(t, shingle)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.binary())], ["doc_id", "fp"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {ddl(df, id_col)}, fp binary")
 
 
-def lanes_of(width: int, lanes: int) -> list[np.ndarray]:
-    """The bits of each lane; one lane of all bits, or `lanes` choices of LANE_BITS, apart from each other as far as possible."""
-    if lanes == 1 and width == 1:
-        return [np.arange(64)]
-    rng, each = np.random.default_rng(7), 64 * width // LANE_BITS
-    return [x for _ in range(-(-lanes // each)) for x in rng.permutation(64 * width)[: each * LANE_BITS].reshape(each, LANE_BITS)][:lanes]
-
-
-def lane_values(fps: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """fps: (n, width) words. The lane's bits as one word each."""
-    if len(bits) == 64:
-        return fps[:, 0]
-    octets = np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), 8 * fps.shape[1])
-    chosen = octets[:, bits >> 3] >> (bits & 7).astype(np.uint8) & np.uint8(1)
-    return np.ascontiguousarray(np.packbits(np.pad(chosen, ((0, 0), (0, 64 - len(bits)))), axis=1, bitorder="little")).view("<u8")[:, 0]
+# The tree. A node is (pivot, mu, left, right), a leaf (number of its first shard, groups).
 
 
 def split_at(d: np.ndarray, radius: int) -> int:
@@ -100,36 +83,55 @@ def split_at(d: np.ndarray, radius: int) -> int:
     return int(mu[np.argmin(np.maximum(upto[mu + radius], len(d) - upto[mu]))])
 
 
-def grow(values: np.ndarray, depth: int, radius: int):
-    """A tree of (pivot, mu, left, right), None at leaves; on a sample. Pivots are its own values, in a fixed order."""
-    if depth == 0 or len(values) < 16:
-        return None
-    options = []
-    for i in range(3):
+def best_split(values: np.ndarray, radius: int, pivots: int):
+    """(pivot, mu, distances) of the boundary with the fewest copies, or None if none divides well. Pivots are values, in a fixed order."""
+    found = []
+    for i in range(pivots):
         pivot = values[(i * 7919) % len(values)]
         d = np.bitwise_count(values ^ pivot)
         mu = split_at(d, radius)
-        options.append((((d > mu) & (d <= mu + radius)).sum(), i, pivot, mu, d))
-    copied, _, pivot, mu, d = min(options, key=lambda x: x[:2])
-    if copied > MOST_COPIED * len(values) or not (d > mu + radius).any():
-        return None
-    return (pivot, mu, grow(values[d <= mu + radius], depth - 1, radius), grow(values[d > mu], depth - 1, radius))
+        left, right = int((d <= mu + radius).sum()), int((d > mu).sum())
+        if left + right <= (1 + MOST_COPIED) * len(values) and max(left, right) < 0.95 * len(values):
+            found.append((left + right, i, pivot, mu, d))
+    return min(found, key=lambda x: x[:2])[2:] if found else None
+
+
+def grow(values: np.ndarray, radius: int, scale: float, shard_rows: int, shards: list[int], copies: float = 1.0):
+    """A tree on a sample of which each value stands for `scale` rows; `shards` holds the number of shards and is counted up."""
+    rows = len(values) * scale
+    split = best_split(values, radius, 8) if rows > shard_rows and len(values) >= 16 and copies < MOST_COPIES else None
+    if split is None:
+        groups = max(1, math.ceil(rows / shard_rows))
+        leaf = (shards[0], groups)
+        shards[0] += groups * groups
+        return leaf
+    pivot, mu, d = split
+    left, right = values[d <= mu + radius], values[d > mu]
+    copies *= (len(left) + len(right)) / len(values)
+    return (pivot, mu, *(grow(side, radius, scale, shard_rows, shards, copies) for side in (left, right)))
 
 
 def dealt(tree, values: np.ndarray, rows: np.ndarray, radius: int, out: list) -> None:
-    """Appends the rows of each leaf, in the order of the leaves."""
-    if tree is None:
-        out.append(rows)
+    """Appends (rows, shards) of every leaf. In a leaf of several groups a row meets each other group in a shard of the two."""
+    if len(tree) == 4:
+        pivot, mu, left, right = tree
+        d = np.bitwise_count(values[rows] ^ pivot)
+        dealt(left, values, rows[d <= mu + radius], radius, out)
+        dealt(right, values, rows[d > mu], radius, out)
         return
-    pivot, mu, left, right = tree
-    d = np.bitwise_count(values[rows] ^ pivot)
-    dealt(left, values, rows[d <= mu + radius], radius, out)
-    dealt(right, values, rows[d > mu], radius, out)
+    first, groups = tree
+    own = ((values[rows] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % groups
+    for other in range(groups):
+        met = np.flatnonzero(own != other) if groups > 1 else np.arange(len(rows))
+        low, high = np.minimum(own[met], other), np.maximum(own[met], other)
+        out.append((rows[met], first + low * groups + high))
 
 
 class Union:
+    """Disjoint sets; `links` are the pairs that joined two of them."""
+
     def __init__(self, n: int):
-        self.up = np.arange(n)
+        self.up, self.links = list(range(n)), []
 
     def find(self, x: int) -> int:
         while self.up[x] != x:
@@ -138,257 +140,275 @@ class Union:
         return x
 
     def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
+        x, y = self.find(a), self.find(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.links.append((a, b))
 
-def nearest_in_doubt(i: np.ndarray, j: np.ndarray, d: np.ndarray, union: Union) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs (i, j) of different groups the nearest of each row."""
-    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    group = np.array([union.find(x) for x in rows.tolist()], int)[at]
-    gi, gj = group[: len(i)], group[len(i) :]
-    apart = gi != gj
-    i, j, d = i[apart], j[apart], d[apart]
-    row, other = np.concatenate([i, j]), np.concatenate([j, i])
-    order = np.lexsort((other, np.tile(d, 2), row))
-    first = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
-    pairs = np.unique(np.sort(np.stack([row[first], other[first]], axis=1), axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
 
-
-def search(values: np.ndarray, fps: np.ndarray, rows: np.ndarray, radius: int, within: int, union: Union, doubt: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """Unites all rows of a shard whose lane values differ in up to `radius` bits and whose fingerprints in up to `within`.
-
-    Returns the nearest pairs in doubt, which differ in more than `within` and up to `doubt` bits.
-    """
-    todo, open_pairs = [rows], [(np.zeros(0, int),) * 3]
+def search(values: np.ndarray, radius: int, union: Union) -> None:
+    """Unites all rows of a shard that differ in up to `radius` bits."""
+    todo = [np.arange(len(values))]
     while todo:
         rows = todo.pop()
         if len(rows) <= LEAF:
-            v, f = values[rows], fps[rows]
+            v = values[rows]
             i, j = np.nonzero(np.triu(np.bitwise_count(v[:, None] ^ v[None, :]) <= radius, 1))
-            d = np.bitwise_count(f[i] ^ f[j]).sum(axis=1, dtype=np.int64)
-            near, unsure = d <= within, (d > within) & (d <= doubt)
-            for a, b in zip(rows[i[near]].tolist(), rows[j[near]].tolist(), strict=True):
+            for a, b in zip(rows[i].tolist(), rows[j].tolist(), strict=True):
                 union.join(a, b)
-            open_pairs.append((rows[i[unsure]], rows[j[unsure]], d[unsure]))
-            continue
-        for k in range(4):
-            d = np.bitwise_count(values[rows] ^ values[rows[(k * 7919) % len(rows)]])
-            mu = split_at(d, radius)
-            left, right = rows[d <= mu + radius], rows[d > mu]
-            if len(left) + len(right) <= (1 + MOST_COPIED) * len(rows) and max(len(left), len(right)) < 0.95 * len(rows):
-                todo += [left, right]
-                break
+        elif (split := best_split(values[rows], radius, 4)) is not None:
+            _, mu, d = split
+            todo += [rows[d <= mu + radius], rows[d > mu]]
         else:  # so dense that no boundary divides it: flood from row to row, which leaves few to compare where rows are linked
             rest = rows
             while len(rest):
-                front, rest = [rest[0]], rest[1:]
+                front, rest = [int(rest[0])], rest[1:]
                 while front and len(rest):
                     x = front.pop()
-                    near = np.bitwise_count(fps[rest] ^ fps[x]).sum(axis=1, dtype=np.int64) <= within
+                    near = np.bitwise_count(values[rest] ^ values[x]) <= radius
                     for y in rest[near].tolist():
-                        union.join(int(x), y)
+                        union.join(x, y)
                     front += rest[near].tolist()
                     rest = rest[~near]
-            if doubt > within:
-                groups = np.array([union.find(x) for x in rows.tolist()])
-                for x, own in zip(rows, groups, strict=True):
-                    d = np.bitwise_count(fps[rows] ^ fps[x]).sum(axis=1, dtype=np.int64)
-                    unsure = np.flatnonzero((d > within) & (d <= doubt) & (groups != own))
-                    unsure = unsure[np.lexsort((rows[unsure], d[unsure]))[:1]]
-                    open_pairs.append((np.full(len(unsure), x), rows[unsure], d[unsure]))
-    return nearest_in_doubt(*(np.concatenate(x) for x in zip(*open_pairs, strict=True)), union)
 
 
-def _words(column, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, width)
+def _words(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8")
 
 
-def stars(distinct: DataFrame, n: int, width: int, lanes: int, radius: int, within: int, doubt: int, shard_rows: int) -> DataFrame:
-    """a, b, sure: a tree of sure links over each group of a shard, and the nearest pairs in doubt. distinct: rep, grp (long), fp; n: its rows."""
-    choices = lanes_of(width, lanes)
-    depth = max(0, min(14, math.ceil(math.log2(max(1, n) / shard_rows))))
-    sample = _words(distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 20))).select("fp").limit(2 * SAMPLE).toArrow()["fp"].combine_chunks(), width)
-    trees = [grow(lane_values(sample, bits), depth, radius) for bits in choices]
+def near_pairs(rows: DataFrame, n: int, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """a, b: pairs of nodes within the radius that span each group of a shard. rows: node (of any type), fp; n: their number."""
+    want = max(8192.0, PER_SHARD * n / shard_rows)
+    share = min(1.0, want / max(1, n))
+    values = _words(rows.where(F.rand(11) < share).select("fp").toArrow()["fp"].combine_chunks())
+    tree = grow(values, radius, 1 / share, shard_rows, [0])
+    kind = ddl(rows, "node")
 
     def route(batches):
         for b in batches:
-            fps, rows, shards, begin = _words(b.column("fp"), width), [], [], 0
-            for bits, tree in zip(choices, trees, strict=True):
-                leaves: list = []
-                dealt(tree, lane_values(fps, bits), np.arange(len(fps)), radius, leaves)
-                rows += leaves
-                shards += [np.full(len(x), begin + i) for i, x in enumerate(leaves)]
-                begin += 1 << 14
-            for at in range(0, len(rows), 8):
-                r = np.concatenate(rows[at : at + 8])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards[at : at + 8]), pa.int32()), b.column("rep").take(pa.array(r)), b.column("grp").take(pa.array(r)), b.column("fp").take(pa.array(r))], ["shard", "rep", "grp", "fp"])
-
-    def link(key, t):
-        fps, reps, groups = _words(t["fp"].combine_chunks(), width), t["rep"].to_numpy(), t["grp"].to_numpy()
-        order = np.argsort(reps)
-        fps, reps, groups = fps[order], reps[order], groups[order]
-        union, order = Union(len(reps)), np.argsort(groups, kind="stable")
-        for k in np.flatnonzero(groups[order[1:]] == groups[order[:-1]]).tolist():
-            union.join(int(order[k]), int(order[k + 1]))
-        i, j = search(lane_values(fps, choices[key[0].as_py() >> 14]), fps, np.arange(len(reps)), radius, within, union, doubt)
-        own = np.flatnonzero(union.up != np.arange(len(reps)))
-        root = np.array([union.find(i) for i in own.tolist()], int)
-        a, b = np.concatenate([reps[own], reps[i]]), np.concatenate([reps[root], reps[j]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array(np.arange(len(a)) < len(own))})
-
-    return distinct.mapInArrow(route, "shard int, rep long, grp long, fp binary").groupBy("shard").applyInArrow(link, "a long, b long, sure boolean")
+            out: list = []
+            dealt(tree, _words(b.column("fp")), np.arange(b.num_rows), radius, out)
+            for at in range(0, len(out), 8):
+                r = pa.array(np.concatenate([x for x, _ in out[at : at + 8]]))
+                shard = pa.array(np.concatenate([s for _, s in out[at : at + 8]]), pa.int64())
+                yield pa.RecordBatch.from_arrays([shard, b.column("node").take(r), b.column("fp").take(r)], ["shard", "node", "fp"])
+
+    def link(t):
+        t = t.sort_by([("fp", "ascending")])
+        nodes, union = t["node"].combine_chunks(), Union(len(t))
+        search(_words(t["fp"].combine_chunks()), radius, union)
+        a, b = (pa.array([x[i] for x in union.links], pa.int64()) for i in (0, 1))
+        return pa.table({"a": nodes.take(a), "b": nodes.take(b)})
+
+    return rows.select("node", "fp").mapInArrow(route, f"shard long, node {kind}, fp binary").groupBy("shard").applyInArrow(link, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of the links (a, b); a written table after each round."""
     greater = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    edges = durable(edges.where("a <> b").select(*greater).distinct())
-    state = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+
+    def settled(links: DataFrame):
+        links = durable(links.where("a <> b").select(*greater).distinct())
+        return links, links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+
+    def least(links: DataFrame) -> DataFrame:
+        return links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("held"))
+
+    edges, state = settled(edges)
     while state[0]:
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = durable(small.select(*greater).distinct())
-        after = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        met = lookup(both, least(both), "a", "held", 2 * state[0])
+        large = met.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
+        lowest = least(large)
+        met = lookup(large, lowest, "a", "held", state[0])
+        small = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b")))
+        edges, after = settled(small)
         if after == state:
             break
         state = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def alike(df: DataFrame, pairs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose sets of shingles have a similarity (Jaccard) of `least` or more."""
+def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id of every row; fingerprints link at `radius` or fewer differing bits."""
+    fps = durable(fingerprints(df, shingle, id_col, text_col))
+    distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("held")))
+    n, total = distinct.agg(F.count("*"), F.sum("held")).first()
+    found = components(near_pairs(distinct.select(F.col("fp").alias("node"), "fp"), n, radius, shard_rows))
+    grouped = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least_id", "held", F.coalesce("component", "fp").alias("component"))
+    ids = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("fps"))
+    named = lookup(grouped, ids, "component", "fps", n).select("fp", "component_id", "held")
+    return lookup(fps, named, "fp", "held", total or 0).select("doc_id", "fp", "component_id")
 
-    def sets(batches):
-        for b in batches:
-            found = [np.unique(hashes(t, shingle)).astype("<u8").tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], ["id", "grams"])
 
-    def compare(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+def hex_of(fp: str = "fp"):
+    """64 bits as 16 hexadecimal digits, the highest first."""
+    return F.lower(F.concat(*(F.substring(F.hex(fp), 2 * i + 1, 2) for i in range(7, -1, -1))))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text")).join(ids, "id", "left_semi")
-    grams = durable(texts.mapInArrow(sets, "id long, grams binary"))
-    one, two = grams.toDF("a", "x"), grams.toDF("b", "y")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
+# Texts that are alike by their sets of shingles.
 
-def prefixes(texts: DataFrame, shingle: int, least: float, common: np.ndarray, counts: np.ndarray, shorter: bool) -> DataFrame:
-    """token, rep, grp, size, at, m0, m1 of each text's first shingles in the order of (counts, hash): so many that an alike text must share one.
 
-    For the `shorter` of two alike texts fewer are enough. m0 and m1 are the parities of the shingles in 128 cells.
-    """
-    share = 2 * least / (1 + least) if shorter else least
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, digest, text: rows of equal id and digest hold the same text."""
+    text = whole(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
 
-    def run(batches):
-        for b in batches:
-            rows, held = [], 0
-            for rep, grp, text in zip(b.column("id").to_pylist(), b.column("grp").to_pylist(), b.column("text").to_pylist(), strict=True):
-                h = np.unique(hashes(text, shingle))
-                if len(h):
-                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    seen = np.where(common[at] == h, counts[at], 0) if len(common) else np.zeros(len(h), int)
-                    n = len(h) - math.ceil(share * len(h) - 1e-9) + 1
-                    m = np.packbits(np.bincount((h & np.uint64(127)).astype(int), minlength=128).astype(np.uint8) & 1).view(np.int64)
-                    rows.append((h[np.lexsort((h, seen))[:n]].view(np.int64), rep, grp, len(h), *m))
-                    held += n
-                if held > 200_000:
-                    yield table_of(rows)
-                    rows, held = [], 0
-            if rows:
-                yield table_of(rows)
-
-    def table_of(rows):
-        each = [len(r[0]) for r in rows]
-        rest = [np.repeat(np.array(c, np.int64), each) for c in zip(*(r[1:] for r in rows), strict=True)]
-        at = np.concatenate([np.arange(n) for n in each])
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate([r[0] for r in rows]), *rest[:3], at, *rest[3:])], ["token", "rep", "grp", "size", "at", "m0", "m1"])
-
-    return texts.mapInArrow(run, "token long, rep long, grp long, size long, at long, m0 long, m1 long")
-
-
-def sharing_prefixes(df: DataFrame, groups: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """a, b: all pairs of different groups (rep, grp) whose shingles can have a similarity of `least` or more; none that has it is left out.
-
-    Of two such texts the first shingles, in one order for all texts, share one. Rare shingles come first, by counts of a sample, which saves pairs
-    and does not change what is found. Sizes, places and parities exclude pairs that cannot get there.
-    """
-    def each_shingle(batches):
+
+def shingle_order(texts: DataFrame, n: int, shingle: int, rows: int = 8192, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of about `rows` texts holds in two texts or more, sorted, and their counts. They only save pairs."""
+
+    def each(batches):
         for b in batches:
             for t in b.column("text").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(t, shingle)).view(np.int64))], ["h"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
-    texts = rows.join(groups.withColumnRenamed("rep", "id"), "id").distinct()
-    part = int(min(1.0, SAMPLE / max(1, groups.count())) * (1 << 20))
-    sample = rows.join(groups.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < part).select(F.col("rep").alias("id")), "id", "left_semi").distinct()
-    often = sample.mapInArrow(each_shingle, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(200_000).toArrow()
+    sample = texts.select("text").where(F.rand(5) < min(1.0, rows / max(1, n)))
+    often = sample.mapInArrow(each, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(most).toArrow()
     common, counts = often["h"].to_numpy().view(np.uint64), often["count"].to_numpy()
     order = np.argsort(common)
-    common, counts = common[order], counts[order]
-    x, y = (prefixes(texts, shingle, least, common, counts, shorter).alias(k) for k, shorter in (("x", True), ("y", False)))
-    both, fits = "(x.size + y.size)", f"x.size >= {least!r} * y.size - 1e-9 and (x.size < y.size or x.size = y.size and x.rep < y.rep)"
-    room = f"least(x.size - x.at, y.size - y.at) >= {least / (1 + least)!r} * {both} - 1e-9"
-    cells = f"bit_count(x.m0 ^ y.m0) + bit_count(x.m1 ^ y.m1) <= {(1 - least) / (1 + least)!r} * {both} + 1e-9"
-    found = x.join(y, F.expr(f"x.token = y.token and x.grp <> y.grp and {fits} and {room} and {cells}"))
-    return found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    return common[order], counts[order]
 
 
-def merged(found: DataFrame, links: DataFrame) -> DataFrame:
-    """The components (node, component) after further links (a, b)."""
-    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+def prefix_length(size: int, share: float) -> int:
+    return size - math.ceil(share * size - 1e-9) + 1
 
 
-def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, width: int = 1, lanes: int = 1, within: int | None = None, doubt: int = -1, least: float | None = None, repeats: bool = True, shard_rows: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id of every row; fingerprints link at `radius` or fewer differing bits of a lane and `within` of all.
+def signatures(texts: DataFrame, shingle: int, least: float, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """id, digest, key of the set of shingles, fp, size, parities (m0, m1) of the shingles in 128 cells, and the set's prefix.
 
-    With `least`, also all those whose shingles have that similarity, whatever their bits.
+    The prefix holds the first shingles in the order of (count, hash), rare ones first: so many that a smaller alike set shares one.
     """
-    fps = durable(fingerprints(df, shingle, width, repeats, id_col, text_col))
-    least_id = F.min(F.col("doc_id").cast("long"))
-    distinct = durable(fps.groupBy("fp").agg(least_id.alias("rep"), least_id.alias("grp")))
-    how = width, lanes, radius, radius if within is None else within, doubt, shard_rows
-    links = stars(distinct.where("rep is not null"), distinct.count(), *how)
-    if least is None:
-        found = components(links.select("a", "b"))
-    else:
-        links = durable(links)
-        found = components(links.where("sure").select("a", "b"))
-        unsure = durable(links.where("not sure").select("a", "b").distinct())
-        found = merged(found, alike(df, unsure, shingle, least, id_col, text_col))
-        nodes = distinct.where("rep is not null").select("rep").distinct()
-        groups = durable(nodes.join(found, nodes["rep"] == found["node"], "left").select("rep", F.coalesce("component", "rep").alias("grp")))
-        pairs = durable(sharing_prefixes(df, groups, shingle, least, id_col, text_col))
-        found = merged(found, alike(df, pairs, shingle, least, id_col, text_col))
-    named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    types = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    names = ["key", "fp", "size", "m0", "m1", "prefix"]
+
+    def signed(text: str):
+        h = np.unique(hashes(text, shingle))
+        key, fp = xxhash.xxh3_128_digest(h.tobytes()), fingerprint(h)
+        if not len(h):
+            return key, fp, 0, 0, 0, []
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        seen = np.where(common[at] == h, counts[at], 0) if len(common) else np.zeros(len(h), int)
+        cells = np.bincount((h & np.uint64(127)).astype(int), minlength=128).astype(np.uint8) & 1
+        m0, m1 = np.packbits(cells).view(np.int64).tolist()
+        return key, fp, len(h), m0, m1, h[np.lexsort((h, seen))[: prefix_length(len(h), least)]].view(np.int64)
 
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                found = zip(*map(signed, part.column("text").to_pylist()), strict=True)
+                columns = [pa.array(c, t) for c, t in zip(found, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), *columns], ["id", "digest", *names])
 
-def hex_of(fp: str = "fp"):
-    """64 bits as 16 hexadecimal digits, the highest first."""
-    return F.lower(F.concat(*(F.substring(F.hex(fp), 2 * i + 1, 2) for i in range(7, -1, -1))))
+    return texts.mapInArrow(run, f"id {ddl(texts, 'id')}, digest string, key binary, fp binary, size long, m0 long, m1 long, prefix array<long>")
 
 
-#: For a similarity (Jaccard) of 0.8 of sets of shingles the angle of their vectors is arccos(0.889), which 78 of 512 bits show on average,
-#: with a deviation of 8. 57 or fewer leave little doubt (1 in 300 pairs of 0.79 gets there). All other pairs of 0.8 are found by their shingles.
-STAGE = {"shingle": 5, "width": 8, "lanes": 20, "radius": 1, "within": 57, "doubt": 98, "least": 0.8, "repeats": False, "shard_rows": 65_536}
+def alike(texts: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of sets whose similarity is `least` or more. sets: rep, home (id and digest of a row with that set)."""
+
+    def grams_of(batches):
+        for b in batches:
+            found = [np.unique(hashes(t, shingle)).astype("<u8").tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(found, pa.binary())], ["rep", "grams"])
+
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    pairs = durable(pairs)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
+    homes = durable(sets.join(asked, "rep").select("rep", "home.id", "home.digest"))
+    few = F.broadcast(homes) if homes.count() <= BROADCAST_ROWS else homes
+    found = texts.join(few, ["id", "digest"]).select("rep", "text")
+    grams = durable(found.mapInArrow(grams_of, "rep long, grams binary").dropDuplicates(["rep"]))
+    total, met = pairs.count(), pairs
+    for node, column in (("a", "x"), ("b", "y")):  # the sets of hot nodes are broadcast: 200 at most
+        times = pairs.groupBy(node).agg(F.count("*").alias("held"))
+        own = grams.join(times, grams["rep"] == times[node]).select(node, F.col("grams").alias(column), "held")
+        met = lookup(met, own, node, "held", total, 200)
+    return met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, digest, key), sets (key, held, grp) and groups (grp, sets, first: id and digest of the group's first row)."""
+    texts = identified(docs, id_col, text_col)
+    signed = durable(signatures(texts, shingle, least, *shingle_order(texts, docs.count(), shingle)))
+    # All columns but id and digest are the same for equal sets, so that any row gives them.
+    one = [F.first(c).alias(c) for c in ("fp", "size", "m0", "m1", "prefix")]
+    sets = signed.groupBy("key").agg(F.min(F.struct("id", "digest")).alias("home"), F.count("*").alias("held"), *one)
+    sets = durable(sets.withColumn("rep", F.monotonically_increasing_id()))
+    measures = sets.select("rep", "size", "m0", "m1")
+
+    def grouped(rows: DataFrame, found: DataFrame) -> DataFrame:
+        named = found.select(F.col("node").alias("rep"), "component")
+        return rows.join(named, "rep", "left").withColumn("grp", F.coalesce("component", "rep")).drop("component")
+
+    def merged(found: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        links = alike(texts, sets, pairs, shingle, least)
+        return components(links if found is None else links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    def several(rows: DataFrame) -> DataFrame:
+        """Rows whose shingle occurs in several groups."""
+        w = Window.partitionBy("token")
+        return rows.withColumns({"low": F.min("grp").over(w), "high": F.max("grp").over(w)}).where("low <> high").drop("low", "high")
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*(F.col(c).alias(c if c == "token" else f"{name}_{c}") for c in rows.columns))
+
+    found = merged(None, near_pairs(sets.select(F.col("rep").alias("node"), "fp"), sets.count(), radius))
+    tokens = grouped(sets.select("rep", "prefix"), found).select("rep", "grp", F.posexplode("prefix").alias("at", "token"))
+    shared = durable(several(tokens))
+    # One row of each group against the first of its shingle: as many pairs as rows, which join most of what the tree left apart.
+    heads = shared.groupBy("token", "grp").agg(F.min("rep").alias("x_rep"))
+    heads = heads.withColumn("y_rep", F.min("x_rep").over(Window.partitionBy("token"))).where("x_rep <> y_rep").select("x_rep", "y_rep").distinct()
+    heads = heads.join(side(measures, "x"), "x_rep").join(side(measures, "y"), "y_rep").where(possible(least))
+    found = merged(found, heads.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")))
+    # Then all pairs of groups that are still apart.
+    rest = durable(several(grouped(shared.drop("grp"), found)).join(measures, "rep"))
+    apart = f"x_grp <> y_grp and x_rep < y_rep and {possible(least)} and {in_place(least)}"
+    x, y = side(rest, "x").alias("x"), side(rest, "y").alias("y")
+    pairs = x.join(y, F.expr("x.token = y.token and " + apart)).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
+    found = merged(found, pairs)
+    homes = grouped(sets.select("rep", "key", "home", "held"), found)
+    return signed.select("id", "digest", "key"), homes, homes.groupBy("grp").agg(F.min("home").alias("first"), F.count("*").alias("sets"))
+
+
+def possible(least: float) -> str:
+    """Whether sizes and parities of two sets (x, y) leave the similarity possible."""
+    both = "(x_size + y_size)"
+    cells = f"bit_count(x_m0 ^ y_m0) + bit_count(x_m1 ^ y_m1) <= {(1 - least) / (1 + least)!r} * {both} + 1e-9"
+    return f"(least(x_size, y_size) >= {least!r} * greatest(x_size, y_size) - 1e-9 and {cells})"
+
+
+def in_place(least: float) -> str:
+    """Whether a shingle at the places x_at and y_at can be the first that two sets of the similarity share."""
+    share, small = 2 * least / (1 + least), "least(x_size, y_size)"
+    room = f"least(x_size - x_at, y_size - y_at) >= {least / (1 + least)!r} * (x_size + y_size) - 1e-9"
+    return f"({room} and if(x_size <= y_size, x_at, y_at) < {small} - ceil({share!r} * {small} - 1e-9) + 1)"
+
+
+def near_copies(docs: DataFrame, **how) -> DataFrame:
+    """id, digest, first (id and digest of its group's first row, by id) of every row of docs."""
+    rows, homes, groups = copy_groups(docs, **how)
+    named = lookup(homes, groups, "grp", "sets", homes.count()).select("key", "first", "held")
+    return lookup(rows, named, "key", "held", rows.count()).select("id", "digest", "first")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Of each group of near-copies the row with the smallest id, with all columns; rows without id stay."""
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, **(STAGE | how))
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    one = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    """Of each group of near-copies the row with the smallest id, with all columns; rows without id stay.
+
+    Of rows that share the id, that with the least digest of its text stays, and of those that share the text too, the first by a hash of all
+    columns: the same on every run.
+    """
+    own = docs.where(F.col(id_col).isNotNull())
+    firsts = copy_groups(own, id_col=id_col, text_col=text_col, **how)[2].select("first.id", "first.digest")
+    marked = own.select(F.col(id_col).alias("id"), F.md5(whole(text_col).cast("binary")).alias("digest"), F.struct("*").alias("row"))
+    w = Window.partitionBy("id", "digest").orderBy(F.xxhash64("row"))
+    one = marked.join(firsts, ["id", "digest"], "left_semi").withColumn("place", F.row_number().over(w)).where("place = 1").select("row.*")
     return one.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
