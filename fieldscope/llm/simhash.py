@@ -249,13 +249,21 @@ def hex_of(fp: str = "fp"):
 # Texts that are alike by their sets of shingles.
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """rows (of at most 100 bytes each) with a hint to broadcast them, if their counted number is small; else as they are, to be shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def digest(text_col: str):
+    return F.unhex(F.md5(whole(text_col).cast("binary")))
+
+
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, digest, text: rows of equal id and digest hold the same text."""
-    text = whole(text_col)
-    return docs.select(F.col(id_col).alias("id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("id"), digest(text_col).alias("digest"), whole(text_col).alias("text"))
 
 
-def shingle_order(texts: DataFrame, n: int, shingle: int, rows: int = 8192, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def shingle_order(texts: DataFrame, n: int, shingle: int, rows: int = 2048, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample of about `rows` texts holds in two texts or more, sorted, and their counts. They only save pairs."""
 
     def each(batches):
@@ -270,28 +278,31 @@ def shingle_order(texts: DataFrame, n: int, shingle: int, rows: int = 8192, most
     return common[order], counts[order]
 
 
+CELLS = 2048
+
+
 def prefix_length(size: int, share: float) -> int:
     return size - math.ceil(share * size - 1e-9) + 1
 
 
 def signatures(texts: DataFrame, shingle: int, least: float, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """id, digest, key of the set of shingles, fp, size, parities (m0, m1) of the shingles in 128 cells, and the set's prefix.
+    """id, digest, key of the set of shingles, fp, size, parities of the shingles in CELLS cells, and the set's prefix.
 
     The prefix holds the first shingles in the order of (count, hash), rare ones first: so many that a smaller alike set shares one.
     """
-    types = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    names = ["key", "fp", "size", "m0", "m1", "prefix"]
+    types = [pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = ["key", "fp", "size", "parities", "prefix"]
 
     def signed(text: str):
         h = np.unique(hashes(text, shingle))
         key, fp = xxhash.xxh3_128_digest(h.tobytes()), fingerprint(h)
         if not len(h):
-            return key, fp, 0, 0, 0, []
+            return key, fp, 0, [0] * (CELLS // 64), []
         at = np.minimum(np.searchsorted(common, h), len(common) - 1)
         seen = np.where(common[at] == h, counts[at], 0) if len(common) else np.zeros(len(h), int)
-        cells = np.bincount((h & np.uint64(127)).astype(int), minlength=128).astype(np.uint8) & 1
-        m0, m1 = np.packbits(cells).view(np.int64).tolist()
-        return key, fp, len(h), m0, m1, h[np.lexsort((h, seen))[: prefix_length(len(h), least)]].view(np.int64)
+        odd = np.bincount((h % np.uint64(CELLS)).astype(int), minlength=CELLS).astype(np.uint8) & 1
+        first = h[np.lexsort((h, seen))[: prefix_length(len(h), least)]]
+        return key, fp, len(h), np.packbits(odd).view(np.int64), first.view(np.int64)
 
     def run(batches):
         for b in batches:
@@ -301,37 +312,52 @@ def signatures(texts: DataFrame, shingle: int, least: float, common: np.ndarray,
                 columns = [pa.array(c, t) for c, t in zip(found, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), *columns], ["id", "digest", *names])
 
-    return texts.mapInArrow(run, f"id {ddl(texts, 'id')}, digest string, key binary, fp binary, size long, m0 long, m1 long, prefix array<long>")
+    return texts.mapInArrow(run, f"id {ddl(texts, 'id')}, digest binary, key binary, fp binary, size long, parities array<long>, prefix array<long>")
+
+
+#: Pairs of one node that meet its text in one task.
+TOGETHER = 256
 
 
 def alike(texts: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of sets whose similarity is `least` or more. sets: rep, home (id and digest of a row with that set)."""
+    """Those of the pairs (a, b) of sets whose similarity is `least` or more. sets: rep, home (id and digest of a row with that set).
 
-    def grams_of(batches):
-        for b in batches:
-            found = [np.unique(hashes(t, shingle)).astype("<u8").tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(found, pa.binary())], ["rep", "grams"])
+    Texts, which are much smaller than their hashed shingles, are brought to the pairs. The pairs of a hot node are parted by a hash, and its
+    text is sent to each part.
+    """
 
     def compare(batches):
+        seen: dict[int, np.ndarray] = {}
+
+        def grams(node: int, text: str) -> np.ndarray:
+            if node not in seen:
+                if len(seen) >= TOGETHER:
+                    seen.clear()
+                seen[node] = np.unique(hashes(text, shingle))
+            return seen[node]
+
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
+                x, y = grams(a, x), grams(b, y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     pairs = durable(pairs)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
+    total, asked = pairs.count(), pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     homes = durable(sets.join(asked, "rep").select("rep", "home.id", "home.digest"))
-    few = F.broadcast(homes) if homes.count() <= BROADCAST_ROWS else homes
-    found = texts.join(few, ["id", "digest"]).select("rep", "text")
-    grams = durable(found.mapInArrow(grams_of, "rep long, grams binary").dropDuplicates(["rep"]))
-    total, met = pairs.count(), pairs
-    for node, column in (("a", "x"), ("b", "y")):  # the sets of hot nodes are broadcast: 200 at most
-        times = pairs.groupBy(node).agg(F.count("*").alias("held"))
-        own = grams.join(times, grams["rep"] == times[node]).select(node, F.col("grams").alias(column), "held")
-        met = lookup(met, own, node, "held", total, 200)
+    met, parts = pairs, []
+    for node in ("a", "b"):
+        held = pairs.groupBy(node).agg(F.count("*").alias("held")).withColumn("parts", F.ceil(F.col("held") / TOGETHER))
+        met = lookup(met, held, node, "held", total).withColumn(f"{node}_part", F.pmod(F.xxhash64("a", "b"), "parts")).drop("parts")
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        parts.append(held.select(F.lit(node).alias("side"), F.col(node).alias("rep"), each.alias("part")))
+    sent = durable(homes.join(parts[0].unionByName(parts[1]), "rep"))
+    found = texts.join(small(sent), ["id", "digest"]).select("side", "rep", "part", "text").dropDuplicates(["rep", "part", "side"])
+    for node, column in (("a", "x"), ("b", "y")):
+        own = found.where(F.col("side") == node).select(F.col("rep").alias(node), F.col("part").alias(f"{node}_part"), F.col("text").alias(column))
+        met = met.join(own, [node, f"{node}_part"])
     return met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
@@ -340,14 +366,14 @@ def copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
     texts = identified(docs, id_col, text_col)
     signed = durable(signatures(texts, shingle, least, *shingle_order(texts, docs.count(), shingle)))
     # All columns but id and digest are the same for equal sets, so that any row gives them.
-    one = [F.first(c).alias(c) for c in ("fp", "size", "m0", "m1", "prefix")]
+    one = [F.first(c).alias(c) for c in ("fp", "size", "parities", "prefix")]
     sets = signed.groupBy("key").agg(F.min(F.struct("id", "digest")).alias("home"), F.count("*").alias("held"), *one)
     sets = durable(sets.withColumn("rep", F.monotonically_increasing_id()))
-    measures = sets.select("rep", "size", "m0", "m1")
+    measures = sets.select("rep", "size", "parities")
 
     def grouped(rows: DataFrame, found: DataFrame) -> DataFrame:
         named = found.select(F.col("node").alias("rep"), "component")
-        return rows.join(named, "rep", "left").withColumn("grp", F.coalesce("component", "rep")).drop("component")
+        return rows.join(small(named), "rep", "left").withColumn("grp", F.coalesce("component", "rep")).drop("component")
 
     def merged(found: DataFrame | None, pairs: DataFrame) -> DataFrame:
         links = alike(texts, sets, pairs, shingle, least)
@@ -358,6 +384,15 @@ def copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
         w = Window.partitionBy("token")
         return rows.withColumns({"low": F.min("grp").over(w), "high": F.max("grp").over(w)}).where("low <> high").drop("low", "high")
 
+    def possible(pairs: DataFrame) -> DataFrame:
+        """a, b of those pairs (x_rep, y_rep) whose sizes and parities do not exclude the similarity."""
+        pairs = durable(pairs)
+        nodes = pairs.select(F.explode(F.array("x_rep", "y_rep")).alias("rep")).distinct()
+        own = durable(measures.join(small(nodes), "rep", "left_semi"))
+        near = pairs.join(side(own, "x"), "x_rep").join(side(own, "y"), "y_rep").where(sizes_allow(least))
+        odd = F.aggregate(F.zip_with("x_parities", "y_parities", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        return near.where(odd <= (1 - least) / (1 + least) * (F.col("x_size") + F.col("y_size")) + 1e-9).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
+
     def side(rows: DataFrame, name: str) -> DataFrame:
         return rows.select(*(F.col(c).alias(c if c == "token" else f"{name}_{c}") for c in rows.columns))
 
@@ -367,30 +402,25 @@ def copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
     # One row of each group against the first of its shingle: as many pairs as rows, which join most of what the tree left apart.
     heads = shared.groupBy("token", "grp").agg(F.min("rep").alias("x_rep"))
     heads = heads.withColumn("y_rep", F.min("x_rep").over(Window.partitionBy("token"))).where("x_rep <> y_rep").select("x_rep", "y_rep").distinct()
-    heads = heads.join(side(measures, "x"), "x_rep").join(side(measures, "y"), "y_rep").where(possible(least))
-    found = merged(found, heads.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")))
+    found = merged(found, possible(heads))
     # Then all pairs of groups that are still apart.
-    rest = durable(several(grouped(shared.drop("grp"), found)).join(measures, "rep"))
-    apart = f"x_grp <> y_grp and x_rep < y_rep and {possible(least)} and {in_place(least)}"
-    x, y = side(rest, "x").alias("x"), side(rest, "y").alias("y")
-    pairs = x.join(y, F.expr("x.token = y.token and " + apart)).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
-    found = merged(found, pairs)
+    rest = durable(several(grouped(shared.drop("grp"), found)).join(measures.drop("parities"), "rep"))
+    apart = f"x.token = y.token and x_grp <> y_grp and x_rep < y_rep and {in_place(least)}"
+    pairs = side(rest, "x").alias("x").join(side(rest, "y").alias("y"), F.expr(apart)).select("x_rep", "y_rep").distinct()
+    found = merged(found, possible(pairs))
     homes = grouped(sets.select("rep", "key", "home", "held"), found)
     return signed.select("id", "digest", "key"), homes, homes.groupBy("grp").agg(F.min("home").alias("first"), F.count("*").alias("sets"))
 
 
-def possible(least: float) -> str:
-    """Whether sizes and parities of two sets (x, y) leave the similarity possible."""
-    both = "(x_size + y_size)"
-    cells = f"bit_count(x_m0 ^ y_m0) + bit_count(x_m1 ^ y_m1) <= {(1 - least) / (1 + least)!r} * {both} + 1e-9"
-    return f"(least(x_size, y_size) >= {least!r} * greatest(x_size, y_size) - 1e-9 and {cells})"
+def sizes_allow(least: float) -> str:
+    return f"least(x_size, y_size) >= {least!r} * greatest(x_size, y_size) - 1e-9"
 
 
 def in_place(least: float) -> str:
     """Whether a shingle at the places x_at and y_at can be the first that two sets of the similarity share."""
-    share, small = 2 * least / (1 + least), "least(x_size, y_size)"
+    share, low = 2 * least / (1 + least), "least(x_size, y_size)"
     room = f"least(x_size - x_at, y_size - y_at) >= {least / (1 + least)!r} * (x_size + y_size) - 1e-9"
-    return f"({room} and if(x_size <= y_size, x_at, y_at) < {small} - ceil({share!r} * {small} - 1e-9) + 1)"
+    return f"({sizes_allow(least)} and {room} and if(x_size <= y_size, x_at, y_at) < {low} - ceil({share!r} * {low} - 1e-9) + 1)"
 
 
 def near_copies(docs: DataFrame, **how) -> DataFrame:
@@ -407,8 +437,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     columns: the same on every run.
     """
     own = docs.where(F.col(id_col).isNotNull())
-    firsts = copy_groups(own, id_col=id_col, text_col=text_col, **how)[2].select("first.id", "first.digest")
-    marked = own.select(F.col(id_col).alias("id"), F.md5(whole(text_col).cast("binary")).alias("digest"), F.struct("*").alias("row"))
+    rows, _, groups = copy_groups(own, id_col=id_col, text_col=text_col, **how)
+    kept = groups.select("first.id", "first.digest", F.lit(True).alias("kept"))
+    times = rows.groupBy("id", "digest").agg(F.count("*").alias("times")).join(kept, ["id", "digest"], "left")
+    # All rows stay but those that are marked: as gone, or as kept but repeated.
+    marks = durable(times.where("kept is null or times > 1").select("id", "digest", F.coalesce("kept", F.lit(False)).alias("kept")))
+    marked = own.select(F.col(id_col).alias("id"), digest(text_col).alias("digest"), F.struct("*").alias("row"))
+    single = marked.join(small(marks), ["id", "digest"], "left_anti").select("row.*")
     w = Window.partitionBy("id", "digest").orderBy(F.xxhash64("row"))
-    one = marked.join(firsts, ["id", "digest"], "left_semi").withColumn("place", F.row_number().over(w)).where("place = 1").select("row.*")
-    return one.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    again = marked.join(small(marks.where("kept")), ["id", "digest"], "left_semi").withColumn("place", F.row_number().over(w)).where("place = 1")
+    return single.unionByName(again.select("row.*")).unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
