@@ -54,8 +54,10 @@ def lookup(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int,
     """rows joined with keyed on one column; keyed has one row a key, with the number of rows that hold the key in `count`.
 
     Keys that hold more than total / hot_keys of the rows, of which there are fewer than hot_keys, meet their rows by broadcast, so that no
-    task gets all rows of a hot key; the others by a shuffle.
+    task gets all rows of a hot key; the others by a shuffle. Where there are few rows in all, no key is hot.
     """
+    if total <= 20_000:
+        return rows.join(keyed.drop(count), key)
     most = max(1000, total // hot_keys)
     hot, rest = keyed.where(F.col(count) > most).drop(count), keyed.where(F.col(count) <= most).drop(count)
     columns = [*rows.columns, *(c for c in keyed.columns if c not in (key, count))]

@@ -263,15 +263,18 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), digest(text_col).alias("digest"), whole(text_col).alias("text"))
 
 
-def shingle_order(texts: DataFrame, n: int, shingle: int, rows: int = 2048, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of about `rows` texts holds in two texts or more, sorted, and their counts. They only save pairs."""
+def shingle_order(texts: DataFrame, n: int, shingle: int, share: float = 0.05, least_rows: int = 2048, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of texts holds in two texts or more, sorted, and their counts: the `most` commonest. They only save pairs.
+
+    The sample is a share of the texts, so that a shingle of so many texts is known as common at every size of the input.
+    """
 
     def each(batches):
         for b in batches:
             for t in b.column("text").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(t, shingle)).view(np.int64))], ["h"])
 
-    sample = texts.select("text").where(F.rand(5) < min(1.0, rows / max(1, n)))
+    sample = texts.select("text").where(F.rand(5) < max(share, min(1.0, least_rows / max(1, n))))
     often = sample.mapInArrow(each, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(most).toArrow()
     common, counts = often["h"].to_numpy().view(np.uint64), often["count"].to_numpy()
     order = np.argsort(common)
@@ -331,17 +334,19 @@ def alike(texts: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int, lea
 
         def grams(node: int, text: str) -> np.ndarray:
             if node not in seen:
-                if len(seen) >= TOGETHER:
+                if len(seen) >= 64:
                     seen.clear()
                 seen[node] = np.unique(hashes(text, shingle))
             return seen[node]
 
         for batch in batches:
             keep = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
-                x, y = grams(a, x), grams(b, y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
+            for at in range(0, batch.num_rows, 32):  # few texts at once as strings
+                part = batch.slice(at, 32)
+                for a, b, x, y in zip(*(part.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
+                    x, y = grams(a, x), grams(b, y)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both >= least * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     pairs = durable(pairs)
@@ -373,7 +378,7 @@ def copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
 
     def grouped(rows: DataFrame, found: DataFrame) -> DataFrame:
         named = found.select(F.col("node").alias("rep"), "component")
-        return rows.join(small(named), "rep", "left").withColumn("grp", F.coalesce("component", "rep")).drop("component")
+        return rows.join(small(named), "rep", "left").withColumnRenamed("component", "grp")  # null: a group of its own
 
     def merged(found: DataFrame | None, pairs: DataFrame) -> DataFrame:
         links = alike(texts, sets, pairs, shingle, least)
@@ -381,8 +386,8 @@ def copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
 
     def several(rows: DataFrame) -> DataFrame:
         """Rows whose shingle occurs in several groups."""
-        w = Window.partitionBy("token")
-        return rows.withColumns({"low": F.min("grp").over(w), "high": F.max("grp").over(w)}).where("low <> high").drop("low", "high")
+        w, grp = Window.partitionBy("token"), F.coalesce("grp", "rep")
+        return rows.withColumns({"low": F.min(grp).over(w), "high": F.max(grp).over(w)}).where("low <> high").drop("low", "high")
 
     def possible(pairs: DataFrame) -> DataFrame:
         """a, b of those pairs (x_rep, y_rep) whose sizes and parities do not exclude the similarity."""
@@ -397,18 +402,18 @@ def copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
         return rows.select(*(F.col(c).alias(c if c == "token" else f"{name}_{c}") for c in rows.columns))
 
     found = merged(None, near_pairs(sets.select(F.col("rep").alias("node"), "fp"), sets.count(), radius))
-    tokens = grouped(sets.select("rep", "prefix"), found).select("rep", "grp", F.posexplode("prefix").alias("at", "token"))
+    tokens = grouped(sets.select("rep", "size", "prefix"), found).select("rep", "grp", "size", F.posexplode("prefix").alias("at", "token"))
     shared = durable(several(tokens))
     # One row of each group against the first of its shingle: as many pairs as rows, which join most of what the tree left apart.
-    heads = shared.groupBy("token", "grp").agg(F.min("rep").alias("x_rep"))
+    heads = shared.groupBy("token", F.coalesce("grp", "rep").alias("grp")).agg(F.min("rep").alias("x_rep"))
     heads = heads.withColumn("y_rep", F.min("x_rep").over(Window.partitionBy("token"))).where("x_rep <> y_rep").select("x_rep", "y_rep").distinct()
     found = merged(found, possible(heads))
     # Then all pairs of groups that are still apart.
-    rest = durable(several(grouped(shared.drop("grp"), found)).join(measures.drop("parities"), "rep"))
+    rest = durable(several(grouped(shared.drop("grp"), found)).withColumn("grp", F.coalesce("grp", "rep")))
     apart = f"x.token = y.token and x_grp <> y_grp and x_rep < y_rep and {in_place(least)}"
     pairs = side(rest, "x").alias("x").join(side(rest, "y").alias("y"), F.expr(apart)).select("x_rep", "y_rep").distinct()
     found = merged(found, possible(pairs))
-    homes = grouped(sets.select("rep", "key", "home", "held"), found)
+    homes = grouped(sets.select("rep", "key", "home", "held"), found).withColumn("grp", F.coalesce("grp", "rep"))
     return signed.select("id", "digest", "key"), homes, homes.groupBy("grp").agg(F.min("home").alias("first"), F.count("*").alias("sets"))
 
 
