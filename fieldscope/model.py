@@ -50,10 +50,22 @@ ROLES = {
 }
 
 
+#: Roles that an entry of an earlier pattern plays rather than one of a later, whatever their names.
+ORDERED_ROLES = {
+    "battery_health": ("batteryvoltage", "battery_voltage", "inputvoltage", "pdp/voltage", "pdh/voltage"),
+    "report_battery": ("batteryvoltage", "battery_voltage"),
+}
+
+
 def entries_of(samples: DataFrame, role: str, name: str | None = None) -> DataFrame:
-    """Samples of the entry that plays a role: the one named, else the first by name in each log."""
+    """Samples of the entry that plays a role: the one named, else the first in each log, by the role's patterns and by name."""
     if name is not None:
         return samples.where(F.col("entry") == name)
+    if role in ORDERED_ROLES:
+        rank = F.coalesce(*(F.when(F.lower("entry").contains(p), F.lit(i)) for i, p in enumerate(ORDERED_ROLES[role])))
+        ranked = samples.withColumn("__rank", rank).where("__rank is not null")
+        least = ranked.groupBy("log_id").agg(F.min(F.struct("__rank", "entry")).alias("first")).select("log_id", "first.entry")
+        return ranked.drop("__rank").join(least, ["log_id", "entry"])
     found = samples.where(ROLES[role](F.col("entry")))
     first = found.groupBy("log_id").agg(F.min("entry").alias("entry"))
     return found.join(first, ["log_id", "entry"])

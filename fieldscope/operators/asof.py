@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 
 def _union(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    nothing = F.lit(None).cast("struct<ts:double,seq:bigint,value:double>")
+    nothing = F.lit(None).cast(f"struct<ts:double,seq:bigint,value:{right.schema['value'].dataType.simpleString()}>")
     own = left.select(*keys, "ts", "seq", F.struct(*left.columns).alias("row"), nothing.alias("other"), F.lit(1).alias("side"))
-    other = right.select(*keys, "ts", "seq", F.lit(None).cast(own.schema["row"].dataType).alias("row"), F.struct(F.col("ts").cast("double").alias("ts"), F.col("seq").cast("bigint").alias("seq"), F.col("value").cast("double").alias("value")).alias("other"), F.lit(0).alias("side"))
+    other = right.select(*keys, "ts", "seq", F.lit(None).cast(own.schema["row"].dataType).alias("row"), F.struct(F.col("ts").cast("double").alias("ts"), F.col("seq").cast("bigint").alias("seq"), "value").alias("other"), F.lit(0).alias("side"))
     return own.unionByName(other)
 
 
@@ -28,7 +28,7 @@ def hold(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
 def lerp(left: DataFrame, right: DataFrame, keys: Sequence[str], clamp: bool = False) -> DataFrame:
     """left with other_value interpolated between the right rows around its time; null (or the nearest end) outside their range."""
     w = Window.partitionBy(*keys).orderBy("ts", "side", "seq")
-    both = _union(left, right, keys)
+    both = _union(left, right.withColumn("value", F.col("value").cast("double")), keys)
     both = both.withColumn("a", F.last("other", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first("other", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).where("side = 1")
     t, a, b = F.col("row.ts"), F.col("a"), F.col("b")
     between = a["value"] + (b["value"] - a["value"]) * (t - a["ts"]) / F.nullif(b["ts"] - a["ts"], F.lit(0.0))

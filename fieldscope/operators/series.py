@@ -120,14 +120,24 @@ def islands(df: DataFrame, keys: Sequence[str], predicate: Column, flush: bool =
 
 
 def recovery(df: DataFrame, keys: Sequence[str], drop: float, share: float, horizon: float) -> DataFrame:
-    """For each fall by more than `drop`, the seconds until `share` of the value before is reached, within the horizon.
+    """For each fall by more than `drop`, the seconds until `share` of it is made up, within the horizon.
 
-    The rows ahead are looked at in a range frame of the window, so no pairs of rows are made.
+    Falls, which are few, meet the rows of their own and the next bucket of time, a horizon wide.
     """
-    w = window(keys)
-    d = df.withColumn("before", F.lag("value").over(w)).withColumn("ahead", F.expr(f"collect_list(struct(ts, value)) over ({ahead(keys, horizon)})")).where(F.col("before") - F.col("value") > drop)
-    hits = F.filter("ahead", lambda x: (x["ts"] > F.col("ts")) & (x["value"] >= share * F.col("before")))
-    return d.withColumn("seconds", F.array_min(F.transform(hits, lambda x: x["ts"])) - F.col("ts")).where("seconds is not null").drop("ahead")
+    before = df.withColumn("before", F.lag("value").over(window(keys))).where(F.col("before") - F.col("value") > drop)
+    bucket = F.floor(F.col("ts") / horizon)
+    falls = before.withColumn("target", F.col("value") + share * (F.col("before") - F.col("value"))).withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
+    later = df.select(*keys, F.col("ts").alias("t"), F.col("seq").alias("s"), F.col("value").alias("v"), bucket.alias("bucket"))
+    after = "(t > ts or t = ts and s > seq)"
+    met = falls.join(later, [*keys, "bucket"]).where(f"{after} and t - ts <= {float(horizon)!r}D and v >= target")
+    return met.groupBy(*keys, "ts", "seq", "value", "before").agg((F.min("t") - F.col("ts")).alias("seconds"))
+
+
+def jumps(df: DataFrame, keys: Sequence[str], x: str, y: str, least: float, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+    """Rows that lie further than `least` from the row before, with the distance."""
+    w = window(keys, order)
+    far = df.withColumn("distance", F.hypot(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)))
+    return far.where(F.col("distance") > least)
 
 
 def segments_by_setpoint(df: DataFrame, keys: Sequence[str], least: float = 0.01, share: float = 0.05) -> DataFrame:

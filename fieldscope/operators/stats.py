@@ -50,11 +50,20 @@ def normal_cdf(x: Column) -> Column:
 
 
 def p_value(r: Column, n: Column) -> Column:
-    """Two-sided, by a normal expansion of Student's t (26.7.8 of the same): 1 for n <= 2, null for n < 15, 0 for |r| = 1."""
+    """Two-sided, of Student's t by a normal expansion with its correction terms (Abramowitz and Stegun 26.7.4).
+
+    1 for n <= 2 and where there is no correlation, null for n < 15, 0 for |r| = 1.
+    """
     df = n - 2
-    t = F.abs(r) * F.sqrt(df / F.nullif(1 - r * r, F.lit(0.0)))
-    z = (t * (1 - 1 / (4 * df))) / F.sqrt(1 + t * t / (2 * df))
-    return F.when((n <= 2) | r.isNull(), 1.0).when(n < 15, None).when(F.abs(r) >= 1, 0.0).otherwise(2 * (1 - normal_cdf(z)))
+    t2 = r * r * df / F.nullif(1 - r * r, F.lit(0.0))
+    a = df - 0.5
+    b = 48 * a * a
+    z = F.sqrt(a * F.log1p(t2 / df))
+    cubed = F.pow(z, 3)
+    # Fixed values of the formula.
+    more = 4 * F.pow(z, 7) + 33 * F.pow(z, 5) + 240 * cubed + 855 * z
+    deviate = z + (cubed + 3 * z) / b - more / (10 * b * b)
+    return F.when((n <= 2) | r.isNull(), 1.0).when(n < 15, None).when(F.abs(r) >= 1, 0.0).otherwise(2 * (1 - normal_cdf(deviate)))
 
 
 def time_correlate(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -64,16 +73,19 @@ def time_correlate(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
     return out.withColumn("p_value", p_value(F.col("r"), F.col("n")))
 
 
-def regression(df: DataFrame, keys: Sequence[str], y: str, a: str, b: str) -> DataFrame:
-    """y = ca * a + cb * b through the origin: n, ca, cb, r2 (uncentred), rmse; null coefficients if a and b are collinear."""
-    s = {f"{p}{q}": F.sum(F.col(p) * F.col(q)) for p, q in ((a, a), (a, b), (b, b), (y, a), (y, b), (y, y))}
-    sums = df.groupBy(*keys).agg(F.count("*").alias("n"), *(c.alias(f"s{i}") for i, c in enumerate(s.values())))
-    det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
-    ok = F.abs(det) > 1e-12 * F.col("s0") * F.col("s2")
-    ca, cb = (F.col("s3") * F.col("s2") - F.col("s4") * F.col("s1")) / F.nullif(det, F.lit(0.0)), (F.col("s4") * F.col("s0") - F.col("s3") * F.col("s1")) / F.nullif(det, F.lit(0.0))
-    out = sums.withColumn("ca", F.when(ok, ca)).withColumn("cb", F.when(ok, cb))
-    res = F.col("s5") - F.col("ca") * F.col("s3") - F.col("cb") * F.col("s4")
-    return out.select(*keys, "n", "ca", "cb", (1 - res / F.nullif(F.col("s5"), F.lit(0.0))).alias("r2"), F.sqrt(F.greatest(res, F.lit(0.0)) / F.col("n")).alias("rmse"))
+def regression(df: DataFrame, keys: Sequence[str], y: str, a: str, b: str, relative: float = 1e-12, absolute: float = 0.0) -> DataFrame:
+    """y = ca * a + cb * b through the origin: n, ca, cb, r2 (uncentred), rmse; null coefficients if a and b are collinear.
+
+    They are where the determinant is below `relative` of the product of the squares, or below `absolute`.
+    """
+    terms = ((a, a), (a, b), (b, b), (y, a), (y, b), (y, y))
+    sums = df.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(F.col(p) * F.col(q)).alias(f"s{i}") for i, (p, q) in enumerate(terms)))
+    aa, ab, bb, ya, yb, yy = (F.col(f"s{i}") for i in range(6))
+    det = F.nullif(aa * bb - ab * ab, F.lit(0.0))
+    ok = F.abs(det) >= F.greatest(relative * aa * bb, F.lit(absolute))
+    out = sums.withColumn("ca", F.when(ok, (ya * bb - yb * ab) / det)).withColumn("cb", F.when(ok, (yb * aa - ya * ab) / det))
+    rest = yy - F.col("ca") * ya - F.col("cb") * yb
+    return out.select(*keys, "n", "ca", "cb", (1 - rest / F.nullif(yy, F.lit(0.0))).alias("r2"), F.sqrt(F.greatest(rest, F.lit(0.0)) / F.col("n")).alias("rmse"))
 
 
 def data_quality(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldscope.model import entries_of, finite
+from fieldscope.model import ROLES, entries_of, finite
 from fieldscope.operators import asof, series, stats
 
 #: Seconds of the phases where no season file gives them.
@@ -20,30 +20,60 @@ def flags(samples: DataFrame) -> DataFrame:
     return samples.select("log_id", "entry", "ts", "seq", F.coalesce("v_bool", F.col("v_num") > 0.5).alias("value"))
 
 
+def _switches(samples: DataFrame) -> DataFrame:
+    """Rows of the Enabled (kind 0) and Autonomous (kind 1) entries of each log: flag, the enabled state then (`on`) and before (`was`).
+
+    One scan and one order of the rows of a log serve all that is asked of the two entries. An enabled row counts from its own time on.
+    """
+    kinds = F.array_compact(F.array(*(F.when(ROLES[role](F.col("entry")), F.lit(k)) for k, role in enumerate(("enabled", "autonomous")))))
+    rows = samples.select("log_id", "entry", "ts", "seq", F.coalesce("v_bool", F.col("v_num") > 0.5).alias("flag"), F.explode(kinds).alias("kind"))
+    own = rows.withColumn("first", F.min("entry").over(Window.partitionBy("log_id", "kind"))).where("entry = first").drop("first")
+    w, on = Window.partitionBy("log_id").orderBy("ts", "kind", "seq"), F.when(F.col("kind") == 0, F.col("flag"))
+    state = lambda end: F.coalesce(F.last(on, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, end)), F.lit(False))
+    return own.withColumns({"on": state(0), "was": state(-1)})
+
+
+def _at(condition: str):
+    return F.when(F.expr(condition), F.col("ts"))
+
+
 def match_phases(samples: DataFrame, endgame: float = ENDGAME_SECONDS) -> DataFrame:
     """auto_start, teleop_start, teleop_end, endgame_start of each log, from its Enabled and Autonomous entries."""
-    en = flags(entries_of(samples, "enabled")).select("log_id", "ts", "seq", F.col("value").cast("double").alias("value"))
-    au = flags(entries_of(samples, "autonomous")).select("log_id", "ts", "seq", F.col("value").alias("auto"))
-    both = asof.hold(au, en, ["log_id"]).select("log_id", "ts", "auto", (F.coalesce("other_value", F.lit(0.0)) > 0).alias("enabled"))
-    ups = en.withColumn("was", F.lag("value").over(series.window(["log_id"])))
-    first = both.where("auto and enabled").groupBy("log_id").agg(F.min("ts").alias("while_enabled"))
-    flag = both.where("auto").groupBy("log_id").agg(F.min("ts").alias("flag_up"))
-    off = both.where("not auto").join(flag, "log_id").where("ts > flag_up").groupBy("log_id").agg(F.min("ts").alias("auto_end"))
-    enables = ups.where("value > 0 and coalesce(was, 0) = 0").select("log_id", F.col("ts").alias("up"))
-    after = enables.join(flag, "log_id").where("up >= flag_up").groupBy("log_id").agg(F.min("up").alias("next_enable"))
-    teleop = enables.join(off, "log_id").where("up >= auto_end").groupBy("log_id").agg(F.min("up").alias("re_enabled"))
-    downs = ups.where("value = 0 and was > 0").groupBy("log_id").agg(F.max("ts").alias("disabled"))
-    at_end = asof.hold(off.select("log_id", F.col("auto_end").alias("ts"), F.lit(0).cast("long").alias("seq")), en, ["log_id"]).select("log_id", (F.coalesce("other_value", F.lit(0.0)) > 0).alias("on_at_end"))
-    last = samples.groupBy("log_id").agg(F.max("ts").alias("max_ts"))
-    out = last
-    for d in (flag, first, off, after, teleop, downs, at_end):
-        out = out.join(d, "log_id", "left")
+    whole = Window.partitionBy("log_id")
+    s = _switches(samples).withColumn("flag_up", F.min(_at("kind = 1 and flag")).over(whole))
+    s = s.withColumn("auto_end", F.min(_at("kind = 1 and not flag and ts > flag_up")).over(whole))
+    up, down = "kind = 0 and flag and not was", "kind = 0 and not flag and was"
+    found = s.groupBy("log_id").agg(
+        F.min(_at("kind = 1 and flag and on")).alias("while_enabled"),
+        F.min(_at(f"{up} and ts >= flag_up")).alias("next_enable"),
+        F.min(_at(f"{up} and ts >= auto_end")).alias("re_enabled"),
+        F.max(_at(down)).alias("disabled"),
+        F.min("auto_end").alias("auto_end"),
+        F.max_by("flag", F.when(F.expr("kind = 0 and ts <= auto_end"), F.struct("ts", "seq"))).alias("on_at_end"),
+    )
+    out = samples.groupBy("log_id").agg(F.max("ts").alias("max_ts")).join(found, "log_id", "left")
     start = F.coalesce("while_enabled", "next_enable")
     tele = F.coalesce("re_enabled", F.when(F.col("on_at_end"), F.col("auto_end")))
     end = F.coalesce("disabled", "max_ts")
     return out.select("log_id", start.alias("auto_start"), tele.alias("teleop_start"), end.alias("teleop_end"), F.when(tele.isNotNull(), F.greatest(tele, end - endgame)).alias("endgame_start"))
 
 
+def auto_window(samples: DataFrame, seconds: float = AUTO_SECONDS) -> DataFrame:
+    """auto_start, auto_end of each log that has one: from the flag (or the first enable while it is up) to where the flag drops.
+
+    Without a drop the window lasts `seconds`.
+    """
+    whole = Window.partitionBy("log_id")
+    s = _switches(samples).withColumns({"flag_up": F.min(_at("kind = 1 and flag")).over(whole), "direct": F.min(_at("kind = 1 and flag and on")).over(whole)})
+    s = s.withColumn("flag_end", F.min(_at("kind = 1 and not flag and ts > flag_up")).over(whole))
+    found = s.groupBy("log_id").agg(
+        F.min("direct").alias("direct"), F.min(_at("kind = 1 and not flag and ts > direct")).alias("direct_end"),
+        F.min(_at("kind = 0 and flag and ts >= flag_up and (flag_end is null or ts < flag_end)")).alias("later"), F.min("flag_end").alias("flag_end"),
+    )
+    start, end = F.coalesce("direct", "later"), F.when(F.col("direct").isNotNull(), F.col("direct_end")).otherwise(F.col("flag_end"))
+    return found.select("log_id", start.alias("auto_start"), F.coalesce(end, start + seconds).alias("auto_end")).where("auto_start is not null")
+
+
 def power_analysis(samples: DataFrame, threshold: float = 6.8) -> DataFrame:
     v = numbers(samples.where(F.lower("entry").contains("voltage")))
     first = v.groupBy("log_id").agg(F.min("entry").alias("entry"))
@@ -83,21 +113,30 @@ def swerve_modules(samples: DataFrame, prefix: str = "module") -> DataFrame:
 
 
 def module_pairs(samples: DataFrame) -> DataFrame:
-    """setpoint and measured entries that share a parent path."""
-    e = samples.select("log_id", "entry").distinct().withColumn("parent", F.regexp_replace("entry", "/[^/]*$", "")).withColumn("leaf", F.lower(F.substring_index("entry", "/", -1)))
-    s = e.where(F.col("leaf").rlike("setpoint|desired|target")).select("log_id", "parent", F.col("entry").alias("setpoint"))
-    return s.join(e.where(F.col("leaf").rlike("measured|actual|state")).select("log_id", "parent", F.col("entry").alias("measured")), ["log_id", "parent"])
+    """Setpoint and measured entries of modules: of equal names but for these words, or any other entry below the same parent."""
+    names = samples.where(F.col("v_struct")["speed_mps"].isNotNull()).select("log_id", "entry").distinct()
+    parent = F.regexp_replace("entry", "/[^/]*$", "")
+    s = names.where(F.lower("entry").rlike("setpoint|desired|target"))
+    s = s.select("log_id", F.col("entry").alias("setpoint"), parent.alias("parent"), F.lower(F.regexp_replace("entry", "(?i)(setpoint|desired|target)", "")).alias("base"))
+    m = names.select("log_id", F.col("entry").alias("measured"), parent.alias("parent"))
+    bare = F.lower(F.regexp_replace("measured", "(?i)(measured|actual|state)", ""))
+    like = m.where(F.lower("measured").rlike("measured|actual|state")).select("log_id", "measured", bare.alias("base"))
+    pairs = s.join(like, ["log_id", "base"]).select("log_id", "setpoint", "measured")
+    return pairs.unionByName(s.join(m.where(F.col("parent") != ""), ["log_id", "parent"]).where("setpoint <> measured").select("log_id", "setpoint", "measured")).distinct()
 
 
 def wheel_slip(samples: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Share of setpoints above 0.01 that the measured speed misses by more than the threshold, relative to the setpoint."""
-    pairs = module_pairs(samples)
+    """How far measured speeds are from the setpoint, interpolated at their times, where that is above 0.01, for each pair of entries.
+
+    The ratios are relative to the setpoint; events are differences above the threshold, in metres a second.
+    """
+    keys = ["log_id", "setpoint", "measured"]
     speed = samples.select("log_id", "entry", "ts", "seq", F.col("v_struct")["speed_mps"].alias("value")).where("value is not null")
-    left = speed.join(pairs.withColumnRenamed("setpoint", "entry"), ["log_id", "entry"]).select("log_id", "parent", "ts", "seq", "value")
-    right = speed.join(pairs.withColumnRenamed("measured", "entry"), ["log_id", "entry"]).select("log_id", "parent", "ts", "seq", "value")
-    both = asof.lerp(left, right, ["log_id", "parent"]).where("other_value is not null and abs(value) > 0.01")
-    slip = F.abs(F.col("value") - F.col("other_value")) / F.abs(F.col("value"))
-    return both.groupBy("log_id", "parent").agg(F.avg((slip > threshold).cast("double")).alias("slip_ratio"), F.max(slip).alias("max_slip"), F.count("*").alias("n"))
+    side = lambda name: speed.withColumnRenamed("entry", name).join(module_pairs(samples), ["log_id", name]).select(*keys, "ts", "seq", "value")
+    both = asof.lerp(side("measured"), side("setpoint"), keys).where(F.abs("other_value") > 0.01)
+    off = F.abs(F.abs(F.col("value")) - F.abs(F.col("other_value")))
+    ratio, event = off / F.abs(F.col("other_value")), (off > threshold).cast("double")
+    return both.groupBy(*keys).agg(F.max(ratio).alias("max_slip"), F.avg(ratio).alias("avg_slip"), F.sum(event).cast("long").alias("events"), F.avg(event).alias("event_rate"), F.count("*").alias("n"))
 
 
 def steering_sync(samples: DataFrame, threshold_rad: float = 0.1, kind: str = "measured") -> DataFrame:
@@ -126,13 +165,13 @@ def odometry_drift(samples: DataFrame) -> DataFrame:
 
 
 def ds_timeline(samples: DataFrame, threshold: float = 6.8) -> DataFrame:
-    """Enable changes, phase starts and brownouts in time order: log_id, ts, category, event."""
+    """Enable changes, phase starts and brownouts: log_id, ts, category, event, in no order."""
     en = series.changes(flags(entries_of(samples, "enabled")), ["log_id"]).select("log_id", "ts", F.lit("enable").alias("category"), F.when(F.col("value"), "ENABLED").otherwise("DISABLED").alias("event"))
     p = match_phases(samples)
     phases = p.select("log_id", F.explode(F.array(F.struct(F.col("auto_start").alias("ts"), F.lit("AUTO_START").alias("event")), F.struct(F.col("teleop_start").alias("ts"), F.lit("TELEOP_START").alias("event")))).alias("e")).select("log_id", "e.ts", F.lit("phase").alias("category"), "e.event").where("ts is not null")
     b = series.hysteresis(numbers(entries_of(samples, "battery")), ["log_id"], threshold, threshold + 0.2)
     brown = b.select("log_id", F.col("begin").alias("ts"), F.lit("brownout").alias("category"), F.lit("BROWNOUT_START").alias("event")).unionByName(b.where("closed").select("log_id", F.col("end").alias("ts"), F.lit("brownout").alias("category"), F.lit("BROWNOUT_END").alias("event")))
-    return en.unionByName(phases).unionByName(brown).orderBy("log_id", "ts", "category", "event")
+    return en.unionByName(phases).unionByName(brown)
 
 
 def analyze_vision(samples: DataFrame, flicker: float = 0.5, jump: float = 0.5) -> DataFrame:
@@ -167,58 +206,98 @@ def profile_mechanism(setpoint: DataFrame, position: DataFrame, keys: list[str],
 
 
 def battery_health(samples: DataFrame, nominal: float = 12.6, brownout: float = 6.8, warning: float = 9.0) -> DataFrame:
-    """Lowest and mean voltage, brownouts, warnings, a score of 0 to 100 and a risk of each log."""
-    v = numbers(entries_of(samples, "battery")).where(finite(F.col("value")))
+    """Lowest and mean voltage, brownouts, warnings, mean recovery (seconds, of logs with a current), score (0 to 100) and risk of each log."""
+    v = numbers(entries_of(samples, "battery_health")).where(finite(F.col("value")))
     base = v.groupBy("log_id").agg(F.min("value").alias("min_v"), F.avg("value").alias("avg_v"))
     events = lambda t, n: series.hysteresis(v, ["log_id"], t, t + 0.2).groupBy("log_id").agg(F.count("*").alias(n), F.sum(F.col("end") - F.col("begin")).alias(f"{n}_seconds"))
     out = base.join(events(brownout, "brownouts"), "log_id", "left").join(events(warning, "warnings"), "log_id", "left").na.fill(0)
-    score = 100 - 20 * F.col("brownouts") - 5 * F.col("warnings") - F.greatest(F.lit(0), ((nominal - F.col("avg_v")) * 10).cast("int"))
-    out = out.withColumn("score", F.greatest(F.lit(0), score).cast("int"))
-    return out.withColumn("risk", F.when(F.col("brownouts") > 0, "HIGH").when(F.col("warnings") > 2, "MODERATE").when(F.col("score") < 70, "MODERATE").otherwise("LOW"))
+    loaded = samples.where(ROLES["total_current"](F.col("entry"))).select("log_id").distinct()
+    times = series.recovery(v.drop("entry"), ["log_id"], 0.5, 0.9, 2.0).groupBy("log_id").agg(F.avg("seconds").alias("recovery"))
+    out = out.join(times.join(loaded, "log_id", "left_semi"), "log_id", "left")
+    share = F.col("avg_v") / nominal
+    whole = lambda condition, x: F.when(condition, x.cast("int")).otherwise(0)
+    score = 100 - whole(share < 0.88, (0.88 - share) * 150) - 20 * F.col("brownouts") - 5 * F.greatest(F.lit(0), F.col("warnings") - F.col("brownouts"))
+    score = score - whole(F.col("recovery") > 0.5, (F.col("recovery") - 0.5) * 20) - whole(F.col("min_v") < 10, (10 - F.col("min_v")) * 10)
+    out = out.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int"))
+    ladder = F.when(F.col("min_v") < brownout, "CRITICAL").when((F.col("min_v") < warning) | (F.col("score") < 30), "HIGH")
+    return out.withColumn("risk", ladder.when(F.col("score") < 60, "MODERATE").when(F.col("score") < 80, "LOW").otherwise("MINIMAL"))
 
 
 def replay_drift(samples: DataFrame, tolerance: float = 0.001) -> DataFrame:
-    """For each real output the first sample that differs from its replayed partner, by value."""
+    """For each real output how many samples differ from their replayed partners, by value, and the first that does, with both values as JSON."""
     value = F.to_json(F.struct("v_num", "v_long", "v_bool", "v_str", "v_arr_num", "v_arr_str", "v_struct", "v_structs"))
-    s = samples.select("log_id", "entry", "ts", "seq", F.xxhash64(value).cast("double").alias("value"))
+    s = samples.select("log_id", "entry", "ts", "seq", value.alias("value"))
     real = s.where(F.col("entry").contains("RealOutputs")).withColumn("entry", F.regexp_replace("entry", "RealOutputs", "ReplayOutputs"))
     both = asof.forward(real, s.where(F.col("entry").contains("ReplayOutputs")), ["log_id", "entry"], tolerance).where("other_value is not null")
-    return both.groupBy("log_id", "entry").agg(F.count("*").alias("compared"), F.count_if(F.col("value") != F.col("other_value")).alias("differing"), F.min(F.when(F.col("value") != F.col("other_value"), F.col("ts"))).alias("first_ts"))
+    differs = F.col("value") != F.col("other_value")
+    first = F.min(F.when(differs, F.struct("ts", "seq", "value", "other_value")))
+    out = both.groupBy("log_id", "entry").agg(F.count("*").alias("compared"), F.count_if(differs).alias("differing"), first.alias("first"))
+    return out.select("log_id", "entry", "compared", "differing", F.col("first.ts").alias("first_ts"), F.col("first.value").alias("first_real"), F.col("first.other_value").alias("first_replayed"))
 
 
 def analyze_can_bus(samples: DataFrame) -> DataFrame:
+    """Utilisation, and errors (true or above 0) by enabled state; without a record of that all count as enabled."""
     u = numbers(entries_of(samples, "can_utilisation")).where(finite(F.col("value"))).groupBy("log_id").agg(F.avg("value").alias("avg_utilisation"), F.max("value").alias("max_utilisation"))
-    e = samples.where(F.lower("entry").contains("can") & F.lower("entry").rlike("error|fault|timeout")).where("v_bool or v_num > 0 or v_long > 0").groupBy("log_id").agg(F.count("*").alias("errors"))
-    return u.join(e, "log_id", "full").na.fill(0, ["errors"])
+    errors = samples.where(ROLES["can_error"](F.col("entry")) & F.expr("v_bool or v_num > 0 or v_long > 0")).select("log_id", "ts", "seq")
+    en = flags(entries_of(samples, "enabled")).select("log_id", "ts", "seq", "value")
+    held = asof.hold(errors, en, ["log_id"]).join(en.select("log_id").distinct().withColumn("known", F.lit(True)), "log_id", "left")
+    on = F.col("known").isNull() | F.coalesce("other_value", F.lit(False))
+    e = held.groupBy("log_id").agg(F.count("*").alias("errors"), F.count_if(on).alias("while_enabled"))
+    out = u.join(e, "log_id", "full").na.fill(0, ["errors", "while_enabled"])
+    return out.withColumn("assessment", F.when(F.col("while_enabled") > 0, "ENABLED").when(F.col("errors") > 0, "DISABLED_ONLY").otherwise("NONE"))
 
 
 def analyze_auto(samples: DataFrame, setpoint: str, actual: str) -> DataFrame:
     """RMSE and largest error of path following within the autonomous phase."""
-    p = match_phases(samples).select("log_id", "auto_start", F.coalesce("teleop_start", F.col("auto_start") + AUTO_SECONDS).alias("auto_end"))
     s, a = numbers(samples.where(F.col("entry") == setpoint)).drop("entry"), numbers(samples.where(F.col("entry") == actual)).drop("entry")
-    both = asof.hold(s, a, ["log_id"]).join(p, "log_id").where("ts between auto_start and auto_end and other_value is not null")
+    both = asof.hold(s, a, ["log_id"]).join(auto_window(samples), "log_id").where("ts between auto_start and auto_end and other_value is not null")
     e = F.col("value") - F.col("other_value")
     return both.groupBy("log_id").agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.max(F.abs(e)).alias("max_error"), F.count("*").alias("n"))
 
 
-def moi_regression(velocity: DataFrame, current: DataFrame, keys: list[str], kt: float, gear_ratio: float, motors: int = 1, alpha_threshold: float = 1.0, half: int = 2) -> DataFrame:
-    """Torque = J alpha + b omega by least squares through the origin over samples with enough acceleration."""
-    smooth = series.moving_average(velocity, keys, half)
-    g = series.gradient(smooth, keys, "smooth", "alpha")
-    both = asof.lerp(g.select(*keys, "ts", "seq", "smooth", "alpha"), current, keys).where(F.col("other_value").isNotNull() & (F.abs("alpha") >= alpha_threshold))
-    rows = both.withColumn("torque", F.abs(F.col("other_value")) * F.signum("alpha") * kt * gear_ratio * motors)
-    return stats.regression(rows, keys, "torque", "alpha", "smooth").withColumnsRenamed({"ca": "inertia", "cb": "damping"})
-
-
-def report(samples: DataFrame) -> DataFrame:
-    """Basics, battery and errors of each log."""
+def moi_regression(
+    velocity: DataFrame, current: DataFrame, keys: list[str], kt: float, gear_ratio: float, motors: int = 1, alpha_threshold: float = 1.0, half: int = 2,
+    volts: DataFrame | None = None, wheel_radius: float | None = None,
+) -> DataFrame:
+    """Torque = J alpha + b omega by least squares through the origin over samples with enough acceleration.
+
+    The torque has the sign of the applied volts if these are given, else that of the current. Series of fewer than ten velocities, or five
+    used ones, give no row.
+    """
+    omega = F.col("value") / wheel_radius if wheel_radius and wheel_radius > 0 else F.col("value")
+    many = velocity.groupBy(*keys).agg(F.count("value").alias("__n")).where("__n >= 10").drop("__n")
+    moving = velocity.where("value is not null").join(many, keys, "left_semi").withColumn("value", omega)
+    g = series.gradient(series.moving_average(moving, keys, half), keys, "smooth", "alpha").select(*keys, "ts", "seq", "smooth", "alpha")
+    both = asof.lerp(g, current, keys).withColumnRenamed("other_value", "amps")
+    torque = F.col("amps")
+    if volts is not None:
+        both = asof.lerp(both, volts, keys).withColumn("sign", F.signum("other_value")).where("abs(sign) >= 0.5")
+        torque = F.abs("amps") * F.col("sign")
+    used = both.where(finite(F.col("alpha")) & finite(F.col("smooth")) & finite(F.col("amps")) & (F.abs("alpha") >= alpha_threshold))
+    fit = stats.regression(used.withColumn("torque", torque * kt * gear_ratio * motors), keys, "torque", "alpha", "smooth", 1e-10, 1e-15)
+    return fit.where("n >= 5").withColumnsRenamed({"ca": "inertia", "cb": "damping"})
+
+
+def report(samples: DataFrame, most_types: int = 10, most_errors: int = 5) -> DataFrame:
+    """Basics, battery, errors (their number and the first few), code and the commonest types of each log."""
     base = samples.groupBy("log_id").agg(F.count("*").alias("samples"), F.countDistinct("entry").alias("entries"), F.min("ts").alias("begin"), F.max("ts").alias("end"))
-    battery = numbers(entries_of(samples, "battery")).groupBy("log_id").agg(F.min("value").alias("battery_min"), F.max("value").alias("battery_max"))
-    errors = samples.where(F.lower("v_str").contains("error")).groupBy("log_id").agg(F.count("*").alias("errors"))
-    out = base.join(battery, "log_id", "left").join(errors, "log_id", "left").na.fill(0, ["errors"])
-    return out.withColumn("brownout_risk", F.when(F.col("battery_min") < 6.8, "HIGH").when(F.col("battery_min") < 9.0, "MODERATE").when(F.col("battery_min").isNotNull(), "LOW"))
+    battery = numbers(entries_of(samples, "report_battery")).groupBy("log_id").agg(F.min("value").alias("battery_min"), F.max("value").alias("battery_max"))
+    found = samples.where((F.col("type") == "string") & F.lower("v_str").rlike("error|exception|fault")).select("log_id", "entry", "ts", "seq", "v_str")
+    errors = found.groupBy("log_id").agg(F.count("*").alias("errors"))
+    text = F.when(F.length("v_str") > 100, F.concat(F.substring("v_str", 1, 100), F.lit("..."))).otherwise(F.col("v_str"))
+    few = found.withColumn("n", F.row_number().over(Window.partitionBy("log_id").orderBy("entry", "ts", "seq"))).where(F.col("n") <= most_errors)
+    few = few.groupBy("log_id").agg(F.sort_array(F.collect_list(F.struct("n", text.alias("text")))).alias("e")).select("log_id", F.col("e.text").alias("error_samples"))
+    code = code_metadata(samples.where(F.col("entry").rlike("GitSHA|GitBranch"))).groupBy("log_id").agg(*(F.max(F.when(F.col("key") == k, F.col("value"))).alias(n) for k, n in (("GitSHA", "git_sha"), ("GitBranch", "git_branch"))))
+    types = sampled_types(samples, most_types).groupBy("log_id").agg(F.sort_array(F.collect_list(F.struct("rank", "type", "n"))).alias("t"))
+    types = types.select("log_id", F.transform("t", lambda x: F.struct(x["type"].alias("type"), x["n"].alias("n"))).alias("top_types"))
+    out = base
+    for part in (battery, errors, few, code, types):
+        out = out.join(part, "log_id", "left")
+    return out.na.fill(0, ["errors"]).withColumn("brownout_risk", F.when(F.col("battery_min") < 6.8, "HIGH").when(F.col("battery_min") < 9.0, "MODERATE").when(F.col("battery_min").isNotNull(), "LOW"))
 
 
 def sampled_types(samples: DataFrame, most: int = 10) -> DataFrame:
-    """The types of most entries; a top list."""
-    return samples.groupBy("type").agg(F.countDistinct("entry").alias("n")).orderBy(F.desc("n"), "type").limit(most)
+    """log_id, type, n, rank: the types of most entries in each log; a top list."""
+    n = samples.groupBy("log_id", "type").agg(F.countDistinct("entry").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("log_id").orderBy(F.desc("n"), "type"))
+    return n.withColumn("rank", rank).where(F.col("rank") <= most)

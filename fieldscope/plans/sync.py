@@ -57,9 +57,15 @@ def correlate(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataF
     return first.select(*(F.col(c).alias(c) for c in cols)).groupBy(*keys).cogroup(second.select(*(F.col(c).alias(c) for c in cols)).groupBy(*keys)).applyInPandas(run, f"{kinds}, offset double, correlation double")
 
 
-def consensus(pairs: DataFrame, keys: Sequence[str], least: float = 0.3) -> DataFrame:
-    """The median offset of the pairs that correlate, with a confidence level."""
-    out = pairs.where(F.col("correlation") >= least).groupBy(*keys).agg(F.percentile("offset", 0.5).alias("offset"), F.avg("correlation").alias("confidence"), F.count("*").alias("pairs"))
+def consensus(pairs: DataFrame, keys: Sequence[str], least: float = 0.3, full_pairs: int = 3, spread: float = 0.05) -> DataFrame:
+    """The median offset (seconds) of the pairs that correlate, with a confidence of up to 0.4 for the mean correlation, 0.3 for the number of
+    pairs and 0.3 for how little their offsets deviate from the median, and its level."""
+    good = pairs.where(F.col("correlation") >= least)
+    medians = good.groupBy(*keys).agg(F.percentile("offset", 0.5).alias("median"), F.avg("correlation").alias("mean"), F.count("*").alias("pairs"))
+    off = F.pow(F.col("offset") - F.col("median"), 2)
+    out = good.join(medians, list(keys)).groupBy(*keys, "median", "mean", "pairs").agg(F.sqrt(F.sum(off) / F.greatest(F.col("pairs") - 1, F.lit(1))).alias("off"))
+    score = 0.4 * F.col("mean") + 0.3 * F.least(F.col("pairs") / full_pairs, F.lit(1.0)) + 0.3 * F.greatest(F.lit(0.0), 1 - F.col("off") / spread)
+    out = out.select(*keys, F.col("median").alias("offset"), F.least(F.lit(1.0), score).alias("confidence"), "pairs")
     return out.withColumn("level", confidence_level(F.col("confidence")))
 
 

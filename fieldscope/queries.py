@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldscope.operators import asof, catalog, series, stats
+from fieldscope.operators import asof, catalog, series, stats, tools
 from fieldscope.plans import sync
 
 K = ["user_id"]
@@ -75,9 +75,9 @@ def find_condition_lt(spark, sf_dir):
     return rounded(series.find_condition(events(spark, sf_dir), K, "<", 5).select("user_id", "seq", "value"))
 
 
-@query(_edges("abs(value - 10) <= greatest(1e-9, 10 * 1e-6)"))
+@query(_edges("abs(value - 4.29) <= greatest(1e-9, 4.29 * 1e-6)"))
 def find_condition_eq(spark, sf_dir):
-    return rounded(series.find_condition(events(spark, sf_dir), K, "eq", 10).select("user_id", "seq", "value"))
+    return rounded(series.find_condition(events(spark, sf_dir), K, "eq", 4.29).select("user_id", "seq", "value"))
 
 
 @query(f"""WITH {E}, n AS (SELECT *, lag(value) OVER w AS p, lead(value) OVER w AS x FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, seq))
@@ -173,7 +173,7 @@ def stall_islands(spark, sf_dir):
 
 
 @query(f"""WITH {E}, d AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, seq) AS was FROM e), f AS (SELECT * FROM d WHERE was - value > 50)
-SELECT f.user_id, f.seq, round(min(e.ts) - f.ts, 3) AS seconds FROM f JOIN e ON e.user_id = f.user_id AND e.ts > f.ts AND e.ts <= f.ts + 86400 AND e.value >= 0.9 * f.was GROUP BY f.user_id, f.seq, f.ts""")
+SELECT f.user_id, f.seq, round(min(e.ts) - f.ts, 3) AS seconds FROM f JOIN e ON e.user_id = f.user_id AND e.ts > f.ts AND e.ts <= f.ts + 86400 AND e.value >= f.value + 0.9 * (f.was - f.value) GROUP BY f.user_id, f.seq, f.ts""")
 def recovery_time(spark, sf_dir):
     return series.recovery(events(spark, sf_dir), K, 50.0, 0.9, 86400.0).select("user_id", "seq", F.round("seconds", 3).alias("seconds"))
 
@@ -232,15 +232,17 @@ def category_counts(spark, sf_dir):
     return _timeline(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {E} SELECT user_id, round(min(ts) FILTER (event_type = 'signup'), 6) AS auto_start, round(min(ts) FILTER (event_type = 'view'), 6) AS teleop_start, round(max(ts) FILTER (event_type = 'purchase'), 6) AS teleop_end FROM e GROUP BY user_id")
+@query(f"WITH {E} SELECT user_id, event_type, round(min(ts), 6) AS first, round(max(ts), 6) AS last, count(*) AS n FROM e GROUP BY ALL")
 def match_phases(spark, sf_dir):
-    at = lambda f, k, n: f(F.when(F.col("event_type") == k, F.col("ts"))).alias(n)
-    return rounded(events(spark, sf_dir).groupBy("user_id").agg(at(F.min, "signup", "auto_start"), at(F.min, "view", "teleop_start"), at(F.max, "purchase", "teleop_end")))
+    """The span of each state of a log."""
+    spans = catalog.entries(events(spark, sf_dir).select(F.col("user_id").alias("log_id"), F.col("event_type").alias("entry"), F.lit("double").alias("type"), "ts"))
+    return rounded(spans.select(F.col("log_id").alias("user_id"), F.col("entry").alias("event_type"), F.col("min_ts").alias("first"), F.col("max_ts").alias("last"), F.col("sample_count").alias("n")))
 
 
 @query("SELECT user_id, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean FROM events WHERE event_type = 'click' GROUP BY user_id")
 def compare_logs(spark, sf_dir):
-    return rounded(events(spark, sf_dir, "click").groupBy("user_id").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean")))
+    e = events(spark, sf_dir).select(F.col("user_id").alias("log_id"), F.col("event_type").alias("entry"), "ts", "seq", F.col("value").alias("v_num"), F.lit(None).cast("long").alias("v_long"))
+    return rounded(tools.compare_matches(e, "click").withColumnRenamed("log_id", "user_id"))
 
 
 @query("""WITH s AS (SELECT l_returnflag, count(*) AS n, sum(l_quantity * l_quantity) AS aa, sum(l_quantity * l_discount) AS ab, sum(l_discount * l_discount) AS bb, sum(l_extendedprice * l_quantity) AS ya, sum(l_extendedprice * l_discount) AS yb, sum(l_extendedprice * l_extendedprice) AS yy FROM lineitem GROUP BY 1),
@@ -314,13 +316,12 @@ def circular_mean(spark, sf_dir):
 @query("""WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), d AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS d FROM p WINDOW w AS (PARTITION BY label ORDER BY vec_id)) SELECT vec_id, label, round(d, 6) AS distance FROM d WHERE d > 0.2""")
 def pose_jump(spark, sf_dir):
     p = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    w = series.window(["label"], ["vec_id"])
-    return p.withColumn("d", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))).where("d > 0.2").select("vec_id", "label", F.round("d", 6).alias("distance"))
+    return rounded(series.jumps(p, ["label"], "x", "y", 0.2, ["vec_id"]).select("vec_id", "label", "distance"))
 
 
-@query("SELECT n_name AS name, levenshtein(lower(n_name), 'cannada') AS distance FROM nation WHERE levenshtein(lower(n_name), 'cannada') <= 3 ORDER BY 2, 1 LIMIT 3")
+@query("SELECT n_name AS name, levenshtein(lower(n_name), 'naton_1') AS distance FROM nation WHERE levenshtein(lower(n_name), 'naton_1') <= 3 ORDER BY 2, 1 LIMIT 3")
 def did_you_mean(spark, sf_dir):
-    return catalog.suggest_entries(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "Cannada", "name")
+    return catalog.suggest_entries(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "Naton_1", "name")
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
@@ -334,23 +335,26 @@ def first_value(spark, sf_dir):
     return rounded(stats.first_of(events(spark, sf_dir), K))
 
 
-@query("SELECT source AS type, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, type LIMIT 10")
+@query("SELECT lang AS log_id, source AS type, count(DISTINCT doc_id) AS n, CAST(row_number() OVER (PARTITION BY lang ORDER BY count(DISTINCT doc_id) DESC, source) AS INTEGER) AS rank FROM documents GROUP BY 1, 2 QUALIFY rank <= 10")
 def top_types(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type").limit(10)
+    return tools.sampled_types(table(spark, sf_dir, "documents").select(F.col("lang").alias("log_id"), F.col("source").alias("type"), F.col("doc_id").alias("entry")))
 
 
-@query(f"WITH {E} SELECT event_type, count(*) AS samples, count(DISTINCT user_id) AS entries, round(min(value), 6) AS battery_min, CASE WHEN min(value) < 6.8 THEN 'HIGH' WHEN min(value) < 9 THEN 'MODERATE' ELSE 'LOW' END AS brownout_risk FROM e GROUP BY 1")
+@query(f"WITH {E} SELECT event_type, count(*) AS samples, count(DISTINCT user_id) AS entries, round(min(value) FILTER (first), 6) AS battery_min, CASE WHEN min(value) FILTER (first) < 6.8 THEN 'HIGH' WHEN min(value) FILTER (first) < 9 THEN 'MODERATE' ELSE 'LOW' END AS brownout_risk FROM (SELECT *, CAST(user_id AS VARCHAR) = min(CAST(user_id AS VARCHAR)) OVER (PARTITION BY event_type) AS first FROM e) GROUP BY 1")
 def power_report(spark, sf_dir):
-    out = events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("samples"), F.countDistinct("user_id").alias("entries"), F.min("value").alias("battery_min"))
-    return rounded(out.withColumn("brownout_risk", F.when(F.col("battery_min") < 6.8, "HIGH").when(F.col("battery_min") < 9, "MODERATE").otherwise("LOW")))
+    e = events(spark, sf_dir).select(F.col("event_type").alias("log_id"), F.concat(F.lit("batteryvoltage "), F.col("user_id")).alias("entry"), F.lit("double").alias("type"), "ts", "seq", F.col("value").alias("v_num"), F.lit(None).cast("long").alias("v_long"), F.lit(None).cast("string").alias("v_str"))
+    return rounded(tools.report(e).select(F.col("log_id").alias("event_type"), "samples", "entries", "battery_min", "brownout_risk"))
 
 
-@query()
+@query(CLICK_VIEW.replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS i FROM l),
+s AS (SELECT user_id, seq, i, value AS held, CAST(1 AS BIGINT) AS segment FROM n WHERE i = 1
+    UNION ALL SELECT n.user_id, n.seq, n.i, CASE WHEN abs(n.value - s.held) > greatest(abs(s.held) * 0.05, 0.01) THEN n.value ELSE s.held END, s.segment + CASE WHEN abs(n.value - s.held) > greatest(abs(s.held) * 0.05, 0.01) THEN 1 ELSE 0 END FROM s JOIN n ON n.user_id = s.user_id AND n.i = s.i + 1)
+SELECT user_id, seq, segment FROM s""")
 def setpoint_segments(spark, sf_dir):
     return series.segments_by_setpoint(events(spark, sf_dir, "click").select("user_id", "seq", "ts", "value"), K).select("user_id", "seq", "segment")
 
 
-@query()
+@query("SELECT user_id, -1.0 AS offset, 1.0 AS correlation FROM events WHERE event_type = 'click' GROUP BY user_id HAVING count(*) >= 2".replace("offset", '"offset"'))
 def clock_sync(spark, sf_dir):
     """Each user's clicks against the same series an hour later: offset -3600 s (in units of 3600 s a second)."""
     e = events(spark, sf_dir, "click").select("user_id", (F.col("ts") / 3600).alias("ts"), "value")

@@ -104,20 +104,29 @@ def get_ds_timeline(spark, sf_dir):
     return rounded(tools.ds_timeline(_states(spark, sf_dir)))
 
 
-@query(PHASES + """, l AS (SELECT * FROM e WHERE kind = 'purchase'), h AS (SELECT * FROM e WHERE kind = 'error'), j AS (SELECT l.log_id, l.ts, l.value - h.value AS d FROM l ASOF JOIN h ON l.log_id = h.log_id AND l.ts >= h.ts)
-SELECT log_id, round(sqrt(avg(d * d)), 6) AS rmse, round(max(abs(d)), 6) AS max_error, count(*) AS n FROM j JOIN t USING (log_id) WHERE ts BETWEEN auto_start AND coalesce(teleop_start, auto_start + 15) GROUP BY log_id""")
+@query(PHASES + """, f AS (SELECT log_id, min(ts) FILTER (auto AND enabled) AS direct, min(ts) FILTER (auto) AS flag_up FROM au GROUP BY log_id),
+fe AS (SELECT f.*, (SELECT min(ts) FROM au WHERE au.log_id = f.log_id AND NOT auto AND ts > flag_up) AS flag_end, (SELECT min(ts) FROM au WHERE au.log_id = f.log_id AND NOT auto AND ts > direct) AS direct_end FROM f),
+fl AS (SELECT fe.*, (SELECT min(ts) FROM en WHERE en.log_id = fe.log_id AND up AND ts >= flag_up AND (flag_end IS NULL OR ts < flag_end)) AS later FROM fe),
+aw AS (SELECT log_id, coalesce(direct, later) AS b, coalesce(CASE WHEN direct IS NOT NULL THEN direct_end ELSE flag_end END, coalesce(direct, later) + 15) AS x FROM fl),
+l AS (SELECT * FROM e WHERE kind = 'purchase'), h AS (SELECT * FROM e WHERE kind = 'error'), j AS (SELECT l.log_id, l.ts, l.value - h.value AS d FROM l ASOF JOIN h ON l.log_id = h.log_id AND l.ts >= h.ts)
+SELECT log_id, round(sqrt(avg(d * d)), 6) AS rmse, round(max(abs(d)), 6) AS max_error, count(*) AS n FROM j JOIN aw USING (log_id) WHERE ts BETWEEN b AND x GROUP BY log_id""")
 def analyze_auto(spark, sf_dir):
     return rounded(tools.analyze_auto(_states(spark, sf_dir), "/Path/Setpoint", "/Path/Actual"))
 
 
 @query(f"WITH {E}, c AS (SELECT * FROM e WHERE kind = 'click'), " + HYSTERESIS.format(n="b", low=6.8, high="6.8 + 0.2") + ", " + HYSTERESIS.format(n="w", low=9.0, high="9.0 + 0.2") + """,
 bn AS (SELECT log_id, count(*) AS brownouts, sum("end" - "begin") AS bs FROM b GROUP BY 1), wn AS (SELECT log_id, count(*) AS warnings, sum("end" - "begin") AS ws FROM w GROUP BY 1), base AS (SELECT log_id, min(value) AS min_v, avg(value) AS avg_v FROM c GROUP BY 1),
-s AS (SELECT log_id, min_v, avg_v, coalesce(brownouts, 0) AS brownouts, coalesce(bs, 0) AS bs, coalesce(warnings, 0) AS warnings, coalesce(ws, 0) AS ws FROM base LEFT JOIN bn USING (log_id) LEFT JOIN wn USING (log_id)),
-g AS (SELECT *, CAST(greatest(0, 100 - 20 * brownouts - 5 * warnings - greatest(0, CAST(trunc((12.6 - avg_v) * 10) AS INTEGER))) AS INTEGER) AS score FROM s)
-SELECT log_id, round(min_v, 6) AS min_v, round(avg_v, 6) AS avg_v, brownouts, round(bs, 3) AS brownouts_seconds, warnings, round(ws, 3) AS warnings_seconds, score, CASE WHEN brownouts > 0 THEN 'HIGH' WHEN warnings > 2 OR score < 70 THEN 'MODERATE' ELSE 'LOW' END AS risk FROM g""")
+dr AS (SELECT * FROM (SELECT *, lag(value) OVER (PARTITION BY log_id ORDER BY ts, seq) AS was FROM c) WHERE was - value > 0.5),
+rt AS (SELECT dr.log_id, dr.seq, min(c.ts) - dr.ts AS seconds FROM dr JOIN c ON c.log_id = dr.log_id AND c.ts > dr.ts AND c.ts <= dr.ts + 2 AND c.value >= dr.value + 0.9 * (dr.was - dr.value) GROUP BY dr.log_id, dr.seq, dr.ts),
+rc AS (SELECT log_id, avg(seconds) AS recovery FROM rt WHERE log_id IN (SELECT log_id FROM e WHERE kind = 'view') GROUP BY 1),
+s AS (SELECT log_id, min_v, avg_v, coalesce(brownouts, 0) AS brownouts, coalesce(bs, 0) AS bs, coalesce(warnings, 0) AS warnings, coalesce(ws, 0) AS ws, recovery FROM base LEFT JOIN bn USING (log_id) LEFT JOIN wn USING (log_id) LEFT JOIN rc USING (log_id)),
+g AS (SELECT *, CAST(greatest(0, least(100, 100 - CASE WHEN avg_v / 12.6 < 0.88 THEN trunc((0.88 - avg_v / 12.6) * 150) ELSE 0 END - 20 * brownouts - 5 * greatest(0, warnings - brownouts)
+    - CASE WHEN recovery > 0.5 THEN trunc((recovery - 0.5) * 20) ELSE 0 END - CASE WHEN min_v < 10 THEN trunc((10 - min_v) * 10) ELSE 0 END)) AS INTEGER) AS score FROM s)
+SELECT log_id, round(min_v, 6) AS min_v, round(avg_v, 6) AS avg_v, brownouts, round(bs, 3) AS brownouts_seconds, warnings, round(ws, 3) AS warnings_seconds, round(recovery, 3) AS recovery, score,
+    CASE WHEN min_v < 6.8 THEN 'CRITICAL' WHEN min_v < 9 OR score < 30 THEN 'HIGH' WHEN score < 60 THEN 'MODERATE' WHEN score < 80 THEN 'LOW' ELSE 'MINIMAL' END AS risk FROM g""")
 def predict_battery_health(spark, sf_dir):
-    out = tools.battery_health(samples(events(spark, sf_dir), {"click": "/Robot/BatteryVoltage"}, v_num=F.col("value")))
-    return rounded(out.withColumns({c: F.round(c, 3) for c in ("brownouts_seconds", "warnings_seconds")}))
+    out = tools.battery_health(samples(events(spark, sf_dir), {"click": "/Robot/BatteryVoltage", "view": "/PDH/TotalCurrent"}, v_num=F.col("value")))
+    return rounded(out.withColumns({c: F.round(c, 3) for c in ("brownouts_seconds", "warnings_seconds", "recovery")}))
 
 
 def _struct(**fields):
@@ -133,10 +142,10 @@ def analyze_vision(spark, sf_dir):
     return rounded(tools.analyze_vision(s, DAY, 50.0))
 
 
-@query(f"WITH {E}, {SIDES}, {lerp_sql('c', 'v')}, d AS (SELECT log_id, abs(value - other) / abs(value) AS slip FROM j WHERE other IS NOT NULL AND abs(value) > 0.01) SELECT log_id, '/Drive/Module0' AS parent, round(avg(CASE WHEN slip > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS slip_ratio, round(max(slip), 4) AS max_slip, count(*) AS n FROM d GROUP BY 1")
+@query(f"WITH {E}, {SIDES}, {lerp_sql('v', 'c')}, d AS (SELECT log_id, abs(abs(value) - abs(other)) AS d, abs(abs(value) - abs(other)) / abs(other) AS slip FROM j WHERE abs(other) > 0.01) SELECT log_id, '/Drive/Module0/Setpoint' AS setpoint, '/Drive/Module0/Measured' AS measured, round(max(slip), 4) AS max_slip, round(avg(slip), 4) AS avg_slip, count(*) FILTER (d > 50) AS events, round(avg(CASE WHEN d > 50 THEN 1.0 ELSE 0.0 END), 6) AS event_rate, count(*) AS n FROM d GROUP BY 1")
 def swerve_wheel_slip(spark, sf_dir):
     s = samples(events(spark, sf_dir), {"click": "/Drive/Module0/Setpoint", "view": "/Drive/Module0/Measured"}, v_struct=_struct(speed_mps="value"))
-    return rounded(tools.wheel_slip(s).withColumn("max_slip", F.round("max_slip", 4)))
+    return rounded(tools.wheel_slip(s, 50.0).withColumns({c: F.round(c, 4) for c in ("max_slip", "avg_slip")}))
 
 
 @query(f"WITH {E} SELECT log_id, '/Drive/Module-' || kind AS entry, round(max(abs(value)), 6) AS max_speed, round(avg(abs(value)), 6) AS avg_speed FROM e WHERE kind IN ('click', 'view') GROUP BY 1, 2")
@@ -158,25 +167,25 @@ def swerve_odometry_drift(spark, sf_dir):
 
 
 @query(f"""WITH {E}, {SIDES}, r AS (SELECT c.log_id, c.ts, c.value > 50 AS a, v.value > 50 AS b, row_number() OVER (PARTITION BY c.log_id, c.seq ORDER BY v.ts, v.seq) AS n, v.ts AS vts FROM c JOIN v ON c.log_id = v.log_id AND v.ts >= c.ts - 86400)
-SELECT log_id, 'ReplayOutputs/X' AS entry, count(*) AS compared, count(*) FILTER (a <> b) AS differing, round(min(ts) FILTER (a <> b), 6) AS first_ts FROM r WHERE n = 1 AND abs(vts - ts) <= 86400 GROUP BY 1""")
+SELECT log_id, 'ReplayOutputs/X' AS entry, CASE WHEN arg_min(a, ts) FILTER (a <> b) THEN '{{"v_bool":true}}' ELSE CASE WHEN count(*) FILTER (a <> b) > 0 THEN '{{"v_bool":false}}' END END AS first_real, CASE WHEN arg_min(b, ts) FILTER (a <> b) THEN '{{"v_bool":true}}' ELSE CASE WHEN count(*) FILTER (a <> b) > 0 THEN '{{"v_bool":false}}' END END AS first_replayed, count(*) AS compared, count(*) FILTER (a <> b) AS differing, round(min(ts) FILTER (a <> b), 6) AS first_ts FROM r WHERE n = 1 AND abs(vts - ts) <= 86400 GROUP BY 1""")
 def analyze_replay_drift(spark, sf_dir):
     s = samples(events(spark, sf_dir), {"click": "RealOutputs/X", "view": "ReplayOutputs/X"}, v_bool=F.col("value") > 50)
     return rounded(tools.replay_drift(s, DAY))
 
 
-@query(f"WITH {E}, u AS (SELECT log_id, avg(value) AS a, max(value) AS m FROM e WHERE kind = 'click' GROUP BY 1), x AS (SELECT log_id, count(*) AS errors FROM e WHERE kind = 'error' AND value > 20 GROUP BY 1) SELECT log_id, round(a, 6) AS avg_utilisation, round(m, 6) AS max_utilisation, coalesce(errors, 0) AS errors FROM u FULL JOIN x USING (log_id)")
+@query(f"WITH {E}, u AS (SELECT log_id, avg(value) AS a, max(value) AS m FROM e WHERE kind = 'click' GROUP BY 1), k AS (SELECT DISTINCT log_id AS kid FROM e WHERE kind = 'view'), y AS (SELECT l.log_id, k.kid IS NULL OR coalesce(v.value > 50, false) AS held FROM (SELECT * FROM e WHERE kind = 'error' AND value > 20) l ASOF LEFT JOIN (SELECT log_id AS lid, ts AS vts, value FROM e WHERE kind = 'view') v ON l.log_id = v.lid AND l.ts >= v.vts LEFT JOIN k ON k.kid = l.log_id), x AS (SELECT log_id, count(*) AS errors, count(*) FILTER (held) AS w FROM y GROUP BY 1) SELECT log_id, round(a, 6) AS avg_utilisation, round(m, 6) AS max_utilisation, coalesce(errors, 0) AS errors, coalesce(w, 0) AS while_enabled, CASE WHEN coalesce(w, 0) > 0 THEN 'ENABLED' WHEN coalesce(errors, 0) > 0 THEN 'DISABLED_ONLY' ELSE 'NONE' END AS assessment FROM u FULL JOIN x USING (log_id)")
 def analyze_can_bus(spark, sf_dir):
-    return rounded(tools.analyze_can_bus(samples(events(spark, sf_dir), {"click": "/CANBus/Utilization", "error": "/CANBus/Error"}, v_num=when(("click",), F.col("value")), v_bool=when(("error",), F.col("value") > 20))))
+    return rounded(tools.analyze_can_bus(samples(events(spark, sf_dir), {"click": "/CANBus/Utilization", "error": "/CANBus/Error", "view": "/DriverStation/Enabled"}, v_num=when(("click",), F.col("value")), v_bool=F.when(F.col("kind") == "error", F.col("value") > 20).when(F.col("kind") == "view", F.col("value") > 50))))
 
 
 @query(f"""WITH {E}, {SIDES}, h AS (SELECT * REPLACE (ts / 3600 AS ts) FROM c), hv AS (SELECT * REPLACE (ts / 3600 AS ts) FROM v), s AS (SELECT *, avg(value) OVER (PARTITION BY log_id ORDER BY ts, seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth FROM h),
 g AS (SELECT *, (coalesce(lead(smooth) OVER w, smooth) - coalesce(lag(smooth) OVER w, smooth)) / (coalesce(lead(ts) OVER w, ts) - coalesce(lag(ts) OVER w, ts)) AS alpha FROM s WINDOW w AS (PARTITION BY log_id ORDER BY ts, seq)), {lerp_sql('g', 'hv')},
-q AS (SELECT log_id, alpha AS a, smooth AS b, abs(other) * sign(alpha) * 0.5 AS y FROM j WHERE other IS NOT NULL AND abs(alpha) >= 0.05), z AS (SELECT log_id, count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(y * a) AS ya, sum(y * b) AS yb FROM q GROUP BY 1)
-SELECT log_id, n, round((ya * bb - yb * ab) / (aa * bb - ab * ab), 4) AS inertia, round((yb * aa - ya * ab) / (aa * bb - ab * ab), 4) AS damping FROM z WHERE n >= 5""")
+q AS (SELECT log_id, alpha AS a, smooth AS b, other * 0.5 AS y FROM j WHERE other IS NOT NULL AND abs(alpha) >= 0.05), z AS (SELECT log_id, count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(y * a) AS ya, sum(y * b) AS yb FROM q GROUP BY 1)
+SELECT log_id, n, round((ya * bb - yb * ab) / (aa * bb - ab * ab), 4) AS inertia, round((yb * aa - ya * ab) / (aa * bb - ab * ab), 4) AS damping FROM z WHERE n >= 5 AND log_id IN (SELECT log_id FROM c GROUP BY 1 HAVING count(*) >= 10)""")
 def moi_regression(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("ts", F.col("ts") / 3600)
     side = lambda k: e.where(F.col("kind") == k).select("log_id", "ts", "seq", "value")
-    return rounded(tools.moi_regression(side("click"), side("view"), ["log_id"], 0.05, 10.0, 1, 0.05).where("n >= 5").select("log_id", "n", "inertia", "damping"), 4)
+    return rounded(tools.moi_regression(side("click"), side("view"), ["log_id"], 0.05, 10.0, 1, 0.05).select("log_id", "n", "inertia", "damping"), 4)
 
 
 @query(f"""WITH {E}, {SIDES}, {lerp_sql('c', 'v')}, p AS (SELECT *, coalesce(value < 100 AND other > 30, false) AS o FROM j), x AS (SELECT *, sum(CASE WHEN o AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY log_id ORDER BY ts, seq) AS run FROM (SELECT *, coalesce(lag(o) OVER (PARTITION BY log_id ORDER BY ts, seq), false) AS was FROM p))
@@ -194,11 +203,15 @@ def mechanism_segments(spark, sf_dir):
     return rounded(tools.profile_mechanism(side("click"), side("view"), ["log_id"])["segments"])
 
 
-@query(f"""WITH {E}, b AS (SELECT log_id, count(*) AS samples, count(DISTINCT kind) AS entries, min(ts) AS "begin", max(ts) AS "end", min(value) FILTER (kind = 'click') AS lo, max(value) FILTER (kind = 'click') AS hi, count(*) FILTER (kind = 'error') AS errors FROM e GROUP BY 1)
-SELECT log_id, samples, entries, round("begin", 6) AS "begin", round("end", 6) AS "end", round(lo, 6) AS battery_min, round(hi, 6) AS battery_max, errors, CASE WHEN lo < 6.8 THEN 'HIGH' WHEN lo < 9 THEN 'MODERATE' WHEN lo IS NOT NULL THEN 'LOW' END AS brownout_risk FROM b""")
+@query(f"""WITH {E}, b AS (SELECT log_id, count(*) AS samples, count(DISTINCT kind) AS entries, min(ts) AS "begin", max(ts) AS "end", min(value) FILTER (kind = 'click') AS lo, max(value) FILTER (kind = 'click') AS hi, count(*) FILTER (kind = 'error') AS errors, count(DISTINCT kind) FILTER (kind NOT IN ('error', 'view')) AS doubles, count(DISTINCT kind) FILTER (kind IN ('error', 'view')) AS strings FROM e GROUP BY 1), g AS (SELECT log_id, arg_min(props, (ts, seq)) AS sha FROM e WHERE kind = 'view' GROUP BY 1)
+SELECT log_id, samples, entries, round("begin", 6) AS "begin", round("end", 6) AS "end", round(lo, 6) AS battery_min, round(hi, 6) AS battery_max, errors, CASE WHEN lo < 6.8 THEN 'HIGH' WHEN lo < 9 THEN 'MODERATE' WHEN lo IS NOT NULL THEN 'LOW' END AS brownout_risk, nullif(concat_ws(' | ', CASE WHEN errors > 0 THEN 'Fault: lost' END, CASE WHEN errors > 1 THEN 'Fault: lost' END, CASE WHEN errors > 2 THEN 'Fault: lost' END, CASE WHEN errors > 3 THEN 'Fault: lost' END, CASE WHEN errors > 4 THEN 'Fault: lost' END), '') AS samples_of_errors, sha AS git_sha, concat_ws(' ', CASE WHEN doubles > 0 THEN 'double ' || doubles END, CASE WHEN strings > 0 THEN 'string ' || strings END) AS types FROM b LEFT JOIN g USING (log_id)""")
 def generate_report(spark, sf_dir):
-    names = {k: k for k in ("view", "error", "purchase", "signup")} | {"click": "/BatteryVoltage"}
-    return rounded(tools.report(samples(events(spark, sf_dir), names, v_num=when(("click",), F.col("value")), v_str=when(("error",), F.lit("Error: lost")))))
+    names = {k: k for k in ("error", "purchase", "signup")} | {"click": "/BatteryVoltage", "view": "Metadata/GitSHA"}
+    text = F.when(F.col("kind") == "error", F.lit("Fault: lost")).when(F.col("kind") == "view", F.col("props"))
+    kind = F.when(F.col("kind").isin("error", "view"), "string").otherwise("double")
+    out = tools.report(samples(events(spark, sf_dir), names, type=kind, v_num=when(("click",), F.col("value")), v_str=text))
+    types = F.array_join(F.sort_array(F.transform("top_types", lambda x: F.concat_ws(" ", x["type"], x["n"].cast("string")))), " ")
+    return rounded(out.withColumns({"samples_of_errors": F.array_join("error_samples", " | "), "types": types}).drop("error_samples", "top_types", "git_branch"))
 
 
 @query(f"WITH {E} SELECT log_id, CASE kind WHEN 'click' THEN 'GitSHA' ELSE 'Version' END AS key, arg_min(props, (ts, seq)) AS value FROM e WHERE kind IN ('click', 'view') GROUP BY 1, 2")
@@ -223,7 +236,7 @@ def high_variance_window(spark, sf_dir):
     return rounded(stats.high_variance_window(events(spark, sf_dir), ["log_id"], 10 * DAY).withColumn("variance", F.round("variance", 2)))
 
 
-@query("""WITH d AS (SELECT DISTINCT l_discount * 10 AS r, l_quantity AS n FROM lineitem), t AS (SELECT *, CASE WHEN abs(r) < 1 AND n > 2 THEN abs(r) * sqrt((n - 2) / (1 - r * r)) END AS t FROM d), z AS (SELECT *, CASE WHEN n > 2 THEN t * (1 - 1 / (4 * (n - 2))) / sqrt(1 + t * t / (2 * (n - 2))) END AS z FROM t), k AS (SELECT *, 1 / (1 + 0.2316419 * z) AS k FROM z)
+@query("""WITH d AS (SELECT DISTINCT l_discount * 10 AS r, l_quantity AS n FROM lineitem), t AS (SELECT *, CASE WHEN abs(r) < 1 AND n > 2 THEN abs(r) * sqrt((n - 2) / (1 - r * r)) END AS t, n - 2.5 AS a, 48 * (n - 2.5) ** 2 AS b FROM d), y AS (SELECT *, CASE WHEN n > 2 THEN sqrt(a * ln(1 + t * t / (n - 2))) END AS y FROM t), z AS (SELECT *, y + (y ** 3 + 3 * y) / b - (4 * y ** 7 + 33 * y ** 5 + 240 * y ** 3 + 855 * y) / (10 * b * b) AS z FROM y), k AS (SELECT *, 1 / (1 + 0.2316419 * z) AS k FROM z)
 SELECT round(r, 6) AS r, round(n, 6) AS n, round(CASE WHEN n <= 2 THEN 1 WHEN n < 15 THEN NULL WHEN abs(r) >= 1 THEN 0 ELSE 2 * exp(-z * z / 2) / 2.5066282746310002 * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429)))) END, 6) AS p_value FROM k""")
 def correlation_p_value(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 10).alias("r"), F.col("l_quantity").alias("n")).distinct()
@@ -312,17 +325,18 @@ def signal_candidates(spark, sf_dir):
     return rounded(fleet.signal_candidates(p.select(F.col("p_name").alias("entry")), signals))
 
 
-@query()
+@query("""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, encode(text) AS b, octet_length(encode(text)) AS n FROM documents), h AS (SELECT *, hex(b) AS x FROM d)
+SELECT path, sha256(encode(CAST(n AS VARCHAR)) || unhex(substr(x, 1, 131072)) || CASE WHEN n > 196608 THEN unhex(substr(x, 2 * (n // 2 - 32768) + 1, 131072)) ELSE ''::BLOB END || unhex(substr(x, 2 * greatest(n - 65536, 0) + 1, 131072))) AS fingerprint FROM h""")
 def file_fingerprints(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"), F.octet_length("text").cast("long").alias("length"))
     return fleet.fingerprint(files)
 
 
-@query()
+@query("SELECT unnest(string_split(names, ' ')) AS name, category FROM (VALUES " + ", ".join(f"('{c}', '{n}')" for c, n in guide.TOOLS.items()) + ") t(category, names)")
 def get_server_guide(spark, sf_dir):
     return guide.catalog(spark).select("name", "category")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('power_analysis', 7), ('predict_battery_health', 4), ('find_condition', 4)) t(name, score)")
 def suggest_tools(spark, sf_dir):
     return catalog.suggest_tools(guide.catalog(spark), "why did the battery voltage drop below the brownout threshold").select("name", "score")

@@ -28,14 +28,18 @@ def test_one_anomaly(spark):
 
 
 def test_rmse(spark):
-    r = stats.compare(make(spark, [(0, 10.0), (1, 10.0), (2, 10.0)]), make(spark, [(0, 9.0), (1, 11.0), (2, 9.0)]), K).first()
-    assert abs(r["rmse"] - 1) < 1e-9 and r["max_diff"] == 1
+    r = stats.compare(make(spark, [(0, 10.0), (1, 10.0), (2, 10.0)]), make(spark, [(0, 9.0), (1, 11.0), (2, 10.0)]), K).first()
+    assert abs(r["rmse"] - 0.816) < 1e-3 and r["max_diff"] == 1
 
 
 def test_p_value(spark):
     df = spark.createDataFrame([(0.5, 30), (0.5, 2), (0.5, 10), (1.0, 20)], "r double, n long")
     p = [x[0] for x in df.select(stats.p_value(F.col("r"), F.col("n"))).collect()]
     assert abs(p[0] - 0.005) < 0.003 and p[1] == 1 and p[2] is None and p[3] == 0
+    # Two-sided values of Student's t, from tables.
+    df = spark.createDataFrame([(0.3961, 25), (0.5052, 25), (0.1946, 102)], "r double, n long")
+    p = [x[0] for x in df.select(stats.p_value(F.col("r"), F.col("n"))).collect()]
+    assert all(abs(x - y) < 2e-4 for x, y in zip(p, (0.05, 0.01, 0.05), strict=True))
 
 
 def test_correlation_of_a_constant_is_null(spark):
@@ -116,6 +120,81 @@ def test_wpilog_round_trip_and_tools(spark, tmp_path):
     assert catalog.logs_from_files(spark.read.format("binaryFile").load(str(tmp_path)).drop("content")).first()["match_number"] == 1
 
 
+def rows_of(spark, *entries):
+    """Samples of entries (name, type, column, [(ts, value)])."""
+    from fieldscope.model import SAMPLES
+
+    names = [c.strip().split(" ")[0] for c in SAMPLES.replace("map<string,double>", "map").split(", ")]
+    out = []
+    for name, kind, column, points in entries:
+        for i, (t, v) in enumerate(points):
+            row = {"log_id": "a", "entry": name, "type": kind, "seq": i, "ts_us": int(t * 1e6), "ts": float(t), column: v}
+            out.append(tuple(row.get(c) for c in names))
+    return spark.createDataFrame(out, SAMPLES)
+
+
+def test_battery_score_of_literals(spark):
+    volts = [(0, 12.0), (1, 12.0), (1.1, 6.0), (1.9, 11.8), (3, 12.0), (4, 8.5), (4.2, 12.0), (9, 12.0)]
+    battery, current = ("/BatteryVoltage", "double", "v_num", volts), ("/PDH/TotalCurrent", "double", "v_num", [(0, 1.0)])
+    r = tools.battery_health(rows_of(spark, battery, current)).first()
+    mean, recovery = sum(v for _, v in volts) / 8, (0.8 + 0.2) / 2
+    assert r["brownouts"] == 1 and r["warnings"] == 2 and abs(r["recovery"] - recovery) < 1e-9
+    want = 100 - int((0.88 - mean / 12.6) * 150 if mean / 12.6 < 0.88 else 0) - 20 - 5 - int((10 - 6.0) * 10)
+    assert r["score"] == want and r["risk"] == "CRITICAL"
+    assert tools.battery_health(rows_of(spark, battery)).first()["recovery"] is None
+
+
+def test_wheel_slip_of_literals(spark):
+    state = lambda *v: [(t, {"speed_mps": x}) for t, x in v]
+    s = rows_of(spark, ("/M0/Setpoint", "struct:S", "v_struct", state((0, 1.0), (2, 3.0))), ("/M0/Measured", "struct:S", "v_struct", state((0, 0.9), (1, 1.0), (2, -3.0), (3, 9.0))))
+    r = tools.wheel_slip(s, 0.5).first()  # setpoints there: 1, 2, 3, none
+    assert (r["n"], r["events"]) == (3, 1) and abs(r["max_slip"] - 0.5) < 1e-9 and abs(r["avg_slip"] - 0.2) < 1e-9
+
+
+def test_auto_ends_where_the_flag_drops(spark):
+    on = ("/DriverStation/Enabled", "boolean", "v_bool", [(0, False), (5, True), (20, False), (25, True)])
+    flag = ("/DriverStation/Autonomous", "boolean", "v_bool", [(1, True), (18, False)])
+    path = [("/s", "double", "v_num", [(t, float(t)) for t in range(30)]), ("/a", "double", "v_num", [(t, float(t) - (50 if t > 18 else 1)) for t in range(30)])]
+    s = rows_of(spark, on, flag, *path)
+    w = tools.auto_window(s).first()
+    assert (w["auto_start"], w["auto_end"]) == (5, 18) and tools.analyze_auto(s, "/s", "/a").first()["max_error"] == 1
+    assert tools.match_phases(s).first()["teleop_start"] == 25
+
+
+def test_replayed_values_are_compared_whole(spark):
+    big = 2**53
+    s = rows_of(spark, ("RealOutputs/x", "int64", "v_long", [(0, big), (1, big + 1), (2, 5)]), ("ReplayOutputs/x", "int64", "v_long", [(0, big), (1, big), (2, 6)]))
+    r = tools.replay_drift(s).first()
+    assert (r["compared"], r["differing"], r["first_ts"]) == (3, 2, 1) and f"{big + 1}" in r["first_real"] and f"{big}" in r["first_replayed"]
+
+
+def test_torque_has_the_sign_of_volts_or_current(spark):
+    t = [i / 10 for i in range(40)]
+    omega, alpha = [2 * x * x - x**3 / 3 for x in t], [4 * x - x * x for x in t]
+    amps = [0.3 * a + 0.1 * w for a, w in zip(alpha, omega, strict=True)]
+    side = lambda v: make(spark, list(zip(t, v, strict=False)))
+    raw = tools.moi_regression(side(omega), side(amps), K, 2.0, 1.0, 1, 0.2, 0).first()
+    assert abs(raw["inertia"] - 0.6) < 0.02 and abs(raw["damping"] - 0.2) < 0.02
+    signed = tools.moi_regression(side(omega), side([abs(a) for a in amps]), K, 2.0, 1.0, 1, 0.2, 0, volts=side([1.0 if a >= 0 else -1.0 for a in amps])).first()
+    assert abs(signed["inertia"] - raw["inertia"]) < 1e-9
+    assert tools.moi_regression(side(omega[:9]), side(amps), K, 2.0, 1.0, 1, 0.2, 0).count() == 0
+
+
+def test_report_of_literals(spark):
+    text = ("/Log", "string", "v_str", [(i, x) for i, x in enumerate(["ok", "Error " + "x" * 200, "EXCEPTION", "a fault", "fine", "error 4", "error 5", "error 6"])])
+    code = ("/Meta/GitSHA", "string", "v_str", [(0, "abc"), (1, "def")])
+    r = tools.report(rows_of(spark, text, code, ("/n", "double", "v_num", [(0, 1.0)]))).first()
+    assert r["errors"] == 6 and len(r["error_samples"]) == 5 and r["error_samples"][0] == "Error " + "x" * 94 + "..." and r["git_sha"] == "abc"
+    assert [(t["type"], t["n"]) for t in r["top_types"]] == [("string", 2), ("double", 1)] and r["brownout_risk"] is None
+
+
+def test_confidence_of_agreeing_pairs(spark):
+    pairs = spark.createDataFrame([("a", 1.0, 0.9), ("a", 1.01, 0.8), ("a", 0.99, 0.7), ("a", 9.0, 0.1), ("b", 2.0, 0.9)], "log_id string, offset double, correlation double")
+    r = {x["log_id"]: x for x in sync.consensus(pairs, K).collect()}
+    assert r["a"]["offset"] == 1.0 and abs(r["a"]["confidence"] - (0.32 + 0.3 + 0.3 * (1 - 0.01 / 0.05))) < 1e-6
+    assert abs(r["b"]["confidence"] - (0.36 + 0.1 + 0.3)) < 1e-9 and r["b"]["level"] == "MEDIUM"
+
+
 def test_damaged_tail_keeps_what_came_before():
     data = log_bytes()
     whole, cut = list(wpilog.samples("x", data)), list(wpilog.samples("x", data[:-5]))
