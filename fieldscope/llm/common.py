@@ -66,6 +66,12 @@ def lookup(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int,
     return marked.where("__hot").select(*columns).unionByName(cold.join(rest, key).select(*columns))
 
 
+def strings(column, at_once: int = 500):
+    """The values of an Arrow column of texts, few of them at once as Python strings."""
+    for at in range(0, len(column), at_once):
+        yield from column.slice(at, at_once).to_pylist()
+
+
 class Memo(dict):
     """A dict that computes missing values and starts anew beyond a number of entries. Long keys are not kept, so that memory stays bounded."""
 

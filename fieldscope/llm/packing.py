@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import ddl, durable, whole
+from fieldscope.llm.common import ddl, durable, strings, whole
 from fieldscope.llm.wordbpe import printable_bytes
 
 WINDOW, END_ID, K1, B = 2048, 1, 1.2, 0.75
@@ -172,7 +172,7 @@ def encoded(df: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         coder = byte_bpe(path)
         for b in batches:
-            ids = [coder.encode(t) + END_ID.to_bytes(2, "little") for t in b.column("text").to_pylist()]
+            ids = [coder.encode(t) + END_ID.to_bytes(2, "little") for t in strings(b.column("text"))]
             rare = []
             for x in ids:
                 top = np.unique(np.frombuffer(x, "<u2"))[-3:].tolist()
@@ -190,7 +190,7 @@ def corpus_counts(rows: DataFrame) -> Corpus:
     def held(batches):
         n = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for x in b.column("ids").to_pylist():
+            for x in strings(b.column("ids")):
                 n[np.unique(np.frombuffer(x, "<u2")[:-1])] += 1
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["id", "n"])
@@ -227,7 +227,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
 
         for b in batches:
             kind = b.schema.field("doc_id").type
-            for doc, own in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
+            for doc, own in zip(b.column("doc_id").to_pylist(), strings(b.column("ids")), strict=True):
                 docs.append(doc)
                 ids.append(np.frombuffer(own, "<u2"))
                 held += len(ids[-1])

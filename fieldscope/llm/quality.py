@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import Memo, ddl, whole
+from fieldscope.llm.common import Memo, ddl, strings, whole
 from fieldscope.llm.toxicity import labelled_sample, with_sample
 
 BUCKETS, SAMPLE_ROWS = 1 << 15, 8_000
@@ -92,9 +92,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, epochs: in
 
 def train(docs: DataFrame, labels: DataFrame, grade_col: str = "quality", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     def hashed(batches):
-        codes = Memo(word_codes, 300_000)
+        codes = Memo(word_codes, 100_000)
         for b in batches:
-            rows = [features(t, codes) for t in b.column("text").to_pylist()]
+            rows = [features(t, codes) for t in strings(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("label"), *(pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in (0, 1))], ["label", "at", "value"])
 
     rows = with_sample(docs, labelled_sample(labels, grade_col, sample_rows, id_col), text_col, id_col)
@@ -108,9 +108,9 @@ def score_documents(docs: DataFrame, model: Model, cut: int | None = None, least
     at_cut = model.grades.index(cut) if cut is not None else 0
 
     def run(batches):
-        codes = Memo(word_codes, 300_000)
+        codes = Memo(word_codes, 100_000)
         for b in batches:
-            above = [model.above(*features(t, codes)) for t in b.column("text").to_pylist()]
+            above = [model.above(*features(t, codes)) for t in strings(b.column("text"))]
             tail = [float(a[at_cut]) if len(a) else 1.0 for a in above]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([model.expected(a) for a in above], pa.float64()), pa.array(tail, pa.float64())], ["doc_id", "expected_grade", "tail_probability"])
 
@@ -122,9 +122,9 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "tex
     """The rows of docs that the classifier keeps, with all their columns; no shuffle."""
 
     def run(batches):
-        codes = Memo(word_codes, 300_000)
+        codes = Memo(word_codes, 100_000)
         for b in batches:
-            above = [model.above(*features(t or "", codes)) for t in b.column(text_col).to_pylist()]
+            above = [model.above(*features(t or "", codes)) for t in strings(b.column(text_col))]
             yield b.filter(pa.array([not len(a) or float(a[0]) >= least for a in above], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import ddl, durable, lookup, whole
+from fieldscope.llm.common import ddl, durable, lookup, strings, whole
 
 SEED, LEAF, PIECE = 42, 64, 65_536
 SHARD_ROWS, PER_SHARD = 32_768, 64
@@ -65,7 +65,7 @@ def fingerprints(df: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for b in batches:
-            fp = [fingerprint(hashes(t, shingle)) for t in b.column("text").to_pylist()]
+            fp = [fingerprint(hashes(t, shingle)) for t in strings(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.binary())], ["doc_id", "fp"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
@@ -271,7 +271,7 @@ def shingle_order(texts: DataFrame, n: int, shingle: int, share: float = 0.05, l
 
     def each(batches):
         for b in batches:
-            for t in b.column("text").to_pylist():
+            for t in strings(b.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(t, shingle)).view(np.int64))], ["h"])
 
     sample = texts.select("text").where(F.rand(5) < max(share, min(1.0, least_rows / max(1, n))))

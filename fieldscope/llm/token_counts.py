@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import Memo, ddl, whole
+from fieldscope.llm.common import Memo, ddl, strings, whole
 from fieldscope.llm.wordbpe import END, word_bpe
 
 LONG, CHUNK, BEFORE = 1 << 17, 1 << 16, 256
@@ -292,7 +292,7 @@ def count_tokens(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc
     def run(batches):
         count = counter(path).count
         for b in batches:
-            n = pa.array([count(t) for t in b.column("text").to_pylist()], pa.int64())
+            n = pa.array([count(t) for t in strings(b.column("text"))], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), n], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.octet_length(whole(text_col)).cast("long").alias("n_bytes"), whole(text_col).alias("text"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import ddl, durable, sampled, whole
+from fieldscope.llm.common import ddl, durable, sampled, strings, whole
 
 SAMPLE_ROWS, MIN_Z, MAX_E, DRIFT = 20_000, 3.0, 0.01, 0.05
 WORDS = re.compile(r"[^\W_]+")
@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ho
             return out
 
         for b in batches:
-            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
+            for text, label in zip(strings(b.column("text")), b.column("label").to_pylist(), strict=True):
                 n[label == 1].update(set(WORDS.findall(text.lower())))
                 if len(n[0]) + len(n[1]) > 400_000:
                     yield flush()
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ho
         def run(batches):
             for b in batches:
                 out = []
-                for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
+                for text, label in zip(strings(b.column("text")), b.column("label").to_pylist(), strict=True):
                     if words := WORDS.findall(text.lower()):
                         found = segments(np.fromiter(map(scores.get, words, [-DRIFT] * len(words)), float, len(words)))
                         out.append((label, len(words), of(len(words), [f[2] for f in found])))
@@ -177,7 +177,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def run(batches):
         for b in batches:
-            scored = [model.passages(t) for t in b.column("text").to_pylist()]
+            scored = [model.passages(t) for t in strings(b.column("text"))]
             spans = [[{"begin": f[0], "end": f[1], "score": f[2], "evidence": f[3]} for f in found] for _, found in scored]
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("evidence", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([model.score(f) for _, f in scored]), pa.array([n for n, _ in scored], pa.int64()), pa.array(spans, kind)], ["doc_id", "score", "n_words", "passages"])
@@ -192,6 +192,6 @@ def keep(docs: DataFrame, model: Model, most: float = 0.5, text_col: str = "text
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array([model.score(model.passages(t or "")[1]) < most for t in b.column(text_col).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([model.score(model.passages(t or "")[1]) < most for t in strings(b.column(text_col))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

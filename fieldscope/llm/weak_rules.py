@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import ddl, durable, whole
+from fieldscope.llm.common import ddl, durable, strings, whole
 
 #: The symbols that are counted, and the white space that parts words.
 SYMBOLS, WHITE = "#*$%&|<>", " \t\n\v\f\r"
@@ -154,7 +154,7 @@ def vote_patterns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches):
         for b in batches:
-            found = [measure(t) for t in b.column("text").to_pylist()]
+            found = [measure(t) for t in strings(b.column("text"))]
             code = [sum((r.vote(m) + 1) * 3**i for i, r in enumerate(RULES)) for m in found]
             counts = [pa.array([m[i] for m in found], pa.int64()) for i in range(len(COLUMNS))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, pa.array(code, pa.int32())], ["doc_id", *COLUMNS, "pattern"])
