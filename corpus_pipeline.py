@@ -1,6 +1,7 @@
 """A corpus in five stages: quality, toxicity, boilerplate lines, near-duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`.
+Stages with Python workers lower the session's bounds on an Arrow batch (common.small_batches).
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldscope.llm import line_dedup, packing, quality, simhash, toxicity
-from fieldscope.llm.common import durable, table, vocabulary
+from fieldscope.llm.common import durable, small_batches, table, vocabulary
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +18,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Null and empty texts are scored as texts without words; rows that repeat are scored each; without labels of two grades all stay.
     """
+    small_batches(spark)
     return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -25,6 +27,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and empty texts hold no toxic passage and stay; rows that repeat are scored each; without labels of both kinds all stay.
     """
+    small_batches(spark)
     return toxicity.keep(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -45,11 +48,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null, empty and wordless texts are one group; of rows that share an id, those of different texts are documents each, and equal ones are
     one; rows without id stay; an empty table gives no rows.
     """
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def retrieval_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences. A null or empty text is a piece of one id; rows that repeat are packed each."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 

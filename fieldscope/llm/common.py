@@ -36,6 +36,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Lowers the session's bounds on an Arrow batch, so that batches of long texts stay small on both sides; lower settings are kept.
+
+    Spark's defaults, 10,000 rows and 64 MB, are held several times over by each task: as vectors, as messages, and by Python.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    in_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if in_bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) not in range(1, in_bytes(size) + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def whole(text: str = "text"):
     """The text column with null as the empty text."""
     return F.coalesce(F.col(text), F.lit(""))
