@@ -88,8 +88,11 @@ def samples(log_id: str, data: bytes, most: int | None = None) -> Iterator[tuple
         if most is not None and seq >= most:
             return
         if entry == 0:
-            if start := start_of(payload):
-                entries[start[0]] = start[1:3]
+            try:
+                if start := start_of(payload):
+                    entries[start[0]] = start[1:3]
+            except struct.error:  # a start record that is too short names no entry
+                pass
             continue
         if entry in entries:
             name, kind = entries[entry]

@@ -248,3 +248,9 @@ def test_streamed_hysteresis_equals_batch(spark, tmp_path):
     q = events.hysteresis(stream, "log_id", 5, 25).writeStream.format("memory").queryName("hyst").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r["begin"], r["end"]) for r in spark.table("hyst").orderBy("begin").collect()] == [(1, 3), (4, 5)]
+
+
+def test_a_short_start_record_is_skipped():
+    whole = wpilog.write([("/a", "double", [(1_000_000, struct.pack("<d", 2.5))])])
+    short = bytes([0b01111111]) + (0).to_bytes(4, "little") + (3).to_bytes(4, "little") + (0).to_bytes(8, "little") + b"\0\1\0"
+    assert list(wpilog.samples("x", whole[:12] + short + whole[12:])) == [(*r[:3], r[3] + 1, *r[4:]) for r in wpilog.samples("x", whole)]
