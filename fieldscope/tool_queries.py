@@ -317,11 +317,11 @@ def list_revlog_signals(spark, sf_dir):
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: length(w) > 1))"
 
 
-@query(f"""WITH a AS (SELECT entry, len(w) AS n, unnest(w) AS word FROM (SELECT entry, {_WORDS.format('entry')} AS w FROM (SELECT DISTINCT p_name AS entry FROM part))), b AS (SELECT signal, len(w) AS n, unnest(w) AS word FROM (SELECT signal, {_WORDS.format('signal')} AS w FROM (SELECT DISTINCT p_brand || p_type || ' ' || p_name AS signal FROM part WHERE p_size = 7))),
+@query(f"""WITH a AS (SELECT entry, len(w) AS n, unnest(w) AS word FROM (SELECT entry, {_WORDS.format('entry')} AS w FROM (SELECT DISTINCT p_name AS entry FROM part))), b AS (SELECT signal, len(w) AS n, unnest(w) AS word FROM (SELECT signal, {_WORDS.format('signal')} AS w FROM (SELECT DISTINCT p_brand || p_type || ' ' || p_name AS signal FROM part))),
 p AS (SELECT signal, entry, count(*) / (max(a.n) + max(b.n) - count(*)) AS score FROM a JOIN b USING (word) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY score DESC, entry) AS rank FROM p) SELECT signal, entry, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
 def signal_candidates(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    signals = p.where("p_size = 7").select(F.concat("p_brand", "p_type", F.lit(" "), "p_name").alias("signal"))
+    signals = p.select(F.concat("p_brand", "p_type", F.lit(" "), "p_name").alias("signal"))
     return rounded(fleet.signal_candidates(p.select(F.col("p_name").alias("entry")), signals))
 
 
