@@ -19,13 +19,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once into the folder of spark.checkpoint.dir, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """This application's own folder within that of spark.checkpoint.dir, which all executors share.
 
-    That folder is shared by all executors, so the rows outlive any of them. Where the setting is absent a folder of this
-    machine serves local sessions only; on a cluster its absence is an error.
+    Where the setting is absent a folder of this machine serves local sessions only; on a cluster its absence is an error.
     """
-    spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
@@ -33,6 +31,12 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(shared)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once into the shared folder, so that the rows outlive any executor, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldscope.llm import bpe_codec, hilbert, line_dedup, packing, quality, simhash, token_counts, topk, toxicity, weak_rules
+from fieldscope.llm import alignment, bpe_codec, fim, hilbert, language, line_dedup, packing, quality, simhash, token_counts, topk, toxicity, weak_rules
 from fieldscope.llm.common import table, vocabulary
 
 
@@ -53,7 +53,20 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_toxicity, op4_quality_classifier, op5_packing, op6_sharding, op7_quality_rules, op8_line_dedup, op9_topk, op10_simhash)}
+def op11_fim(spark, sf_dir):
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark, sf_dir):
+    return alignment.align_corpus(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), digest=True)
+
+
+def op13_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_toxicity, op4_quality_classifier, op5_packing, op6_sharding, op7_quality_rules, op8_line_dedup, op9_topk, op10_simhash, op11_fim, op12_alignment, op13_language)}
 
 #: CRC-32 of the bytes of a text, whose table comes from the polynomial's rule; and the places of the cells along the curve.
 _CRC = """t AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END)) AS crc),
@@ -64,6 +77,14 @@ _SIZE = "CASE WHEN coalesce(n_chars, 0) > 0 THEN least(length(ltrim(bin(n_chars)
 _WHITE = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL = {
+    "op11_fim": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, CASE WHEN text = '' THEN [] ELSE regexp_extract_all(text, '[^\n]*\n|[^\n]+') END AS units, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS hs FROM d),
+c AS (SELECT *, CAST(len(units) AS BIGINT) AS n, contains(text, '{fim.PREFIX}') OR contains(text, '{fim.SUFFIX}') OR contains(text, '{fim.MIDDLE}') AS held FROM u),
+p AS (SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS low, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS high, CASE WHEN text = '' OR held OR hs[3] % 100 >= 100 THEN 'plain' WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c),
+x AS (SELECT *, array_to_string(units[1:low], '') AS a, array_to_string(units[low + 1:high], '') AS b, array_to_string(units[high + 1:], '') AS z FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{fim.PREFIX}' || a || '{fim.SUFFIX}' || z || '{fim.MIDDLE}' || b ELSE '{fim.SUFFIX}' || z || '{fim.PREFIX}' || a || '{fim.MIDDLE}' || b END) AS output_sha256, sha256(text) AS restored_sha256 FROM x""",
     "op6_sharding": f"""
 WITH {_CRC}, place AS (SELECT {hilbert.curve(3, hilbert.BITS)} AS place),
 d AS (SELECT doc_id, size, text_crc32, place[1 + 256 * ({_NAME.format('lang')}) + 16 * ({_NAME.format('source')}) + {_SIZE}] AS cell, coalesce(CAST(doc_id AS VARCHAR), '') || '/' || text_crc32 || '/' || size AS spread FROM c, place),
