@@ -1,6 +1,10 @@
 """As-of joins of two series: hold the last value, interpolate, or match within a tolerance.
 
-Both sides are put into one sequence ordered by time and looked at through a window: one shuffle on the series key, linear in the rows.
+Both sides are put into one sequence ordered by time and looked at through running windows: one shuffle on the series key, linear in the rows.
+What comes later is looked up as what came before in the reverse order: a frame that ends at the last row is computed anew for each row.
+
+A series is the work of one task. With `every` (seconds) the series are cut into spans of time, so that a series with a large share of all rows
+becomes many tasks; the rows next to a span's ends are brought to it through a table of one row a span.
 """
 
 from __future__ import annotations
@@ -10,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+SPAN = "__span"
+
 
 def _union(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     nothing = F.lit(None).cast(f"struct<ts:double,seq:bigint,value:{right.schema['value'].dataType.simpleString()}>")
@@ -18,30 +24,65 @@ def _union(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return own.unionByName(other)
 
 
-def hold(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def before(keys: Sequence[str], *order, end: int = 0):
+    """The frame of the rows up to this one (or the one before it), in an order of columns."""
+    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+
+
+def _spans(left: DataFrame, right: DataFrame, keys: Sequence[str], every: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the number of their span; right also has, in each span of left, its last row before and its first row after the span."""
+    span = F.floor(F.col("ts") / F.lit(float(every))).alias(SPAN)
+    own, other = left.select("*", span), right.select(*keys, "ts", "seq", "value", span)
+    row, at = F.struct("ts", "seq", "value"), F.struct("ts", "seq")
+    ends = other.groupBy(*keys, SPAN).agg(F.min_by(row, at).alias("first"), F.max_by(row, at).alias("last"))
+    wanted = own.select(*keys, SPAN).distinct().withColumn("wanted", F.lit(True))
+    spans = ends.join(wanted, [*keys, SPAN], "full")
+    up, down = before(keys, SPAN, end=-1), before(keys, F.desc(SPAN), end=-1)
+    spans = spans.withColumns({"low": F.last("last", ignorenulls=True).over(up), "high": F.last("first", ignorenulls=True).over(down)}).where("wanted")
+    carried = spans.select(*keys, SPAN, F.explode(F.array_compact(F.array("low", "high"))).alias("r")).select(*keys, "r.ts", "r.seq", "r.value", SPAN)
+    return own, other.unionByName(carried)
+
+
+def _joined(how, left: DataFrame, right: DataFrame, keys: Sequence[str], every: float | None) -> DataFrame:
+    if every is None:
+        return how(left, right, list(keys))
+    return how(*_spans(left, right, keys, every), [*keys, SPAN]).drop(SPAN)
+
+
+def hold(left: DataFrame, right: DataFrame, keys: Sequence[str], every: float | None = None) -> DataFrame:
     """left with other_ts and other_value: of the last right row at or before its time (the last of equals), null before the first."""
-    w = Window.partitionBy(*keys).orderBy("ts", "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    found = _union(left, right, keys).withColumn("found", F.last("other", ignorenulls=True).over(w)).where("side = 1")
-    return found.select("row.*", F.col("found.ts").alias("other_ts"), F.col("found.value").alias("other_value"))
 
+    def run(left, right, keys):
+        found = _union(left, right, keys).withColumn("found", F.last("other", ignorenulls=True).over(before(keys, "ts", "side", "seq"))).where("side = 1")
+        return found.select("row.*", F.col("found.ts").alias("other_ts"), F.col("found.value").alias("other_value"))
+
+    return _joined(run, left, right, keys, every)
 
-def lerp(left: DataFrame, right: DataFrame, keys: Sequence[str], clamp: bool = False) -> DataFrame:
+
+def lerp(left: DataFrame, right: DataFrame, keys: Sequence[str], clamp: bool = False, every: float | None = None) -> DataFrame:
     """left with other_value interpolated between the right rows around its time; null (or the nearest end) outside their range."""
-    w = Window.partitionBy(*keys).orderBy("ts", "side", "seq")
-    both = _union(left, right.withColumn("value", F.col("value").cast("double")), keys)
-    both = both.withColumn("a", F.last("other", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first("other", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).where("side = 1")
-    t, a, b = F.col("row.ts"), F.col("a"), F.col("b")
-    between = a["value"] + (b["value"] - a["value"]) * (t - a["ts"]) / F.nullif(b["ts"] - a["ts"], F.lit(0.0))
-    value = F.when(a["ts"] == t, a["value"]).when(a.isNotNull() & b.isNotNull(), F.coalesce(between, a["value"]))
-    value = F.coalesce(value, F.when(a.isNull(), b["value"]).when(b.isNull(), a["value"])) if clamp else value
-    return both.select("row.*", value.alias("other_value"))
 
+    def run(left, right, keys):
+        both = _union(left, right.withColumn("value", F.col("value").cast("double")), keys)
+        later = before(keys, F.desc("ts"), F.desc("side"), F.desc("seq"), end=-1)
+        both = both.withColumn("a", F.last("other", ignorenulls=True).over(before(keys, "ts", "side", "seq"))).withColumn("b", F.last("other", ignorenulls=True).over(later)).where("side = 1")
+        t, a, b = F.col("row.ts"), F.col("a"), F.col("b")
+        between = a["value"] + (b["value"] - a["value"]) * (t - a["ts"]) / F.nullif(b["ts"] - a["ts"], F.lit(0.0))
+        value = F.when(a["ts"] == t, a["value"]).when(a.isNotNull() & b.isNotNull(), F.coalesce(between, a["value"]))
+        value = F.coalesce(value, F.when(a.isNull(), b["value"]).when(b.isNull(), a["value"])) if clamp else value
+        return both.select("row.*", value.alias("other_value"))
+
+    return _joined(run, left, right, keys, every)
 
-def forward(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
+
+def forward(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance: float, every: float | None = None) -> DataFrame:
     """left with the first right row at or after ts - tolerance, if it lies within the tolerance of ts; else null."""
+
+    def run(left, right, keys):
+        later = before(keys, F.desc("ts"), "side", F.desc("seq"))
+        found = _union(left, right, keys).withColumn("found", F.last("other", ignorenulls=True).over(later)).where("side = 1")
+        near = F.abs(F.col("found.ts") - F.col("row.__ts")) <= tolerance
+        return found.select("row.*", F.when(near, F.col("found.ts")).alias("other_ts"), F.when(near, F.col("found.value")).alias("other_value"))
+
     early = left.withColumn("__ts", F.col("ts")).withColumn("ts", F.col("ts") - tolerance)
-    w = Window.partitionBy(*keys).orderBy("ts", F.desc("side"), "seq").rowsBetween(0, Window.unboundedFollowing)
-    found = _union(early, right, keys).withColumn("found", F.first("other", ignorenulls=True).over(w)).where("side = 1")
-    near = F.abs(F.col("found.ts") - F.col("row.__ts")) <= tolerance
-    out = found.select("row.*", F.when(near, F.col("found.ts")).alias("other_ts"), F.when(near, F.col("found.value")).alias("other_value"))
-    return out.withColumn("ts", F.col("__ts")).drop("__ts")
+    return _joined(run, early, right, keys, every).withColumn("ts", F.col("__ts")).drop("__ts")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldscope.operators import asof
 from fieldscope.plans import sync
 
 CHUNK = 64 * 1024
@@ -56,13 +57,12 @@ def match_key(kind: Column, number: Column) -> Column:
 def nearest_match(logs: DataFrame, matches: DataFrame, within: float = 7200.0, by: str = "event") -> DataFrame:
     """logs (ts, seq) with match_key and distance of the match (ts) of the same event nearest in time, if within; ties to the earlier one."""
     none = F.lit(None).cast(matches.schema["match_key"].dataType)
-    w = Window.partitionBy(by).orderBy("ts", "__side", "__tie")
     row = F.struct(*logs.columns)
     own = logs.select(by, "ts", F.lit(1).alias("__side"), F.col("seq").cast("string").alias("__tie"), row.alias("row"), F.lit(None).cast("double").alias("m"), none.alias("k"))
     other = matches.select(by, F.col("ts").cast("double").alias("ts"), F.lit(0).alias("__side"), F.col("match_key").cast("string").alias("__tie"), F.lit(None).cast(own.schema["row"].dataType).alias("row"), F.col("ts").cast("double").alias("m"), F.col("match_key").alias("k"))
-    at = F.when(F.col("m").isNotNull(), F.struct("m", "k"))
-    before, after = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(at, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    both = own.unionByName(other).withColumn("a", before).withColumn("b", after).where("__side = 1")
+    last = F.last(F.when(F.col("m").isNotNull(), F.struct("m", "k")), ignorenulls=True)
+    later = asof.before([by], F.desc("ts"), F.desc("__side"), F.desc("__tie"), end=-1)
+    both = own.unionByName(other).withColumn("a", last.over(asof.before([by], "ts", "__side", "__tie"))).withColumn("b", last.over(later)).where("__side = 1")
     da, db = F.col("ts") - F.col("a.m"), F.col("b.m") - F.col("ts")
     first = F.coalesce(da <= db, da.isNotNull())
     d = F.when(first, da).otherwise(db)
