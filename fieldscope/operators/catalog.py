@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldscope.sources import wpilog
+
 
 def entries(samples: DataFrame) -> DataFrame:
     return samples.groupBy("log_id", "entry", "type").agg(F.count("*").alias("sample_count"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"))
@@ -70,3 +72,60 @@ def logs_from_files(files: DataFrame) -> DataFrame:
 def with_matches(logs: DataFrame, matches: DataFrame) -> DataFrame:
     """Logs with their match's outcome by (event, match_type, match_number)."""
     return logs.join(matches, ["event", "match_type", "match_number"], "left")
+
+
+#: Types of matches by what a text contains or equals, first match first, and by number.
+MATCH_TYPES = (("Practice", ("practice",), ("p",)), ("Qualification", ("qual",), ("q",)), ("Elimination", ("elim",), ("e",)), ("Semifinal", ("semi",), ("sf",)), ("Quarterfinal", ("quarter",), ("qf",)), ("Final", ("final",), ()))
+NUMBERED = ("Practice", "Qualification", "Elimination")
+#: Fixed value: names of log files, with date, time, event and match.
+LOG_NAME = r"(?i)^[a-z]+_(\d{2}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2})_([a-z0-9]+)(?:_([a-z]+)(\d+))?(?:_sim)?\.wpilog$"
+
+
+def match_type(text: Column, number: Column | None = None) -> Column:
+    """The type that a text names, or a number (also as the one character of a text); null for others."""
+    t, out = F.lower(F.trim(text)), F.lit(None).cast("string")
+    for name, parts, equal in reversed(MATCH_TYPES):
+        hit = F.lit(False)
+        for p in parts:
+            hit = hit | t.contains(p)
+        out = F.when(hit | t.isin(*equal) if equal else hit, name).otherwise(out)
+    n = F.when((F.length(text) == 1) & (F.ascii(text) <= 3), F.ascii(text))
+    n = n if number is None else F.coalesce(n, number.cast("int"))
+    for i, name in enumerate(NUMBERED, 1):
+        out = F.when(n == i, name).otherwise(out)
+    return out
+
+
+def metadata(files: DataFrame, team: int | None = None) -> DataFrame:
+    """path, filename, event, match_type, match_number, team, created and modified (epoch seconds), name of each log file.
+
+    files: as format binaryFile lists them, with or without content. What the head of a file tells goes before what its name tells.
+    """
+    heads = wpilog.read_heads(files)
+    last = lambda field, what: F.max_by(what, F.when((F.col("field") == field) & what.isNotNull(), F.col("seq")))
+    kind = match_type(F.col("v_str"), F.col("v_long"))
+    told = heads.groupBy("path").agg(
+        last("event", F.col("v_str")).alias("h_event"), last("match_type", kind).alias("h_type"), last("match_number", F.col("v_long").cast("int")).alias("h_number"), last("team", F.col("v_long").cast("int")).alias("h_team"),
+    )
+    name = F.element_at(F.split("path", "/"), -1)
+    part = lambda i: F.nullif(F.regexp_extract("filename", LOG_NAME, i), F.lit(""))
+    out = files.select("path", name.alias("filename"), F.col("modificationTime").cast("double").alias("modified")).join(told, "path", "left")
+    stamp, event, code, number = (part(i) for i in (1, 2, 3, 4))
+    by_name = F.when(event.isNotNull(), F.when(number.isNull(), "Practice").otherwise(F.coalesce(match_type(code), code)))
+    by_name = F.concat(by_name, F.when(F.lower("filename").endswith("_sim.wpilog"), " (sim)").otherwise(""))
+    created = F.unix_timestamp(F.try_to_timestamp(stamp, F.lit("yy-MM-dd_HH-mm-ss"))).cast("double")
+    out = out.select(
+        "path", "filename", F.coalesce("h_event", F.upper(event)).alias("event"), F.coalesce("h_type", by_name).alias("match_type"),
+        F.coalesce("h_number", number.cast("int")).alias("match_number"), F.coalesce("h_team", F.lit(team).cast("int")).alias("team"), created.alias("created"), "modified",
+    )
+    friendly = F.concat_ws(" ", "event", "match_type", F.col("match_number").cast("string"))
+    return out.withColumn("name", F.coalesce(F.nullif(friendly, F.lit("")), F.regexp_replace("filename", r"\.wpilog$", "")))
+
+
+def available_logs(files: DataFrame, matches: DataFrame | None = None, team: int | None = None) -> DataFrame:
+    """Log files with their metadata and state (see wpilog.states), newest first, and with the match's outcome where matches are given."""
+    out = metadata(files, team)
+    if "content" in files.columns:
+        out = out.join(wpilog.states(files).select("path", "readable", "truncated", "records", "skipped", "min_ts", "max_ts", "message"), "path", "left")
+    out = out if matches is None else with_matches(out, matches)
+    return out.orderBy(F.desc_nulls_last(F.coalesce("created", "modified")), "path")

@@ -1,11 +1,18 @@
-"""The WPILOG format as a Spark data source: spark.read.format("wpilog").load(path). A task reads a file; a damaged tail keeps what came before."""
+"""The WPILOG format as a Spark data source: spark.read.format("wpilog").load(path). A task reads a file; a damaged tail keeps what came before.
+
+Files lie in any store that pyarrow opens (read_files takes those that only Spark reaches). states tells of each log whether it was cut and
+how many records could not be read; metadata reads no more than the head of each file.
+"""
 
 from __future__ import annotations
 
-import os
+import re
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from fieldscope.model import SAMPLES
@@ -14,11 +21,17 @@ from fieldscope.sources import structs
 MAGIC = b"WPILOG"
 
 
-def records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(entry id, microseconds, payload) of every whole record."""
+class Cut(Exception):
+    """The log ends within a record."""
+
+
+def records(data: bytes, whole: bool = False) -> Iterator[tuple[int, int, bytes]]:
+    """(entry id, microseconds, payload) of every whole record; with `whole` a record cut by the end raises Cut."""
     if data[:6] != MAGIC or len(data) < 12 or struct.unpack_from("<H", data, 6)[0] < 0x0100:
         raise ValueError("not a WPILOG file")
     at = 12 + struct.unpack_from("<I", data, 8)[0]
+    if whole and at > len(data):
+        raise Cut
     while at < len(data):
         kind = data[at]
         widths = (kind & 3) + 1, (kind >> 2 & 3) + 1, (kind >> 4 & 7) + 1
@@ -28,6 +41,8 @@ def records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
             at += w
         entry, size, ts = fields
         if at + size > len(data):
+            if whole:
+                raise Cut
             return
         yield entry, ts, data[at : at + size]
         at += size
@@ -109,18 +124,34 @@ class _File(InputPartition):
         self.path = path
 
 
+def log_name(path: str) -> str:
+    return path.rsplit("/", 1)[-1].removesuffix(".wpilog")
+
+
+def store_of(path: str):
+    """The store of a path or URI, and the path within it."""
+    from pyarrow import fs
+
+    if re.match(r"(?!file:)[a-z][a-z0-9+.-]*:/", path, re.I):
+        return fs.FileSystem.from_uri(quote(path, safe="/:@?=&%"))
+    return fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
+
+
 class WpilogReader(DataSourceReader):
     def __init__(self, options):
         self.root, self.most = options["path"], options.get("maxRecords")
 
     def partitions(self):
-        if os.path.isfile(self.root):
-            return [_File(self.root)]
-        return [_File(os.path.join(d, f)) for d, _, files in sorted(os.walk(self.root)) for f in sorted(files) if f.endswith(".wpilog")]
+        from pyarrow import fs
+
+        store, path = store_of(self.root)
+        if store.get_file_info(path).type == fs.FileType.File:
+            return [_File(path)]
+        return [_File(f.path) for f in sorted(store.get_file_info(fs.FileSelector(path, recursive=True)), key=lambda f: f.path) if f.type == fs.FileType.File and f.path.endswith(".wpilog")]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
-            yield from samples(os.path.basename(partition.path).removesuffix(".wpilog"), f.read(), self.most and int(self.most))
+        with store_of(self.root)[0].open_input_file(partition.path) as f:
+            yield from samples(log_name(partition.path), f.read(), self.most and int(self.most))
 
 
 class Wpilog(DataSource):
@@ -142,11 +173,110 @@ def read_files(files, most: int | None = None):
 
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame(samples(path.rsplit("/", 1)[-1].removesuffix(".wpilog"), bytes(data), most), columns=COLUMNS)
+                yield pd.DataFrame(samples(log_name(path), bytes(data), most), columns=COLUMNS)
 
     return files.select("path", "content").mapInPandas(run, SAMPLES)
 
 
+STATE = "path string, log_id string, readable boolean, truncated boolean, records long, samples long, skipped long, entries int, min_ts double, max_ts double, message string"
+
+
+def state(data: bytes) -> tuple:
+    """readable, truncated, records, samples, skipped (records that do not fit their type, or lack it), entries, min_ts, max_ts, message."""
+    n = kept = skipped = 0
+    low = high = None
+    cut, entries = False, {}
+    try:
+        for entry, ts, payload in records(data, whole=True):
+            n += 1
+            try:
+                if entry == 0:
+                    if start := start_of(payload):
+                        entries[start[0]] = start[2]
+                    continue
+                if entry not in entries:
+                    skipped += 1
+                    continue
+                value(entries[entry], payload)
+            except (struct.error, IndexError):
+                skipped += 1
+                continue
+            kept, seconds = kept + 1, ts / 1e6
+            low, high = seconds if low is None else min(low, seconds), seconds if high is None else max(high, seconds)
+    except Cut:
+        cut = True
+    except ValueError as e:
+        return False, False, 0, 0, 0, 0, None, None, str(e)
+    said = [f"the log ends within a record; samples up to {high or 0:.2f} s are kept"] * cut + [f"{skipped} records could not be read"] * bool(skipped)
+    return True, cut, n, kept, skipped, len(entries), low, high, "; ".join(said) or None
+
+
+def states(files: DataFrame) -> DataFrame:
+    """A row a log listed with format binaryFile: whether it is a log, is cut, how much of it can be read, and what to tell a user."""
+    names = [c.split()[0] for c in STATE.split(", ")]
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame([(path, log_name(path), *state(bytes(data))) for path, data in zip(pdf["path"], pdf["content"], strict=True)], columns=names).astype({"entries": "int32"})
+
+    return files.select("path", "content").mapInPandas(run, STATE)
+
+
+#: The parts of entries' names that tell of the match, and how many records are looked at.
+FIELDS = {"eventname": "event", "matchtype": "match_type", "matchnumber": "match_number", "stationnumber": "team", "teamnumber": "team"}
+HEAD_RECORDS, HEAD_BYTES = 2000, 1 << 20
+HEAD = "path string, field string, seq long, v_str string, v_long long"
+
+
+def head(data: bytes, most: int = HEAD_RECORDS) -> Iterator[tuple[str, int, str | None, int | None]]:
+    """(field, seq, text, number) of samples that tell of the match, among the first records; ends once every field was told."""
+    names: dict[int, tuple[str, str]] = {}
+    told: set[str] = set()
+    try:
+        for seq, (entry, _, payload) in enumerate(records(data)):
+            if seq > most or told == set(FIELDS.values()):
+                return
+            try:
+                if entry == 0:
+                    if start := start_of(payload):
+                        field = next((f for part, f in FIELDS.items() if part in start[1].lower()), None)
+                        names[start[0]] = field, start[2]
+                elif entry in names and names[entry][0]:
+                    field, kind = names[entry]
+                    found = value(kind, payload)
+                    text, number = found.get("v_str"), found.get("v_long")
+                    if text or number is not None and number > (10 if field == "team" else 0):
+                        told.add(field)
+                        yield field, seq, text, number
+            except (struct.error, IndexError):
+                continue
+    except ValueError:
+        return
+
+
+def read_heads(files: DataFrame, most: int = HEAD_RECORDS, size: int = HEAD_BYTES) -> DataFrame:
+    """path and head() of the first `size` bytes of each file; from the column content where files have one, else through the path."""
+    names, content = [c.split()[0] for c in HEAD.split(", ")], "content" in files.columns
+    rows = files.select("path", F.substring("content", 1, size).alias("content")) if content else files.select("path")
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for i, path in enumerate(pdf["path"]):
+                if content:
+                    data = bytes(pdf["content"].iloc[i])
+                else:
+                    store, place = store_of(path)
+                    with store.open_input_file(place) as f:
+                        data = f.read(size)
+                yield pd.DataFrame([(path, *row) for row in head(data, most)], columns=names).astype({"v_long": "Int64"})
+
+    return rows.mapInPandas(run, HEAD)
+
+
 def write(records: list[tuple[str, str, list[tuple[int, bytes]]]]) -> bytes:
     """A log of entries (name, type, [(microseconds, payload)]), in time order; for tests and exports."""
     def record(entry: int, ts: int, payload: bytes) -> bytes:
