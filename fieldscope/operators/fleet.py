@@ -118,23 +118,6 @@ def sync_status(syncs: DataFrame) -> DataFrame:
     return syncs.groupBy("log_id").agg(F.count("*").alias("n"), F.count_if(F.col("level") == "FAILED").alias("failed"), F.avg("confidence").alias("mean_confidence"), F.min("confidence").alias("worst_confidence"))
 
 
-def words_of(name: str | Column) -> Column:
-    """The words of a name, in lower case: cut at signs and at changes of case."""
-    cased = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2")
-    return F.array_distinct(F.filter(F.split(F.lower(cased), "[^a-z0-9]+"), lambda w: F.length(w) > 1))
-
-
-def signal_candidates(entries: DataFrame, signals: DataFrame, most: int = 3) -> DataFrame:
-    """For each signal the `most` entries that share the largest part of its words: signal, entry, score, rank. Joined on the words."""
-    e = entries.select(F.col("entry"), words_of("entry").alias("ew")).distinct()
-    s = signals.select(F.col("signal"), words_of("signal").alias("sw")).distinct()
-    shared = e.select("entry", F.size("ew").alias("ne"), F.explode("ew").alias("word")).join(s.select("signal", F.size("sw").alias("ns"), F.explode("sw").alias("word")), "word")
-    score = F.col("shared") / (F.col("ne") + F.col("ns") - F.col("shared"))
-    pairs = shared.groupBy("signal", "entry", "ne", "ns").agg(F.count("*").alias("shared")).select("signal", "entry", score.alias("score"))
-    rank = F.row_number().over(Window.partitionBy("signal").orderBy(F.desc("score"), "entry"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= most)
-
-
 def with_warnings(df: DataFrame, score: str = "score") -> DataFrame:
     """Each row as a JSON result: success, data, warnings (of low quality)."""
     warnings = F.when(F.col(score) < 0.5, F.array(F.lit("low data quality"))).otherwise(F.array().cast("array<string>"))

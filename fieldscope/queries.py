@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldscope.operators import asof, catalog, series, stats, tools
-from fieldscope.plans import sync
 
 K = ["user_id"]
 
@@ -352,10 +351,3 @@ s AS (SELECT user_id, seq, i, value AS held, CAST(1 AS BIGINT) AS segment FROM n
 SELECT user_id, seq, segment FROM s""")
 def setpoint_segments(spark, sf_dir):
     return series.segments_by_setpoint(events(spark, sf_dir, "click").select("user_id", "seq", "ts", "value"), K).select("user_id", "seq", "segment")
-
-
-@query("SELECT user_id, -1.0 AS offset, 1.0 AS correlation FROM events WHERE event_type = 'click' GROUP BY user_id HAVING count(*) >= 2".replace("offset", '"offset"'))
-def clock_sync(spark, sf_dir):
-    """Each user's clicks against the same series an hour later: offset -3600 s (in units of 3600 s a second)."""
-    e = events(spark, sf_dir, "click").select("user_id", (F.col("ts") / 3600).alias("ts"), "value")
-    return rounded(sync.correlate(e, e.withColumn("ts", F.col("ts") + 1), K), 3)

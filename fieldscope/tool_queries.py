@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldscope.model import SAMPLES
-from fieldscope.operators import catalog, export, fleet, guide, series, stats, tools
+from fieldscope.operators import export, fleet, series, stats, tools
 from fieldscope.plans import sync
 from fieldscope.streaming import events as streams
 
@@ -314,29 +314,8 @@ def list_revlog_signals(spark, sf_dir):
     return fleet.list_signals(table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("entry")).distinct(), "3", "E")
 
 
-_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: length(w) > 1))"
-
-
-@query(f"""WITH a AS (SELECT entry, len(w) AS n, unnest(w) AS word FROM (SELECT entry, {_WORDS.format('entry')} AS w FROM (SELECT DISTINCT p_name AS entry FROM part))), b AS (SELECT signal, len(w) AS n, unnest(w) AS word FROM (SELECT signal, {_WORDS.format('signal')} AS w FROM (SELECT DISTINCT p_brand || p_type || ' ' || p_name AS signal FROM part))),
-p AS (SELECT signal, entry, count(*) / (max(a.n) + max(b.n) - count(*)) AS score FROM a JOIN b USING (word) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY score DESC, entry) AS rank FROM p) SELECT signal, entry, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
-def signal_candidates(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    signals = p.select(F.concat("p_brand", "p_type", F.lit(" "), "p_name").alias("signal"))
-    return rounded(fleet.signal_candidates(p.select(F.col("p_name").alias("entry")), signals))
-
-
 @query("""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, encode(text) AS b, octet_length(encode(text)) AS n FROM documents), h AS (SELECT *, hex(b) AS x FROM d)
 SELECT path, sha256(encode(CAST(n AS VARCHAR)) || unhex(substr(x, 1, 131072)) || CASE WHEN n > 196608 THEN unhex(substr(x, 2 * (n // 2 - 32768) + 1, 131072)) ELSE ''::BLOB END || unhex(substr(x, 2 * greatest(n - 65536, 0) + 1, 131072))) AS fingerprint FROM h""")
 def file_fingerprints(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"), F.octet_length("text").cast("long").alias("length"))
     return fleet.fingerprint(files)
-
-
-@query("SELECT unnest(string_split(names, ' ')) AS name, category FROM (VALUES " + ", ".join(f"('{c}', '{n}')" for c, n in guide.TOOLS.items()) + ") t(category, names)")
-def get_server_guide(spark, sf_dir):
-    return guide.catalog(spark).select("name", "category")
-
-
-@query("SELECT * FROM (VALUES ('power_analysis', 7), ('predict_battery_health', 4), ('find_condition', 4)) t(name, score)")
-def suggest_tools(spark, sf_dir):
-    return catalog.suggest_tools(guide.catalog(spark), "why did the battery voltage drop below the brownout threshold").select("name", "score")

@@ -6,9 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from fieldscope import queries, tool_queries
+from fieldscope import clock_queries, queries, tool_queries
 
-SQL = queries.ORACLE_SQL | tool_queries.ORACLE_SQL
+MODULES = (queries, tool_queries, clock_queries)
+SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 DATA = "/root/testdata/sf0.001"
 
 
@@ -27,10 +28,11 @@ def rows(d):
 
 @pytest.mark.parametrize("name", SQL)
 def test_equals_sql(spark, con, name):
-    got = (queries.QUERIES | tool_queries.QUERIES)[name](spark, DATA).toPandas()
+    got = next(m.QUERIES[name] for m in MODULES if name in m.QUERIES)(spark, DATA).toPandas()
     want = con.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
 def test_every_query_is_registered_once():
-    assert not queries.QUERIES.keys() & tool_queries.QUERIES.keys()
+    names = [n for m in MODULES for n in m.QUERIES]
+    assert len(names) == len(set(names))
