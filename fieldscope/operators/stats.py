@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldscope.model import finite
@@ -89,14 +89,16 @@ def regression(df: DataFrame, keys: Sequence[str], y: str, a: str, b: str, relat
 
 
 def data_quality(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """n, rate, gaps (intervals over five medians), jitter, non-finite values, score and confidence of each series."""
-    w = window(keys)
-    steps = df.withColumn("dt", F.col("ts") - F.lag("ts").over(w))
-    medians = steps.groupBy(*keys).agg(F.percentile("dt", 0.5).alias("median"), F.count("*").alias("n"), F.sum((~finite(F.col("value"))).cast("long")).alias("bad"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    gap = F.col("dt") > 5 * F.col("median")
-    d = steps.select(*keys, "dt").join(medians, list(keys)).groupBy(*keys, "median", "n", "bad", "t0", "t1").agg(
-        F.sum(F.when(gap, 1).otherwise(0)).alias("gaps"), F.coalesce(F.max(F.when(gap, F.col("dt"))), F.lit(0.0)).alias("max_gap"),
-        F.coalesce(F.sum(F.when(gap, F.col("dt"))), F.lit(0.0)).alias("gap_time"), F.sum(F.pow(F.col("dt") - F.col("median"), 2)).alias("squares"),
+    """n, rate, span, gaps (intervals over five medians), jitter, non-finite values, score and confidence of each series.
+
+    One shuffle and one order of a series give its intervals, their median and what is counted against it.
+    """
+    whole = Window.partitionBy(*keys)
+    steps = df.withColumn("dt", F.col("ts") - F.lag("ts").over(window(keys))).withColumn("median", F.percentile("dt", 0.5).over(whole))
+    gap = F.when(F.col("dt") > 5 * F.col("median"), F.col("dt"))
+    d = steps.groupBy(*keys).agg(
+        F.first("median").alias("median"), F.count("*").alias("n"), F.sum((~finite(F.col("value"))).cast("long")).alias("bad"), (F.max("ts") - F.min("ts")).alias("span"),
+        F.count(gap).alias("gaps"), F.coalesce(F.max(gap), F.lit(0.0)).alias("max_gap"), F.coalesce(F.sum(gap), F.lit(0.0)).alias("gap_time"), F.sum(F.pow(F.col("dt") - F.col("median"), 2)).alias("squares"),
     )
     jitter = F.when(F.col("n") > 2, F.sqrt(F.col("squares") / (F.col("n") - 2))).otherwise(0.0)
     d = d.withColumn("jitter", jitter)
@@ -104,10 +106,10 @@ def data_quality(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     uneven = F.when(F.col("median") > 0, F.least(F.col("jitter") / F.nullif(F.col("median"), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     score = 1 - 0.3 * F.least(F.col("gaps") / 20, F.lit(1.0)) - 0.2 * F.least(F.col("bad") / F.col("n"), F.lit(1.0)) - 0.3 * few - 0.2 * uneven
     d = d.withColumn("score", F.when(F.col("n") == 1, 0.4).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))))
-    high = (F.col("score") > 0.8) & (F.col("gap_time") <= 0.1 * (F.col("t1") - F.col("t0")))
+    high = (F.col("score") > 0.8) & (F.col("gap_time") <= 0.1 * F.col("span"))
     confidence = F.when(high, "high").when(F.col("score") > 0.5, "medium").when(F.col("score") > 0.2, "low").otherwise("insufficient")
     rate = F.when(F.col("median") > 0, 1 / F.nullif(F.col("median"), F.lit(0.0))).otherwise(0.0)
-    return d.select(*keys, "n", rate.alias("rate"), F.col("gaps").cast("long").alias("gaps"), "max_gap", "gap_time", "jitter", "bad", "score", confidence.alias("confidence"))
+    return d.select(*keys, "n", rate.alias("rate"), "span", "gaps", "max_gap", "gap_time", "jitter", "bad", "score", confidence.alias("confidence"))
 
 
 def circular_mean(angle: str) -> Column:

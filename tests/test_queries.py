@@ -6,9 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from fieldscope import clock_queries, queries, tool_queries
+from fieldscope import clock_queries, log_queries, queries, tool_queries
 
-MODULES = (queries, tool_queries, clock_queries)
+MODULES = (queries, tool_queries, clock_queries, log_queries)
 SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 DATA = "/root/testdata/sf0.001"
 
