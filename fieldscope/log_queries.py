@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldscope.operators import cycles, quality, stats
-from fieldscope.tool_queries import SIDES, E, events, lerp_sql, rounded
+from fieldscope import registry
+from fieldscope.operators import cycles, quality, stats, tools
+from fieldscope.tool_queries import DAY, HYSTERESIS, SIDES, E, events, lerp_sql, rounded, samples, when
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -64,3 +65,59 @@ def compare_entries_quality(spark, sf_dir):
     out = quality.attach(stats.compare(side("click"), side("view"), ["log_id"]), measured, ["log_id"], "compare_entries")
     q = F.col("data_quality")
     return rounded(out.select("log_id", "n", "rmse", q["n"].alias("samples"), q["gaps"].alias("gaps"), q["score"].alias("score"), q["confidence"].alias("confidence"), F.size("directives.guidance").alias("n_guidance"), F.size("warnings").alias("n_warnings")))
+
+
+@query(f"""WITH RECURSIVE {E}, {SIDES}, {lerp_sql('c', 'v')}, n AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY ts, seq) AS i FROM j WHERE other IS NOT NULL),
+s AS (SELECT log_id, i, ts, value, other, value AS held, CAST(1 AS BIGINT) AS segment FROM n WHERE i = 1 UNION ALL SELECT n.log_id, n.i, n.ts, n.value, n.other, CASE WHEN abs(n.value - s.held) > greatest(abs(s.held) * 0.05, 0.01) THEN n.value ELSE s.held END,
+    s.segment + CASE WHEN abs(n.value - s.held) > greatest(abs(s.held) * 0.05, 0.01) THEN 1 ELSE 0 END FROM s JOIN n ON n.log_id = s.log_id AND n.i = s.i + 1),
+b AS (SELECT *, first_value(ts) OVER w AS b, max(segment) OVER (PARTITION BY log_id) AS last FROM s WINDOW w AS (PARTITION BY log_id, segment ORDER BY i)),
+g AS (SELECT log_id, segment, any_value(held) AS target, any_value(last) AS last, min(ts - b) FILTER (abs(other - value) <= greatest(abs(value) * 0.05, 0.01) AND ts - b > 0.01) AS settling, arg_max(other - held, abs(other - held)) AS error FROM b GROUP BY 1, 2)
+SELECT log_id, count(*) AS segments, count(settling) AS settled, round(avg(settling), 3) AS avg_settling, round(max(settling), 3) AS max_settling, round(min(settling), 3) AS min_settling, round(avg(CASE WHEN segment < last AND abs(target) > 0.001 THEN error * 100 / abs(target) END), 3) AS overshoot_percent FROM g GROUP BY 1""")
+def mechanism_response(spark, sf_dir):
+    """Clicks are setpoints, views the measured values."""
+    e = events(spark, sf_dir)
+    side = lambda k: e.where(F.col("kind") == k).select("log_id", "ts", "seq", "value")
+    return rounded(tools.mechanism_response(side("click"), side("view"), ["log_id"]), 3)
+
+
+@query(f"""WITH {E}, x AS (SELECT log_id, kind, coalesce(v.value > 50, false) AS en FROM (SELECT * FROM e WHERE kind IN ('error', 'click') AND value > 20) l ASOF LEFT JOIN (SELECT log_id AS lid, ts AS vts, value FROM e WHERE kind = 'view') v ON l.log_id = v.lid AND l.ts >= v.vts),
+k AS (SELECT DISTINCT log_id AS kid FROM e WHERE kind = 'view') SELECT log_id, kind AS entry, count(*) AS total, CASE WHEN any_value(kid) IS NOT NULL THEN count(*) FILTER (en) END AS while_enabled, CASE WHEN any_value(kid) IS NOT NULL THEN count(*) FILTER (NOT en) END AS while_disabled FROM x LEFT JOIN k ON kid = log_id GROUP BY 1, 2""")
+def can_errors_by_entry(spark, sf_dir):
+    """Errors and clicks above 20 are messages of a fault, views the enabled state."""
+    text = F.when(F.col("kind").isin("error", "click"), F.when(F.col("value") > 20, F.lit("CAN fault")).otherwise(F.lit("fine")))
+    kind = F.when(F.col("kind") == "view", "boolean").otherwise("string")
+    return tools.can_errors_by_entry(samples(events(spark, sf_dir), {"view": "/DriverStation/Enabled", "error": "error", "click": "click"}, type=kind, v_bool=when(("view",), F.col("value") > 50), v_str=text))
+
+
+PATH_SECONDS = 10 * DAY
+
+
+@query(f"""WITH {E}, {SIDES}, en AS (SELECT log_id, ts, seq, value > 50 AS up FROM e WHERE kind = 'error'), au AS (SELECT l.log_id, l.ts, l.value > 50 AS auto, coalesce(r.up, false) AS enabled FROM (SELECT * FROM e WHERE kind = 'signup') l ASOF LEFT JOIN en r ON l.log_id = r.log_id AND l.ts >= r.ts),
+f AS (SELECT log_id, min(ts) FILTER (auto AND enabled) AS direct, min(ts) FILTER (auto) AS flag_up FROM au GROUP BY 1), fe AS (SELECT f.*, (SELECT min(ts) FROM au WHERE au.log_id = f.log_id AND NOT auto AND ts > flag_up) AS flag_end, (SELECT min(ts) FROM au WHERE au.log_id = f.log_id AND NOT auto AND ts > direct) AS direct_end FROM f),
+fl AS (SELECT fe.*, (SELECT min(ts) FROM en WHERE en.log_id = fe.log_id AND up AND ts >= flag_up AND (flag_end IS NULL OR ts < flag_end)) AS later FROM fe),
+aw AS (SELECT log_id, coalesce(direct, later) AS b, coalesce(CASE WHEN direct IS NOT NULL THEN direct_end ELSE flag_end END, coalesce(direct, later) + {PATH_SECONDS}) AS x FROM fl),
+d AS (SELECT c.log_id, c.ts, sqrt((c.value - v.value) ** 2 + (c.k - v.k) ** 2) AS d FROM c ASOF JOIN v ON c.log_id = v.log_id AND c.ts >= v.ts)
+SELECT log_id, round(sqrt(avg(d * d)), 6) AS rmse, round(max(d), 6) AS max_error, count(*) AS n FROM d JOIN aw USING (log_id) WHERE ts BETWEEN b AND x GROUP BY 1""")
+def follow_path(spark, sf_dir):
+    """Clicks are poses of a path, views those of the robot, found by their names and types."""
+    names = {"error": "/DriverStation/Enabled", "signup": "/DriverStation/Autonomous", "click": "/Auto/TargetPose", "view": "/Drive/OdometryPose"}
+    pose = F.when(F.col("kind").isin("click", "view"), F.create_map(F.lit("x"), F.col("value"), F.lit("y"), F.col("k")))
+    kind = F.when(F.col("kind").isin("click", "view"), "struct:Pose2d").otherwise("boolean")
+    return rounded(tools.follow_path(samples(events(spark, sf_dir), names, type=kind, v_bool=when(("error", "signup"), F.col("value") > 50), v_struct=pose), seconds=PATH_SECONDS))
+
+
+@query(f"""WITH {E}, c AS (SELECT * FROM e), {HYSTERESIS.format(n='b', low='5', high='25')}, l AS (SELECT log_id, event, min(value) FILTER (state = 1) AS lowest FROM b_e WHERE event > 0 GROUP BY 1, 2)
+SELECT log_id, CAST(event AS BIGINT) AS event, round("begin", 6) AS "begin", round("end", 6) AS "end", closed, round(lowest, 6) AS lowest FROM b JOIN l USING (log_id, event)""")
+def hysteresis_by_function(spark, sf_dir):
+    """The table function, from SQL, over every series."""
+    registry.register_functions(spark)
+    series = events(spark, sf_dir).select("log_id", "ts", "seq", "value")
+    return rounded(spark.sql("SELECT * FROM hysteresis_events(TABLE({series}) PARTITION BY log_id ORDER BY (ts, seq), 5.0, 25.0)", series=series))
+
+
+@query(f"""WITH {E}, n AS (SELECT *, lag(value) OVER w AS p, lead(value) OVER w AS x FROM e WINDOW w AS (PARTITION BY log_id, kind ORDER BY ts, seq)) SELECT log_id, kind, seq, round(greatest(abs(value - p), abs(value - x)), 6) AS height FROM n WHERE value > p AND value > x AND greatest(abs(value - p), abs(value - x)) >= 40""")
+def peaks_by_name(spark, sf_dir):
+    """An operator called by its name, with checked arguments."""
+    channels = events(spark, sf_dir).withColumnRenamed("kind", "channel")
+    found = registry.call("find_peaks", channels, keys=["log_id", "channel"], kind="maximum", min_height=40.0)
+    return rounded(found.select("log_id", F.col("channel").alias("kind"), "seq", "height"))

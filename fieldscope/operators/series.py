@@ -14,11 +14,6 @@ def window(keys: Sequence[str], order: Sequence[str] = ("ts", "seq")):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def ahead(keys: Sequence[str], seconds: float) -> str:
-    """The frame of the rows from each row's time to `seconds` later, as SQL: range frames over doubles have no other form."""
-    return f"partition by {', '.join(keys)} order by ts range between current row and {float(seconds)!r}D following"
-
-
 def time_range(df: DataFrame, start: float | None = None, end: float | None = None) -> DataFrame:
     """Inclusive at both ends."""
     df = df if start is None else df.where(F.col("ts") >= start)
@@ -141,18 +136,28 @@ def jumps(df: DataFrame, keys: Sequence[str], x: str, y: str, least: float, orde
 
 
 def segments_by_setpoint(df: DataFrame, keys: Sequence[str], least: float = 0.01, share: float = 0.05) -> DataFrame:
-    """A new segment begins where the setpoint moves by more than max(share * last accepted, least): sequential by definition."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, segment, out = pdf.sort_values(["ts", "seq"]), None, 0, []
-        for v in pdf["value"]:
-            if last is None or abs(v - last) > max(abs(last) * share, least):
-                segment, last = segment + 1, v
-            out.append(segment)
-        return pdf.assign(segment=out)
-
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", segment long")
+    """A new segment begins where the setpoint moves by more than max(share * last accepted, least): sequential by definition.
+
+    Each task reads its series in order, batch by batch, and holds no more than the last accepted value of the series at hand.
+    """
+    keys = list(keys)
+
+    def run(batches):
+        import pyarrow as pa
+
+        series, last, segment = None, None, 0
+        for b in batches:
+            out = []
+            for at, v in zip(zip(*(b.column(k).to_pylist() for k in keys), strict=True), b.column("value").to_pylist(), strict=True):
+                if at != series:
+                    series, last, segment = at, None, 0
+                if v is not None and (last is None or abs(v - last) > max(abs(last) * share, least)):
+                    segment, last = segment + 1, v
+                out.append(segment)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "segment"])
+
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, "ts", "seq")
+    return ordered.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", segment long")
 
 
 def cycles(df: DataFrame, keys: Sequence[str], start: str, end: str | None = None, column: str = "value") -> DataFrame:

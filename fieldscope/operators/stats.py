@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldscope.model import finite
-from fieldscope.operators.asof import lerp
-from fieldscope.operators.series import ahead, window
+from fieldscope.operators.asof import before, hold, lerp
+from fieldscope.operators.series import window
 
 
 def describe(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -132,6 +132,22 @@ def first_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def high_variance_window(df: DataFrame, keys: Sequence[str], seconds: float) -> DataFrame:
-    """The begin of the window of `seconds` with the largest variance in each series."""
-    v = df.withColumn("spread", F.coalesce(F.expr(f"var_samp(value) over ({ahead(keys, seconds)})"), F.lit(0.0)))
-    return v.groupBy(*keys).agg(F.max_by("ts", F.struct("spread", -F.col("ts"))).alias("begin"), F.max("spread").alias("variance"))
+    """The begin of the window of `seconds` with the largest variance of the finite values in each series.
+
+    Sums up to each time, of values less their mean, give every window's variance as a difference of two: linear, whatever a window holds.
+    The variance that is returned is that of the best window's own values.
+    """
+    keys = list(keys)
+    centred = df.where(finite(F.col("value"))).withColumn("value", F.col("value") - F.avg("value").over(Window.partitionBy(*keys)))
+    v = F.col("value")
+    at = centred.groupBy(*keys, "ts").agg(F.count("*").cast("double").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    upto = before(keys, "ts")
+    sums = at.withColumns({f"{c}_upto": F.sum(c).over(upto) for c in ("n", "s", "q")}).withColumn("seq", F.lit(0).cast("long"))
+    right = sums.select(*keys, "ts", "seq", F.struct(*(F.col(f"{c}_upto").alias(c) for c in ("n", "s", "q"))).alias("value"))
+    left = sums.select(*keys, F.col("ts").alias("begin"), (F.col("ts") + float(seconds)).alias("ts"), "seq", *((F.col(f"{c}_upto") - F.col(c)).alias(f"{c}0") for c in ("n", "s", "q")))
+    n, total, squares = (F.col(f"other_value.{c}") - F.col(f"{c}0") for c in ("n", "s", "q"))
+    spread = F.when(n > 1, F.greatest((squares - total * total / n) / F.nullif(n - 1, F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    found = hold(left, right, keys).withColumn("spread", spread)
+    best = found.groupBy(*keys).agg(F.max_by("begin", F.struct("spread", -F.col("begin"))).alias("begin"))
+    inside = df.where(finite(F.col("value"))).join(best, keys).where((F.col("ts") >= F.col("begin")) & (F.col("ts") <= F.col("begin") + float(seconds)))
+    return inside.groupBy(*keys, "begin").agg(F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("variance"))

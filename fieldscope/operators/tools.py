@@ -94,6 +94,17 @@ def can_health(samples: DataFrame) -> DataFrame:
     return out.select("log_id", "total", "while_enabled", F.when(n == 0, "GOOD").when(n < 50, "CONCERNING").otherwise("POOR").alias("assessment"))
 
 
+def can_errors_by_entry(samples: DataFrame) -> DataFrame:
+    """Errors in each string entry that has some: total, while_enabled, while_disabled; null states where the log does not tell them."""
+    lower = F.lower("v_str")
+    errors = samples.where((F.col("type") == "string") & lower.contains("can") & (lower.contains("timeout") | lower.contains("error") | lower.contains("fault"))).select("log_id", "entry", "ts", "seq")
+    en = flags(entries_of(samples, "enabled")).select("log_id", "ts", "seq", "value")
+    known = en.select("log_id").distinct().withColumn("known", F.lit(True))
+    on = F.coalesce("other_value", F.lit(False))
+    counts = asof.hold(errors, en, ["log_id"]).groupBy("log_id", "entry").agg(F.count("*").alias("total"), F.count_if(on).alias("on"), F.count_if(~on).alias("off")).join(known, "log_id", "left")
+    return counts.select("log_id", "entry", "total", F.when(F.col("known"), F.col("on")).alias("while_enabled"), F.when(F.col("known"), F.col("off")).alias("while_disabled"))
+
+
 def compare_matches(samples: DataFrame, entry: str) -> DataFrame:
     return numbers(samples.where(F.col("entry") == entry)).where(finite(F.col("value"))).groupBy("log_id").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"))
 
@@ -166,7 +177,8 @@ def odometry_drift(samples: DataFrame) -> DataFrame:
 
 def ds_timeline(samples: DataFrame, threshold: float = 6.8) -> DataFrame:
     """Enable changes, phase starts and brownouts: log_id, ts, category, event, in no order."""
-    en = series.changes(flags(entries_of(samples, "enabled")), ["log_id"]).select("log_id", "ts", F.lit("enable").alias("category"), F.when(F.col("value"), "ENABLED").otherwise("DISABLED").alias("event"))
+    enabled = _switches(samples).where("kind = 0").withColumnRenamed("flag", "value")  # the same shuffle as that of the phases
+    en = series.changes(enabled, ["log_id"]).select("log_id", "ts", F.lit("enable").alias("category"), F.when(F.col("value"), "ENABLED").otherwise("DISABLED").alias("event"))
     p = match_phases(samples)
     phases = p.select("log_id", F.explode(F.array(F.struct(F.col("auto_start").alias("ts"), F.lit("AUTO_START").alias("event")), F.struct(F.col("teleop_start").alias("ts"), F.lit("TELEOP_START").alias("event")))).alias("e")).select("log_id", "e.ts", F.lit("phase").alias("category"), "e.event").where("ts is not null")
     b = series.hysteresis(numbers(entries_of(samples, "battery")), ["log_id"], threshold, threshold + 0.2)
@@ -205,6 +217,77 @@ def profile_mechanism(setpoint: DataFrame, position: DataFrame, keys: list[str],
     return out
 
 
+def mechanism_response(setpoint: DataFrame, measured: DataFrame, keys: list[str]) -> DataFrame:
+    """segments, settled, settling times (avg_settling, max_settling, min_settling) and overshoot_percent of each series of setpoints.
+
+    The measured value is interpolated at the setpoints' times. A segment settles, for the first time after 10 ms, where that is within 5 % of
+    the setpoint; its overshoot is the largest error in per cent of the target, and segments that another follows count.
+    """
+    rows = asof.lerp(setpoint.select(*keys, "ts", "seq", "value"), measured.select(*keys, "ts", "seq", "value"), keys).where("value is not null and other_value is not null")
+    seg = series.segments_by_setpoint(rows, keys)
+    order = F.struct("ts", "seq")
+    seg = seg.withColumns({c: F.min_by(x, order).over(Window.partitionBy(*keys, "segment")) for c, x in (("begin", "ts"), ("target", "value"))})
+    since, error = F.col("ts") - F.col("begin"), F.col("other_value") - F.col("target")
+    near = F.abs(F.col("other_value") - F.col("value")) <= F.greatest(F.abs("value") * 0.05, F.lit(0.01))
+    one = seg.groupBy(*keys, "segment", "target").agg(F.min(F.when(near & (since > 0.01), since)).alias("settling"), F.max_by(error, F.struct(F.abs(error), -F.col("ts"), -F.col("seq"))).alias("error"))
+    followed = F.col("segment") < F.max("segment").over(Window.partitionBy(*keys))
+    percent = F.when(followed & (F.abs("target") > 0.001), F.col("error") * 100 / F.abs("target"))
+    one = one.withColumn("percent", percent)
+    s = F.col("settling")
+    return one.groupBy(*keys).agg(F.count("*").alias("segments"), F.count(s).alias("settled"), F.avg(s).alias("avg_settling"), F.max(s).alias("max_settling"), F.min(s).alias("min_settling"), F.avg("percent").alias("overshoot_percent"))
+
+
+def mechanism_entries(samples: DataFrame, name: str) -> DataFrame:
+    """log_id, role, entry: the first entries by name that hold the setpoint, measurement, velocity and current of a mechanism."""
+    e = F.lower("entry")
+    has = lambda *words: _or(*(e.contains(w) for w in words))
+    roles = {"setpoint": has("setpoint", "goal"), "measurement": has("position", "actual") & ~has("setpoint"), "velocity": has("velocity"), "current": has("current")}
+    found = samples.where(e.contains(name.lower())).withColumn("role", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(r)) for r, c in roles.items())))))
+    return found.groupBy("log_id", "role").agg(F.min("entry").alias("entry"))
+
+
+def _or(*conditions):
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def profile_by_name(samples: DataFrame, name: str, start: float | None = None, end: float | None = None, stall_current: float = 30.0) -> DataFrame:
+    """A row a log that has the mechanism: agreement, response, number and longest of its stalls."""
+    keys = ["log_id"]
+    roles = mechanism_entries(samples, name)
+    played = numbers(samples).join(roles, ["log_id", "entry"])
+    of = lambda role: series.time_range(played.where(F.col("role") == role), start, end).select("log_id", "ts", "seq", "value")
+    agreement = stats.compare(of("setpoint"), of("measurement"), keys).select("log_id", "n", "rmse")
+    both = asof.lerp(of("velocity"), of("current"), keys)
+    runs = series.islands(both.withColumn("v", F.col("value")).withColumn("value", F.col("other_value")), keys, (F.abs(F.col("v")) < 0.01) & (F.col("other_value") > stall_current))
+    stalls = runs.groupBy("log_id").agg(F.count("*").alias("stalls"), F.max(F.col("end") - F.col("begin")).alias("longest_stall"), F.max("peak").alias("peak_current"))
+    out = roles.select("log_id").distinct()
+    for part in (agreement, mechanism_response(of("setpoint"), of("measurement"), keys), stalls):
+        out = out.join(part, "log_id", "left")
+    return out.na.fill(0, ["stalls"])
+
+
+def path_entries(samples: DataFrame, prefix: str = "") -> DataFrame:
+    """log_id, role (setpoint, actual), entry: the last entries by name that hold the poses of a path and of the robot."""
+    e = F.lower("entry")
+    wanted = _or(*(e.contains(w) for w in ("setpoint", "target", "desired")))
+    actual = ~wanted & _or(*(e.contains(w) for w in ("actual", "estimated", "odometry")))
+    poses = samples.where(F.col("entry").startswith(prefix) & (F.col("type").contains("Pose2d") | F.col("type").contains("Pose3d")))
+    role = F.when(wanted, "setpoint").when(actual, "actual")
+    return poses.withColumn("role", role).where("role is not null").groupBy("log_id", "role").agg(F.max("entry").alias("entry"))
+
+
+def follow_path(samples: DataFrame, prefix: str = "", seconds: float = AUTO_SECONDS) -> DataFrame:
+    """rmse, max_error (metres) and n of the robot's pose, held at the path's times, against the path within the autonomous phase."""
+    poses = samples.select("log_id", "entry", "ts", "seq", "v_struct").join(path_entries(samples, prefix), ["log_id", "entry"]).where("v_struct is not null")
+    of = lambda role: poses.where(F.col("role") == role).select("log_id", "ts", "seq", F.struct(F.col("v_struct")["x"].alias("x"), F.col("v_struct")["y"].alias("y")).alias("value"))
+    both = asof.hold(of("setpoint"), of("actual"), ["log_id"]).where("other_value is not null").join(auto_window(samples, seconds), "log_id").where("ts between auto_start and auto_end")
+    error = F.hypot(F.col("value.x") - F.col("other_value.x"), F.col("value.y") - F.col("other_value.y"))
+    return both.groupBy("log_id").agg(F.sqrt(F.avg(error * error)).alias("rmse"), F.max(error).alias("max_error"), F.count("*").alias("n"))
+
+
 def battery_health(samples: DataFrame, nominal: float = 12.6, brownout: float = 6.8, warning: float = 9.0) -> DataFrame:
     """Lowest and mean voltage, brownouts, warnings, mean recovery (seconds, of logs with a current), score (0 to 100) and risk of each log."""
     v = numbers(entries_of(samples, "battery_health")).where(finite(F.col("value")))

@@ -50,8 +50,9 @@ def get_statistics(spark, sf_dir):
 @query(f"WITH {E} SELECT event_type, {STATS} FROM e WHERE ts BETWEEN (SELECT min(ts) + 86400 FROM e) AND (SELECT min(ts) + 864000 FROM e) GROUP BY event_type")
 def statistics_time_range(spark, sf_dir):
     e = events(spark, sf_dir)
-    first = e.agg(F.min("ts")).first()[0]
-    return rounded(stats.describe(series.time_range(e, first + 86400, first + 864000), ["event_type"]))
+    first = e.agg(F.min("ts").alias("t0"))  # one row, so that the time stays in the plan
+    near = e.join(F.broadcast(first), F.expr("ts between t0 + 86400 and t0 + 864000"))
+    return rounded(stats.describe(near, ["event_type"]))
 
 
 @query(f"""WITH {E}, q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, count(*) AS n FROM e GROUP BY event_type)
