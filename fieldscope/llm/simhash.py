@@ -203,8 +203,41 @@ def near_pairs(rows: DataFrame, n: int, radius: int, shard_rows: int = SHARD_ROW
     return rows.select("node", "fp").mapInArrow(route, f"shard long, node {kind}, fp binary").groupBy("shard").applyInArrow(link, f"a {kind}, b {kind}")
 
 
+#: Up to so many links (of two nodes, at most 100 bytes) are joined by one task, beyond it by rounds over the cluster.
+LOCAL_LINKS = 50_000
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """node, component of links (a, b) that are few: disjoint sets in one task."""
+    kind = ddl(edges, "a")
+
+    def run(batches):
+        up: dict = {}
+        types: list = []
+
+        def find(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for t in batches:
+            types.append(t.schema.field("a").type)
+            for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True):
+                for x in (a, b):
+                    up.setdefault(x, x)
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+        nodes = [x for x in up if find(x) != x]
+        for at in range(0, len(nodes), 10_000):
+            some = nodes[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, types[0]), pa.array([find(x) for x in some], types[0])], ["node", "component"])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(run, f"node {kind}, component {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node of the links (a, b); a written table after each round."""
+    """node, component (its smallest node) of every node of the links (a, b) that is not the smallest itself; a written table after each round."""
     greater = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
 
     def settled(links: DataFrame):
@@ -216,6 +249,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges, state = settled(edges)
     while state[0]:
+        if state[0] <= LOCAL_LINKS:
+            return durable(contracted(edges))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         met = lookup(both, least(both), "a", "held", 2 * state[0])
         large = met.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
@@ -284,6 +319,17 @@ def shingle_order(texts: DataFrame, n: int, shingle: int, share: float = 0.05, l
 CELLS = 2048
 
 
+#: Cells of the folded parities, in words of 64 bits, that travel with the rows of shingles.
+FOLDED = 4
+
+
+def folded(parities: str = "parities"):
+    """The parities in FOLDED words: a cell is the parity of all cells of its number modulo the fewer."""
+    words = CELLS // 64
+    xor = lambda j: "^".join(f"{parities}[{k}]" for k in range(j, words, FOLDED))
+    return [F.expr(xor(j)).alias(f"fold_{j}") for j in range(FOLDED)]
+
+
 def prefix_length(size: int, share: float) -> int:
     return size - math.ceil(share * size - 1e-9) + 1
 
@@ -402,7 +448,8 @@ def copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
         return rows.select(*(F.col(c).alias(c if c == "token" else f"{name}_{c}") for c in rows.columns))
 
     found = merged(None, near_pairs(sets.select(F.col("rep").alias("node"), "fp"), sets.count(), radius))
-    tokens = grouped(sets.select("rep", "size", "prefix"), found).select("rep", "grp", "size", F.posexplode("prefix").alias("at", "token"))
+    folds = [f"fold_{j}" for j in range(FOLDED)]
+    tokens = grouped(sets.select("rep", "size", "prefix", *folded()), found).select("rep", "grp", "size", *folds, F.posexplode("prefix").alias("at", "token"))
     shared = durable(several(tokens))
     # One row of each group against the first of its shingle: as many pairs as rows, which join most of what the tree left apart.
     heads = shared.groupBy("token", F.coalesce("grp", "rep").alias("grp")).agg(F.min("rep").alias("x_rep"))
@@ -410,7 +457,7 @@ def copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
     found = merged(found, possible(heads))
     # Then all pairs of groups that are still apart.
     rest = durable(several(grouped(shared.drop("grp"), found)).withColumn("grp", F.coalesce("grp", "rep")))
-    apart = f"x.token = y.token and x_grp <> y_grp and x_rep < y_rep and {in_place(least)}"
+    apart = f"x.token = y.token and x_grp <> y_grp and x_rep < y_rep and {in_place(least)} and {folds_allow(least)}"
     pairs = side(rest, "x").alias("x").join(side(rest, "y").alias("y"), F.expr(apart)).select("x_rep", "y_rep").distinct()
     found = merged(found, possible(pairs))
     homes = grouped(sets.select("rep", "key", "home", "held"), found).withColumn("grp", F.coalesce("grp", "rep"))
@@ -421,6 +468,12 @@ def sizes_allow(least: float) -> str:
     return f"least(x_size, y_size) >= {least!r} * greatest(x_size, y_size) - 1e-9"
 
 
+def folds_allow(least: float) -> str:
+    """Whether the folded parities leave room for the similarity: each cell that differs is a shingle that only one set has."""
+    odd = " + ".join(f"bit_count(x_fold_{j} ^ y_fold_{j})" for j in range(FOLDED))
+    return f"{odd} <= {(1 - least) / (1 + least)!r} * (x_size + y_size) + 1e-9"
+
+
 def in_place(least: float) -> str:
     """Whether a shingle at the places x_at and y_at can be the first that two sets of the similarity share."""
     share, low = 2 * least / (1 + least), "least(x_size, y_size)"
