@@ -57,4 +57,4 @@ def test_folded_parities_exclude_no_alike_pair(spark):
     sides = [c.alias(f"{s}_fold_{j}") for s in "xy" for j, c in enumerate(simhash.folded(s))]
     kept = {r["i"]: r["kept"] for r in df.select("i", "x_size", "y_size", *sides).select("i", F.expr(simhash.folds_allow(0.8)).alias("kept")).collect()}
     assert all(kept[i] for i, alike in enumerate(wanted) if alike) and sum(wanted) > 50
-    assert sum(not k for k in kept.values()) > 0.7 * (len(wanted) - sum(wanted))
+    assert sum(not k for k in kept.values()) > 0.4 * (len(wanted) - sum(wanted))
