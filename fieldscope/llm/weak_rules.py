@@ -2,8 +2,9 @@
 
 Each rule votes good (+1), bad (-1) or abstains (0), which says nothing. A latent-class model gives each rule an accuracy of its own among
 good and among bad documents (so a rule may err on one side only). Expectation-maximisation with Beta priors estimates these accuracies and
-the share of good documents, and the posterior probability of good decides, in place of demanding that all rules pass. No label is read. Documents of one vote pattern are alike to the model, so only the pattern's count, one of at
-most 3**RULES, comes to the driver; the posterior is then a sum of looked-up log-odds, by DataFrame functions.
+the share of good documents, and the posterior probability of good decides, in place of demanding that all rules pass: a bad vote of a rule
+that often errs on good documents is outvoted by the others. No label is read. Documents of one vote pattern are alike to the model, so only
+the pattern's count, one of at most 3**RULES, comes to the driver; the posterior is then a sum of looked-up log-odds, by DataFrame functions.
 
 Defined results: null text has no words; texts without words fail the base rules; any length; ties and repeated rows are judged row by
 row, and a posterior of exactly 0.5 keeps; an empty table gives no rows; other columns are not read.
@@ -38,6 +39,8 @@ class Measures(NamedTuple):
     letters: int
     plain: int
 
+    whole = 1  # what counts of a text as such are divided by
+
 
 def repeats(words: list[bytes], window: int = 3) -> tuple[int, int]:
     """Words in windows that are found twice or more (the first one included), and words equal to the word before."""
@@ -102,6 +105,10 @@ RULES = (
     Rule("doubled words", "doubled", "n_words", 0, 0.04, 0, 0.15),
     Rule("sentence ends a word", "ends", "n_words", 0.02, 0.4, 0.004, 0.8),
     Rule("repeated lines", "n_dup_lines", "lines", 0, 0.2, 0, 0.5),
+    # Weak on purpose: good texts break these too, so that a bad vote of theirs alone must not decide.
+    Rule("words", "n_words", "whole", 150, 1e9, 80, 1e9),
+    Rule("word length", "word_chars", "n_words", 4.4, 5.8, 3.9, 7),
+    Rule("words a line", "n_words", "lines", 15, 90, 6, 180),
 )
 
 
