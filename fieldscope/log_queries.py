@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldscope import registry
 from fieldscope.operators import cycles, quality, stats, tools
-from fieldscope.tool_queries import DAY, HYSTERESIS, SIDES, E, events, lerp_sql, rounded, samples, when
+from fieldscope.tool_queries import DAY, HYSTERESIS, SIDES, E, events, lerp_sql, rounded, samples, table, when
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -121,3 +121,25 @@ def peaks_by_name(spark, sf_dir):
     channels = events(spark, sf_dir).withColumnRenamed("kind", "channel")
     found = registry.call("find_peaks", channels, keys=["log_id", "channel"], kind="maximum", min_height=40.0)
     return rounded(found.select("log_id", F.col("channel").alias("kind"), "seq", "height"))
+
+
+LONG = f"""WITH l AS (SELECT l_returnflag AS log_id, l_orderkey AS ts, 0 AS seq, avg(l_quantity) AS value FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2), r AS (SELECT l_returnflag AS log_id, l_orderkey AS ts, 0 AS seq, avg(l_discount * 500) AS value FROM lineitem WHERE l_linenumber > 3 GROUP BY 1, 2), {lerp_sql('l', 'r')}
+SELECT log_id, count(*) AS n, round(sqrt(avg((value - other) ** 2)), 6) AS rmse, round(max(abs(value - other)), 6) AS max_diff FROM j WHERE other IS NOT NULL GROUP BY 1"""
+
+
+def _long(spark, sf_dir):
+    """Three series, a third of all orders each: quantities of the first lines against discounts of the later ones."""
+    t = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "log_id")
+    side = lambda rows, value: rows.groupBy("log_id", F.col("l_orderkey").cast("double").alias("ts")).agg(F.avg(value).alias("value")).withColumn("seq", F.lit(0).cast("long"))
+    return side(t.where("l_linenumber <= 3"), F.col("l_quantity")), side(t.where("l_linenumber > 3"), F.col("l_discount") * 500)
+
+
+@query(LONG)
+def compare_long_series(spark, sf_dir):
+    return rounded(stats.compare(*_long(spark, sf_dir), ["log_id"]))
+
+
+@query(LONG)
+def compare_long_series_in_spans(spark, sf_dir):
+    """The same, with each series cut into spans of time."""
+    return rounded(stats.compare(*_long(spark, sf_dir), ["log_id"], every=1000.0))
