@@ -17,11 +17,6 @@ def finite(v: Column) -> Column:
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
 
 
-def numeric(v_num: Column, v_bool: Column) -> Column:
-    """Numbers, and booleans as 1 and 0: the rule of interpolation and RMSE, not of statistics."""
-    return F.coalesce(v_num, v_bool.cast("double"))
-
-
 def has(*parts: str):
     return lambda e: _all(e, parts)
 

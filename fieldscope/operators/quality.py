@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldscope.functions.values import number_or_flag
 from fieldscope.operators import stats
 
 #: Below these samples, seconds or scores a result is called uncertain; gaps count above this share of the samples.
@@ -90,10 +91,8 @@ def attach(result: DataFrame, measured: DataFrame, keys: Sequence[str], tool: st
 
 def of_channels(samples: DataFrame, entries: Column, keys: Sequence[str] = ("log_id",)) -> DataFrame:
     """The worst quality of the samples' entries that a condition picks, a log: one scan and one shuffle whatever their number."""
-    value = F.coalesce("v_num", F.col("v_long").cast("double"), F.col("v_bool").cast("double"))
-    own = samples.where(entries).select(*keys, "entry", "ts", "seq", value.alias("value"), F.coalesce(value.isNull(), F.lit(True)).alias("other"))
-    # A sample that is no number (a state, a pose) is no dropout.
-    own = own.withColumn("value", F.when(F.col("other"), 0.0).otherwise(F.col("value"))).drop("other")
+    value = F.coalesce(number_or_flag(), F.lit(0.0))  # a sample that is no number (a state, a pose) is no dropout
+    own = samples.where(entries).select(*keys, "entry", "ts", "seq", value.alias("value"))
     return worst(measure(own, [*keys, "entry"]), keys)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldscope.functions.values import number
 from fieldscope.model import ROLES, entries_of, finite
 from fieldscope.operators import asof, series, stats
 
@@ -13,7 +14,7 @@ AUTO_SECONDS, TELEOP_SECONDS, ENDGAME_SECONDS = 15.0, 135.0, 20.0
 
 
 def numbers(samples: DataFrame) -> DataFrame:
-    return samples.select("log_id", "entry", "ts", "seq", F.coalesce("v_num", F.col("v_long").cast("double")).alias("value"))
+    return samples.select("log_id", "entry", "ts", "seq", number().alias("value"))
 
 
 def flags(samples: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldscope.functions.values import number
 from fieldscope.model import entries_of, finite
 from fieldscope.operators import asof, pairing
 
@@ -242,7 +243,7 @@ def synchronize(samples: DataFrame, signals: DataFrame, files: DataFrame, hints:
     spans = signals.groupBy("revlog_id").agg(F.min("ts").alias("first"))
     own = files.select(*keys, F.col("start").cast("double").alias("start")).distinct()
     coarse = coarse_offsets(samples, own.join(spans, "revlog_id")).select(*keys, "coarse")
-    numbers = samples.select("log_id", "entry", "type", "seq", "ts", F.coalesce("v_num", F.col("v_long").cast("double")).alias("value"))
+    numbers = samples.select("log_id", "entry", "type", "seq", "ts", number().alias("value"))
     entries = numbers.groupBy("log_id", "entry", "type").agg(F.count("value").alias("n_entry"))
     heard = signals.groupBy("revlog_id", "signal").agg(F.count("value").alias("n_signal"))
     named = heard.withColumn("device", F.substring_index("signal", "/", 1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldscope.functions.values import json_number
 from fieldscope.operators import asof, catalog, series, stats, tools
 
 K = ["user_id"]
@@ -326,7 +327,7 @@ def did_you_mean(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
 def json_extract(spark, sf_dir):
-    k = F.get_json_object("props", "$.k").cast("long")
+    k = json_number("props", "$.k").cast("long")
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldscope.functions.values import json_number
 from fieldscope.model import SAMPLES
 from fieldscope.operators import export, fleet, series, stats, tools
 from fieldscope.plans import sync
@@ -34,7 +35,7 @@ def rounded(df, digits=6):
 def events(spark, sf_dir):
     """log_id, kind, seq, ts (seconds), value, k."""
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("log_id"), F.col("event_type").alias("kind"), F.col("event_id").alias("seq"), us.alias("ts_us"), (us / 1e6).alias("ts"), "value", F.get_json_object("props", "$.k").cast("double").alias("k"), "props")
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("log_id"), F.col("event_type").alias("kind"), F.col("event_id").alias("seq"), us.alias("ts_us"), (us / 1e6).alias("ts"), "value", json_number("props", "$.k").alias("k"), "props")
 
 
 def samples(e, names, **columns):
