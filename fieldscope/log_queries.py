@@ -143,3 +143,20 @@ def compare_long_series(spark, sf_dir):
 def compare_long_series_in_spans(spark, sf_dir):
     """The same, with each series cut into spans of time."""
     return rounded(stats.compare(*_long(spark, sf_dir), ["log_id"], every=1000.0))
+
+
+_Q = lambda q: f"round(quantile_cont(l_extendedprice, {q}), 6)"
+
+
+@query(f"SELECT l_returnflag, l_linestatus, count(*) AS count, round(min(l_extendedprice), 6) AS min, round(max(l_extendedprice), 6) AS max, {_Q(0.5)} AS median, {_Q(0.25)} AS q1, {_Q(0.75)} AS q3, {_Q(0.05)} AS p5, {_Q(0.95)} AS p95 FROM lineitem GROUP BY 1, 2")
+def statistics_of_large_groups(spark, sf_dir):
+    """Few groups with a large share of all rows each: no task gets the values of one."""
+    t = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_extendedprice").alias("value"))
+    return rounded(stats.describe(t, ["l_returnflag", "l_linestatus"], split=True).drop("mean", "std_dev", "iqr"))
+
+
+@query("""WITH q AS (SELECT l_returnflag, quantile_cont(l_quantity * l_discount, 0.25) AS q1, quantile_cont(l_quantity * l_discount, 0.75) AS q3 FROM lineitem GROUP BY 1)
+SELECT l_returnflag, l_orderkey, l_partkey, round(l_quantity * l_discount, 6) AS value FROM lineitem JOIN q USING (l_returnflag) WHERE l_quantity * l_discount < q1 - 1.2 * (q3 - q1) OR l_quantity * l_discount > q3 + 1.2 * (q3 - q1)""")
+def anomalies_of_large_groups(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_partkey", (F.col("l_quantity") * F.col("l_discount")).alias("value"))
+    return rounded(stats.detect_anomalies(t, ["l_returnflag"], 1.2, split=True).select("l_returnflag", "l_orderkey", "l_partkey", "value"))

@@ -69,3 +69,15 @@ def test_one_long_series_takes_time_in_proportion(spark):
     seconds(2_000)
     short, long = seconds(25_000), seconds(100_000)
     assert long < 10 and long < 6 * max(short, 0.4)
+
+
+def test_percentiles_without_a_whole_group_in_a_task(spark):
+    rng = random.Random(12)
+    rows = [("a", rng.gauss(0, 5)) for _ in range(3000)] + [("b", float(rng.choice([1, 1, 1, 2, 7]))) for _ in range(2000)] + [("c", 4.0), ("d", 1.0), ("d", 2.0), ("e", float("nan")), ("f", None)] + [("g", float(i % 3)) for i in range(4)]
+    df = spark.createDataFrame(rows, "log_id string, value double")
+    plain, split = ({r["log_id"]: r for r in stats.describe(df, K, s).collect()} for s in (False, True))
+    assert plain.keys() == split.keys() == set("abcdg")
+    for k, r in plain.items():
+        assert all(split[k][c] == pytest.approx(r[c], rel=1e-12, abs=1e-12) for c in ("count", "min", "max", "median", "q1", "q3", "p5", "p95", "mean"))
+    assert stats.exact_percentiles(df, K, (0.0, 1.0), parts=2).where("log_id = 'd'").first()["p"] == [1.0, 2.0]
+    assert stats.describe(df.where("false"), K, True).count() == 0
