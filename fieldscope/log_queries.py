@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldscope import registry
-from fieldscope.operators import cycles, quality, stats, tools
+from fieldscope.operators import cycles, fleet, quality, stats, tools
 from fieldscope.tool_queries import DAY, HYSTERESIS, SIDES, E, events, lerp_sql, rounded, samples, table, when
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -160,3 +160,27 @@ SELECT l_returnflag, l_orderkey, l_partkey, round(l_quantity * l_discount, 6) AS
 def anomalies_of_large_groups(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_partkey", (F.col("l_quantity") * F.col("l_discount")).alias("value"))
     return rounded(stats.detect_anomalies(t, ["l_returnflag"], 1.2, split=True).select("l_returnflag", "l_orderkey", "l_partkey", "value"))
+
+
+@query("""WITH l AS (SELECT o_orderkey AS log_id, o_orderpriority AS pr, o_custkey % 50 AS n, o_custkey % 7 AS team, epoch(o_orderdate) AS ts, CASE WHEN o_orderstatus = 'F' THEN 'Qualification' WHEN o_orderstatus = 'O' THEN 'Semifinal' ELSE 'Practice' END AS kind, substr(o_orderpriority, 1, 1) AS e FROM orders),
+m AS (SELECT e, CASE WHEN kind = 'Qualification' THEN 'qm' || n ELSE 'sf' || log_id || 'm1' END AS key, team, team + 1 AS other, ts, log_id % 100 AS rs, log_id % 90 AS bs, log_id FROM l WHERE log_id % 5 = 0),
+d AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY e, key ORDER BY log_id) = 1),
+p AS (SELECT e, key, team, 'red' AS alliance, rs AS score, bs AS opp, ts FROM d UNION ALL SELECT e, key, other, 'blue', bs, rs, ts FROM d),
+q AS (SELECT l.log_id, 'qm' || n AS key, l.e, l.team FROM l WHERE kind = 'Qualification'),
+s AS (SELECT l.log_id, l.e, l.team, l.ts FROM l WHERE kind = 'Semifinal'), c AS (SELECT s.log_id, s.e, s.team, p.key, abs(s.ts - p.ts) AS d, p.ts > s.ts AS later FROM s JOIN p ON s.e = p.e AND s.team = p.team AND NOT starts_with(p.key, 'qm') AND abs(s.ts - p.ts) <= 172800),
+b AS (SELECT log_id, e, team, key FROM c QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY d, later, CASE WHEN later THEN key END, key DESC) = 1),
+f AS (SELECT * FROM (SELECT log_id, key, e, team FROM q UNION ALL SELECT s.log_id, b.key, s.e, s.team FROM s LEFT JOIN b USING (log_id)))
+SELECT f.log_id, f.key AS match_key, alliance, score, opp AS opponent_score, score > opp AS won FROM f LEFT JOIN p ON f.e = p.e AND f.team = p.team AND f.key = p.key""")
+def match_enrichment(spark, sf_dir):
+    """Orders are logs: filled ones qualifications, open ones playoffs; every fifth is also a match."""
+    from pyspark.sql import Window
+
+    o = table(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderstatus") == "F", "Qualification").when(F.col("o_orderstatus") == "O", "Semifinal").otherwise("Practice")
+    seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate)").cast("double")
+    event, n, team = F.concat(F.lit("2024e"), F.substring("o_orderpriority", 1, 1)), (F.col("o_custkey") % 50).cast("int"), (F.col("o_custkey") % 7).cast("int")
+    logs = o.select(F.col("o_orderkey").alias("log_id"), event.alias("event"), kind.alias("match_type"), n.alias("match_number"), team.alias("team"), seconds.alias("created"), F.lit(None).cast("double").alias("modified"))
+    key = F.when(kind == "Qualification", F.concat(F.lit("qm"), n.cast("string"))).otherwise(F.concat(F.lit("sf"), F.col("o_orderkey").cast("string"), F.lit("m1")))
+    m = o.where("o_orderkey % 5 = 0").select(F.lit(2024).alias("year"), F.lower(F.substring(event, 5, 9)).alias("event"), key.alias("match_key"), F.array(team).alias("red"), F.array(team + 1).alias("blue"), (F.col("o_orderkey") % 100).alias("red_score"), (F.col("o_orderkey") % 90).alias("blue_score"), seconds.alias("scheduled"), seconds.alias("actual"), F.lit(None).cast("string").alias("zone"), "o_orderkey")
+    one = m.withColumn("n", F.row_number().over(Window.partitionBy("event", "match_key").orderBy("o_orderkey"))).where("n = 1")
+    return fleet.enriched(logs, one, 2 * DAY).select("log_id", "match_key", "alliance", "score", "opponent_score", "won")

@@ -85,6 +85,58 @@ def outcomes(logs: DataFrame, matches: DataFrame) -> DataFrame:
     return logs.join(both, ["event", "match_key", "team"], "left")
 
 
+#: The fields of a score that are told, by season; years that an event's name can hold; the zone of events that name none.
+BREAKDOWN = (
+    "autoPoints", "teleopPoints", "endgamePoints", "foulPoints", "totalPoints", "autoLeavePoints", "autoAmpNotePoints", "autoSpeakerNotePoints", "teleopAmpNotePoints", "teleopSpeakerNotePoints",
+    "autoCoralPoints", "autoAlgaePoints", "teleopCoralPoints", "teleopAlgaePoints", "netAlgaePoints", "bargePoints",
+)
+YEARS, ZONE, CLOCK = (1992, 2100), "America/New_York", "h:mm a"
+
+
+def eligible(logs: DataFrame) -> DataFrame:
+    """Logs of official matches: with event, team and number, of qualifications or playoffs, neither simulated nor replayed."""
+    kind = F.lower("match_type")
+    official = kind.contains("qual") | kind.contains("semi") | kind.contains("final") | kind.contains("elimination")
+    return logs.where((F.length("event") > 0) & F.col("match_number").isNotNull() & F.col("team").isNotNull() & official & ~kind.contains("sim") & ~kind.contains("practice") & ~kind.contains("replay"))
+
+
+def season_year(event: str = "event", modified: str = "modified") -> Column:
+    """The year in an event's name, else that of the file's time (epoch seconds, UTC)."""
+    named = F.regexp_extract(event, r"(\d{4})", 1).try_cast("int")
+    return F.coalesce(F.when(named.between(*YEARS), named), F.year(F.timestamp_seconds(modified)))
+
+
+def enriched(logs: DataFrame, matches: DataFrame, within: float = 7200.0) -> DataFrame:
+    """Eligible logs (log_id, event, match_type, match_number, team, created, modified) with year, match_key, alliance, score, opponent_score,
+    won, and both times of the match as epoch seconds and at the event's clock; nulls where no match is found.
+
+    matches: year, event (code in lower case), match_key, red and blue (teams), red_score, blue_score, scheduled, actual, zone. A qualification
+    is found by its number, a playoff match by the team's one nearest to the log's time (of the file's name, else of the file).
+    """
+    code = F.lower(F.regexp_replace("event", r"^\d{4}", ""))
+    own = eligible(logs).withColumns({"year": season_year(), "code": code, "ts": F.coalesce("created", "modified").cast("double")})
+    sides = []
+    for mine, other in (("red", "blue"), ("blue", "red")):
+        sides.append(matches.select("year", F.col("event").alias("code"), "match_key", F.explode(mine).alias("team"), F.lit(mine).alias("alliance"), F.col(f"{mine}_score").alias("score"), F.col(f"{other}_score").alias("opponent_score"), "scheduled", "actual", "zone"))
+    played = sides[0].unionByName(sides[1]).withColumn("won", F.when((F.col("score") >= 0) & (F.col("opponent_score") >= 0), F.col("score") > F.col("opponent_score")))
+    qualifies = F.lower("match_type").contains("qual")
+    numbered = own.where(qualifies).withColumn("match_key", F.concat(F.lit("qm"), F.col("match_number").cast("string")))
+    key = F.concat_ws("/", F.col("year").cast("string"), "code", F.col("team").cast("string")).alias("of")
+    playoff = played.where(~F.col("match_key").startswith("qm")).select(key, F.coalesce("actual", "scheduled").cast("double").alias("ts"), "match_key").where("ts is not null")
+    near = nearest_match(own.where(~qualifies).withColumns({"of": key, "seq": F.lit(0).cast("long")}), playoff, within, "of").drop("of", "seq", "distance")
+    found = numbered.unionByName(near.select(*numbered.columns)).join(played, ["year", "code", "team", "match_key"], "left")
+    clock = lambda t: F.date_format(F.from_utc_timestamp(F.timestamp_seconds(t), F.coalesce("zone", F.lit(ZONE))), CLOCK)
+    return found.select(*logs.columns, "year", "match_key", "alliance", "score", "opponent_score", "won", "scheduled", clock("scheduled").alias("scheduled_local"), "actual", clock("actual").alias("actual_local"))
+
+
+def score_breakdown(matches: DataFrame, fields: tuple[str, ...] = BREAKDOWN) -> DataFrame:
+    """year, event, match_key, alliance, field, points of the known fields of matches' breakdown (JSON text by alliance)."""
+    parts = F.from_json("breakdown", "map<string,map<string,string>>")
+    told = matches.select("year", "event", "match_key", F.explode(parts).alias("alliance", "own")).where(F.col("alliance").isin("red", "blue"))
+    told = told.select("year", "event", "match_key", "alliance", F.explode("own").alias("field", "value"))
+    return told.where(F.col("field").isin(*fields)).select("year", "event", "match_key", "alliance", "field", F.col("value").try_cast("double").alias("points"))
+
+
 def list_signals(entries: DataFrame, device: str | None = None, signal: str | None = None) -> DataFrame:
     """Signals (entry = device/signal) whose parts contain the filters, in either case."""
     d, s = F.lower(F.substring_index("entry", "/", 1)), F.lower(F.substring_index("entry", "/", -1))

@@ -75,3 +75,26 @@ def test_catalog_of_tools_and_structs(spark):
     assert catalog.suggest_tools(tools, "estimate inertia and torque from current").first()["name"] == "moi_regression"
     sizes = {r["name"]: r["size"] for r in structs.listing(spark).collect()}
     assert sizes["Pose3d"] == 56 and sizes["PoseObservation"] == 88 and sizes["SwerveSample"] == 144 and sizes["TargetObservation"] == 40
+
+
+def test_official_matches_are_looked_up(spark):
+    logs = spark.createDataFrame([
+        ("q", "2025VABLA", "Qualification", 12, 254, None, 1742479509.0), ("p", "vabla2", "Semifinal", 3, 254, 1742490000.0, 1.0), ("far", "VABLA", "Final", 1, 254, 1700000000.0, 1742479509.0), ("sim", "VABLA", "Qualification (sim)", 12, 254, None, 1742479509.0),
+        ("practice", "VABLA", "Practice", 1, 254, None, 1742479509.0), ("noteam", "VABLA", "Qualification", 12, None, None, 1742479509.0), ("other", "VABLA", "Qualification", 13, 254, None, 1742479509.0), ("nothing", None, "Final", 1, 254, None, 1742479509.0),
+    ], "log_id string, event string, match_type string, match_number int, team int, created double, modified double")
+    kind = "year int, event string, match_key string, red array<int>, blue array<int>, red_score int, blue_score int, scheduled double, actual double, zone string, breakdown string"
+    matches = spark.createDataFrame([
+        (2025, "vabla", "qm12", [1, 254], [2, 3], 80, 95, 1742479200.0, 1742479500.0, "America/Los_Angeles", '{"red": {"autoPoints": 20, "x": 1, "bargePoints": "n/a"}, "blue": {"totalPoints": 95.0}, "green": {"autoPoints": 1}}'),
+        (2025, "vabla", "qm13", [1], [254], -1, -1, 1742479200.0, None, None, None),
+        (2025, "vabla2", "sf1m1", [254], [9], 50, 40, 1742488000.0, 1742489000.0, None, None), (2025, "vabla2", "sf2m1", [8], [254], 50, 40, 1742490500.0, 1742490600.0, None, None), (2025, "vabla2", "sf3m1", [8], [9], 1, 0, 1742490000.0, 1742490000.0, None, None),
+    ], kind)
+    r = {x["log_id"]: x for x in fleet.enriched(logs, matches).collect()}
+    assert r.keys() == {"q", "p", "far", "other"}
+    assert (r["q"]["year"], r["q"]["match_key"], r["q"]["alliance"], r["q"]["score"], r["q"]["opponent_score"], r["q"]["won"]) == (2025, "qm12", "red", 80, 95, False)
+    assert (r["q"]["actual_local"], r["q"]["scheduled_local"]) == ("7:05 AM", "7:00 AM")
+    assert r["far"]["match_key"] is None and r["far"]["won"] is None and r["other"]["won"] is None and r["other"]["alliance"] == "blue" and r["other"]["actual_local"] is None
+    assert (r["p"]["match_key"], r["p"]["alliance"], r["p"]["won"]) == (None, None, None)  # by its time the file is of 1970
+    near = fleet.enriched(logs.where("log_id = 'p'").drop("modified").selectExpr("*", "1742490000D as modified"), matches).first()
+    assert (near["match_key"], near["alliance"], near["won"], near["actual_local"]) == ("sf2m1", "blue", False, "1:10 PM")
+    points = {(x["alliance"], x["field"]): x["points"] for x in fleet.score_breakdown(matches).collect()}
+    assert points == {("red", "autoPoints"): 20.0, ("red", "bargePoints"): None, ("blue", "totalPoints"): 95.0}
