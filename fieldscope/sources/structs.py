@@ -21,9 +21,11 @@ LAYOUTS = {
     "SwerveModuleState": ("<2d", "speed_mps angle_rad"),
     "SwerveModulePosition": ("<2d", "distance_m angle_rad"),
     "TargetObservation": ("<4dfi", "yaw_rad pitch_rad skew_rad area confidence objectID"),
-    "PoseObservation": ("<9didi", "timestamp x y z qw qx qy qz ambiguity tagCount averageTagDistance type"),
+    "PoseObservation": ("<9didi", "timestamp pose_x pose_y pose_z pose_qw pose_qx pose_qy pose_qz ambiguity tagCount averageTagDistance type"),
     "SwerveSample": ("<18d", "timestamp x y heading vx vy omega ax ay alpha moduleForcesX_0 moduleForcesX_1 moduleForcesX_2 moduleForcesX_3 moduleForcesY_0 moduleForcesY_1 moduleForcesY_2 moduleForcesY_3"),
 }
+#: Fields that number a name.
+NAMED = {"PoseObservation": ("type", ("MEGATAG_1", "MEGATAG_2", "PHOTONVISION"))}
 OWN: dict[str, tuple[str, str]] = {}
 
 
@@ -47,6 +49,20 @@ def decode(name: str, payload: bytes) -> dict[str, float] | None:
     return out
 
 
+def text_of(name: str, payload: bytes) -> str | None:
+    """What numbers cannot say of a struct: that its payload is too short, or the name that a field numbers. None for all others."""
+    layout = (LAYOUTS | OWN).get(name, (None,))[0]
+    if layout is None:
+        return None
+    if len(payload) < struct.calcsize(layout):
+        return f"insufficient data for {name}"
+    if name in NAMED:
+        field, names = NAMED[name]
+        n = int(decode(name, payload)[field])
+        return names[n] if 0 <= n < len(names) else f"UNKNOWN({n})"
+    return None
+
+
 def decode_array(name: str, payload: bytes) -> list[dict[str, float]] | None:
     layout = (LAYOUTS | OWN).get(name, (None,))[0]
     if layout is None:

@@ -88,8 +88,12 @@ def value(kind: str, p: bytes) -> dict:
         found = structs.decode_array(name.removesuffix("[]"), p)
         if found is not None:
             return {"v_structs": found}
-    elif kind.startswith("struct:") and (found := structs.decode(name, p)) is not None:
-        return {"v_struct": found}
+    elif kind.startswith("struct:"):
+        text, found = structs.text_of(name, p), structs.decode(name, p)
+        if found is not None:
+            return {"v_struct": found, "v_str": text}
+        if text is not None:
+            return {"v_raw": p, "v_str": text}
     return {"v_raw": p, "v_str": p.hex() if len(p) <= 100 else f"<{kind}: {len(p)} bytes>"}
 
 

@@ -188,3 +188,15 @@ def test_stored_alignments_are_not_computed_again(spark, tmp_path, monkeypatch):
     before = {tuple(r) for r in sync_store.load(spark, path).select("key", F.round("offset", 6)).collect()}
     sync_store.save(sync_store.load(spark, path), path)  # saved twice
     assert {tuple(r) for r in sync_store.load(spark, path).select("key", F.round("offset", 6)).collect()} == before
+
+
+def test_what_numbers_cannot_say_of_a_struct():
+    from fieldscope.sources import structs
+
+    seen = struct.pack(structs.LAYOUTS["PoseObservation"][0], *range(9), 2, 3.5, 1)
+    value = wpilog.value("struct:PoseObservation", seen)
+    assert value["v_struct"]["pose_x"] == 1 and value["v_struct"]["tagCount"] == 2 and value["v_str"] == "MEGATAG_2"
+    assert wpilog.value("struct:PoseObservation", seen[:-4] + struct.pack("<i", 9))["v_str"] == "UNKNOWN(9)"
+    short = wpilog.value("struct:Pose2d", b"123")
+    assert short == {"v_raw": b"123", "v_str": "insufficient data for Pose2d"} and wpilog.value("struct:Pose2d", bytes(24))["v_str"] is None
+    assert wpilog.value("struct:Other", b"\1")["v_str"] == "01"
