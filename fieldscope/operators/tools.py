@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldscope.functions import angles
 from fieldscope.functions.values import number
 from fieldscope.model import ROLES, entries_of, finite
 from fieldscope.operators import asof, series, stats
@@ -155,10 +156,11 @@ def steering_sync(samples: DataFrame, threshold_rad: float = 0.1, kind: str = "m
     """Samples, by index, in which a module's angle leaves the circular mean of all modules by more than the threshold."""
     a = samples.where(F.lower("entry").contains(kind) & F.col("v_struct")["angle_rad"].isNotNull()).select("log_id", "entry", "ts", "seq", F.col("v_struct")["angle_rad"].alias("angle"))
     a = a.withColumn("i", F.row_number().over(series.window(["log_id", "entry"])))
-    mean = a.groupBy("log_id", "i").agg(stats.circular_mean("angle").alias("mean"), F.count("*").alias("modules"))
+    sums = a.withColumns({"sin": angles.sine("angle"), "cos": angles.cosine("angle")}).groupBy("log_id", "i").agg(F.sum("sin").alias("sin"), F.sum("cos").alias("cos"))
+    mean = sums.select("log_id", "i", angles.arctan2("sin", "cos").alias("mean"))
     d = F.col("angle") - F.col("mean")
-    off = F.abs(F.atan2(F.sin(d), F.cos(d)))
-    return a.join(mean, ["log_id", "i"]).groupBy("log_id", "entry").agg(F.max(off).alias("max_off"), F.count_if(off > threshold_rad).alias("desynced"))
+    off = a.join(mean, ["log_id", "i"]).select("log_id", "entry", F.abs(angles.arctan2(angles.sine(d), angles.cosine(d))).alias("off"))
+    return off.groupBy("log_id", "entry").agg(F.max("off").alias("max_off"), F.count_if(F.col("off") > threshold_rad).alias("desynced"))
 
 
 def pose(samples: DataFrame, role: str) -> DataFrame:
