@@ -19,7 +19,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], shares: Sequence[float
     """keys, p: exact percentiles (an array, interpolated) of the finite values of each group, of which no task sees the whole.
 
     Edges from a sketch cut a group's values into parts**2 ranges; counts of the ranges tell in which one a rank lies and where, and only the
-    distinct values of that range are ordered. A value that many rows share is counted before it is sent.
+    distinct values of that range are ordered. A value that many rows share is counted before it is sent. The groups are few: their edges are
+    broadcast, since a join by their keys would send all rows to as many tasks.
     """
     keys, ranges = list(keys), parts * parts
     v = df.where(finite(F.col("value"))).select(*keys, F.col("value").cast("double").alias("value"))
@@ -28,14 +29,14 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], shares: Sequence[float
     # The number of edges below a value, looked for among every parts-th edge first.
     below = lambda some: F.size(F.filter(some, lambda e: e < F.col("value")))
     far = F.transform(F.sequence(F.lit(parts), F.lit(ranges - parts), F.lit(parts)), lambda i: F.element_at("edges", i))
-    counted = v.groupBy(*keys, "value").agg(F.count("*").alias("n")).join(groups.select(*keys, "edges"), keys)
+    counted = v.groupBy(*keys, "value").agg(F.count("*").alias("n")).join(F.broadcast(groups.select(*keys, "edges")), keys)
     counted = counted.withColumn("far", below(far)).withColumn("part", F.col("far") * parts + below(F.slice("edges", F.col("far") * parts + 1, F.lit(parts - 1)))).select(*keys, "part", "value", "n")
     upto = before(keys, "part", end=-1)
     sizes = counted.groupBy(*keys, "part").agg(F.sum("n").alias("held")).withColumn("earlier", F.coalesce(F.sum("held").over(upto), F.lit(0)))
     place = F.col("share") * (F.col("total") - 1)
     asked = groups.select(*keys, "total", F.posexplode(F.array(*(F.lit(float(x)) for x in shares))).alias("i", "share")).select(*keys, "i", place.alias("place"), F.explode(F.array(F.floor(place), F.ceil(place))).alias("rank"))
     asked = asked.distinct().join(sizes, keys).where("rank >= earlier and rank < earlier + held").select(*keys, "part", "i", "place", "rank", (F.col("rank") - F.col("earlier")).alias("local"))
-    within = counted.join(asked.select(*keys, "part").distinct(), [*keys, "part"], "left_semi")
+    within = counted.join(F.broadcast(asked.select(*keys, "part").distinct()), [*keys, "part"], "left_semi")
     within = within.withColumn("c0", F.coalesce(F.sum("n").over(before([*keys, "part"], "value", end=-1)), F.lit(0)))
     found = within.join(asked, [*keys, "part"]).where("local >= c0 and local < c0 + n")
     by = F.struct("rank")
@@ -53,14 +54,17 @@ def describe(df: DataFrame, keys: Sequence[str], split: bool = False) -> DataFra
     own = df.where(finite(F.col("value")))
     p = [] if split else [F.percentile("value", F.array(*map(F.lit, SHARES))).alias("p")]
     out = own.groupBy(*keys).agg(F.count("*").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std_dev"), *p)
-    out = out.join(exact_percentiles(own, keys), list(keys)) if split else out
+    out = out.join(F.broadcast(exact_percentiles(own, keys)), list(keys)) if split else out
     return out.select(*keys, "count", "min", "max", "mean", F.col("p")[2].alias("median"), "std_dev", F.col("p")[1].alias("q1"), F.col("p")[3].alias("q3"), (F.col("p")[3] - F.col("p")[1]).alias("iqr"), F.col("p")[0].alias("p5"), F.col("p")[4].alias("p95"))
 
 
 def detect_anomalies(df: DataFrame, keys: Sequence[str], k: float = 1.5, split: bool = False) -> DataFrame:
-    """Rows strictly outside the fences q1 - k iqr and q3 + k iqr of their series, where it has four finite values or more."""
+    """Rows strictly outside the fences q1 - k iqr and q3 + k iqr of their series, where it has four finite values or more.
+
+    With `split` (few series, see describe) the fences are broadcast and the rows stay where they are.
+    """
     fences = describe(df, keys, split).where("count >= 4").select(*keys, (F.col("q1") - k * F.col("iqr")).alias("low"), (F.col("q3") + k * F.col("iqr")).alias("high"))
-    return df.where(finite(F.col("value"))).join(fences, list(keys)).where("value < low or value > high")
+    return df.where(finite(F.col("value"))).join(F.broadcast(fences) if split else fences, list(keys)).where("value < low or value > high")
 
 
 def compare(left: DataFrame, right: DataFrame, keys: Sequence[str], every: float | None = None) -> DataFrame:
