@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldscope import registry
 from fieldscope.operators import cycles, fleet, quality, stats, tools
+from fieldscope.operators.asof import AUTO, TASKS
 from fieldscope.tool_queries import DAY, HYSTERESIS, SIDES, E, events, lerp_sql, rounded, samples, table, when
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -130,13 +131,16 @@ SELECT log_id, count(*) AS n, round(sqrt(avg((value - other) ** 2)), 6) AS rmse,
 def _long(spark, sf_dir):
     """Three series, a third of all orders each: quantities of the first lines against discounts of the later ones."""
     t = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "log_id")
-    side = lambda rows, value: rows.groupBy("log_id", F.col("l_orderkey").cast("double").alias("ts")).agg(F.avg(value).alias("value")).withColumn("seq", F.lit(0).cast("long"))
+    # Orders have few lines each: dealt before they are averaged, among as many tasks as spans.
+    dealt = lambda rows, value: rows.select("log_id", F.col("l_orderkey").cast("double").alias("ts"), value.alias("value")).repartition(TASKS, "log_id", "ts")
+    side = lambda rows, value: dealt(rows, value).groupBy("log_id", "ts").agg(F.avg("value").alias("value")).withColumn("seq", F.lit(0).cast("long"))
     return side(t.where("l_linenumber <= 3"), F.col("l_quantity")), side(t.where("l_linenumber > 3"), F.col("l_discount") * 500)
 
 
 @query(LONG)
 def compare_long_series(spark, sf_dir):
-    return rounded(stats.compare(*_long(spark, sf_dir), ["log_id"]))
+    """Each series cut into spans of about as many rows."""
+    return rounded(stats.compare(*_long(spark, sf_dir), ["log_id"], every=AUTO))
 
 
 @query(LONG)

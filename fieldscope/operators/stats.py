@@ -67,7 +67,7 @@ def detect_anomalies(df: DataFrame, keys: Sequence[str], k: float = 1.5, split:
     return df.where(finite(F.col("value"))).join(F.broadcast(fences) if split else fences, list(keys)).where("value < low or value > high")
 
 
-def compare(left: DataFrame, right: DataFrame, keys: Sequence[str], every: float | None = None) -> DataFrame:
+def compare(left: DataFrame, right: DataFrame, keys: Sequence[str], every: float | str | None = None) -> DataFrame:
     """n, rmse, max_diff of left against right interpolated at its times; `every`: see asof."""
     e = F.col("value") - F.col("other_value")
     return lerp(left, right, keys, every=every).where("other_value is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.max(F.abs(e)).alias("max_diff"))
@@ -108,7 +108,7 @@ def p_value(r: Column, n: Column) -> Column:
     return F.when((n <= 2) | r.isNull(), 1.0).when(n < 15, None).when(F.abs(r) >= 1, 0.0).otherwise(2 * (1 - normal_cdf(deviate)))
 
 
-def time_correlate(left: DataFrame, right: DataFrame, keys: Sequence[str], every: float | None = None) -> DataFrame:
+def time_correlate(left: DataFrame, right: DataFrame, keys: Sequence[str], every: float | str | None = None) -> DataFrame:
     """n, r, p_value of left against right interpolated at its times; series with two pairs or more. `every`: see asof."""
     a, b = (d.where(finite(F.col("value"))) for d in (left, right))
     out = lerp(a, b, keys, every=every).where("other_value is not null").groupBy(*keys).agg(F.count("*").alias("n"), correlation().alias("r")).where("n >= 2")
