@@ -5,12 +5,13 @@ correlated around it; the offsets that correlate agree on a median with a confid
 offsets differ by the drift of the clocks.
 
 Spark prepares each pair: the most active window of the second series and the span of the first that it can meet, so a task holds a bounded
-time of two series however long the logs are. numpy correlates a pair by FFT.
+time of two series however long the logs are. numpy correlates a pair by FFT; a task reads its pairs one after another from sorted rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ FLAT, LEAST_OVERLAP, AT_EDGE = 1e-6, 30, 0.7
 STRONG, USABLE = 0.7, 0.5
 #: Drift: seconds of a recording and of a signal, samples of a half, seconds between the halves, ns a second.
 LONG_RECORDING, LONG_SIGNAL, HALF_SAMPLES, APART, LEAST_DRIFT = 900.0, 600.0, 100, 60.0, 1.0
+#: Rows of results that a task hands over at once; the least number of tasks that correlate.
+ROWS, TASKS = 1000, 64
 
 
 def grid(t, v, rate: float, longest: float) -> tuple[float, np.ndarray]:
@@ -38,27 +41,34 @@ def grid(t, v, rate: float, longest: float) -> tuple[float, np.ndarray]:
 
 
 def best_lag(t1, v1, t2, v2, rate: float = RATE, max_lag: int = MAX_LAG, centre: float | None = None, longest: float = WINDOW + 4 * MAX_LAG / RATE) -> tuple[float, float]:
-    """(seconds to add to the second clock, correlation) at the peak, refined by a parabola. Correlations come from FFTs with running sums.
+    """(seconds to add to the second clock, correlation) at the peak, refined by a parabola.
 
     Lags up to max_lag steps around the one that the offset `centre` means are tried; without it around that at which both series begin.
     """
-    (s1, a), (s2, b) = grid(t1, v1, rate, longest), grid(t2, v2, rate, longest)
-    n = 1 << int(len(a) + len(b)).bit_length()
-    fft = lambda x: np.fft.rfft(x, n)
-    cross = lambda x, y: np.fft.irfft(fft(x) * np.conj(fft(y)), n)
+    return best_lag_of_grids(grid(t1, v1, rate, longest), grid(t2, v2, rate, longest), rate, max_lag, centre)
+
+
+def best_lag_of_grids(first, second, rate: float, max_lag: int, centre: float | None) -> tuple[float, float]:
+    """As best_lag, of two grids. Products are summed by an FFT that is as long as these lags need, all else by running sums."""
+    (s1, a), (s2, b) = first, second
     middle = 0 if centre is None else round((s2 + centre - s1) * rate)
-    lags = np.arange(max(middle - max_lag, 1 - len(b)), min(middle + max_lag, len(a) - 1) + 1)
-    if not len(lags):
+    low, high = max(middle - max_lag, 1 - len(b)), min(middle + max_lag, len(a) - 1)
+    if high < low:
         return float("nan"), 0.0
-    at = lambda c: c[lags % n]
-    one_a, one_b = np.ones_like(a), np.ones_like(b)
+    lags = np.arange(low, high + 1)
+    smaller = min(len(a), len(b))
     a, b = a - a.mean(), b - b.mean()
-    m, sa, sb, saa, sbb, sab = (at(cross(x, y)) for x, y in ((one_a, one_b), (a, one_b), (one_a, b), (a * a, one_b), (one_a, b * b), (a, b)))
-    m = np.round(m)
-    enough = m >= max(LEAST_OVERLAP, OVERLAP * min(len(a), len(b)))
-    mm = np.maximum(m, 1)
-    var = np.maximum(saa / mm - (sa / mm) ** 2, 0) * np.maximum(sbb / mm - (sb / mm) ** 2, 0)
-    r = np.where(enough & (var > 1e-12), (sab / mm - sa * sb / mm**2) / np.sqrt(np.maximum(var, 1e-12)), -1.0)
+    # Sums that wrap around stand at other lags than these.
+    n = 1 << int(max(len(a), len(b), len(a) - low, len(b) + high) - 1).bit_length()
+    sab = np.fft.irfft(np.fft.rfft(a, n) * np.conj(np.fft.rfft(b, n)), n)[lags % n]
+    begin, end = np.maximum(-lags, 0), np.minimum(len(b), len(a) - lags)
+    m = end - begin
+    running = lambda x: np.concatenate(([0.0], np.cumsum(x)))
+    over = lambda x, shift: (lambda c: c[end + shift] - c[begin + shift])(running(x))
+    sa, saa, sb, sbb = over(a, lags), over(a * a, lags), over(b, 0), over(b * b, 0)
+    enough = m >= max(LEAST_OVERLAP, OVERLAP * smaller)
+    var = np.maximum(saa / m - (sa / m) ** 2, 0) * np.maximum(sbb / m - (sb / m) ** 2, 0)
+    r = np.where(enough & (var > 1e-12), (sab / m - sa * sb / m**2) / np.sqrt(np.maximum(var, 1e-12)), -1.0)
     i = int(np.argmax(r))
     peak, shift = float(r[i]), 0.0
     if 0 < i < len(r) - 1:
@@ -91,18 +101,38 @@ def active_windows(df: DataFrame, keys: Sequence[str], seconds: float = WINDOW)
     return best.select(*keys, (F.col("part") * width).alias("begin"), ((F.col("part") + PARTS) * width).alias("end"))
 
 
-def paired(a: pd.DataFrame, b: pd.DataFrame, centre: float, rate: float, max_lag: int):
-    """(offset, correlation, samples, middle) of two prepared series; no offset where they are too short, flat or apart."""
-    a, b = (d[np.isfinite(d["value"])].sort_values("ts", kind="stable") for d in (a, b))
+def paired(a, b, centre: float, rate: float, max_lag: int):
+    """(offset, correlation, samples, middle) of two prepared series (times in order, values); no offset where they are too short, flat or apart."""
+    (ta, va), (tb, vb) = ((t[ok], v[ok]) for t, v in (a, b) for ok in (np.isfinite(v),))
     failed = None, 0.0, 0, None
-    if min(len(a), len(b)) < LEAST_SAMPLES:
+    if min(len(ta), len(tb)) < LEAST_SAMPLES:
         return failed
     longest = WINDOW + 4 * max_lag / rate
-    x, y = (grid(d["ts"], d["value"], rate, longest)[1] for d in (a, b))
+    one, two = grid(ta, va, rate, longest), grid(tb, vb, rate, longest)
+    x, y = one[1], two[1]
     if min(len(x), len(y)) < LEAST_OVERLAP or min(np.std(x, ddof=1), np.std(y, ddof=1)) < FLAT:
         return failed
-    offset, r = best_lag(a["ts"], a["value"], b["ts"], b["value"], rate, max_lag, centre, longest)
-    return (float(offset), float(r), min(len(x), len(y)), float(b["ts"].median())) if np.isfinite(offset) and r > -0.5 else failed
+    offset, r = best_lag_of_grids(one, two, rate, max_lag, centre)
+    return (float(offset), float(r), min(len(x), len(y)), float(np.median(tb))) if np.isfinite(offset) and r > -0.5 else failed
+
+
+def together(frames: Iterable[pd.DataFrame], keys: Sequence[str], columns: Sequence[str]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """(key, arrays of the columns) of frames in which the rows of a key follow each other; the rows of one key and one frame are held."""
+    held, last = [], None
+    whole = lambda: held[0] if len(held) == 1 else [np.concatenate(c) for c in zip(*held, strict=True)]
+    for d in frames:
+        if d.empty:
+            continue
+        own, values = d[list(keys)], [d[c].to_numpy() for c in columns]
+        starts = np.flatnonzero((own != own.shift()).any(axis=1))
+        for i, j, key in zip(starts, [*starts[1:], len(d)], own.iloc[starts].itertuples(index=False, name=None), strict=True):
+            if held and key != last:
+                yield last, whole()
+                held = []
+            last = key
+            held.append([v[i:j] for v in values])
+    if held:
+        yield last, whole()
 
 
 PAIR = "offset double, correlation double, samples int, middle double"
@@ -133,25 +163,36 @@ def correlate(first: DataFrame, second: DataFrame, keys: Sequence[str], centres:
     own = own.join(windows, [*keys, "half"]).where("ts >= begin and ts < end")
     # The first series can meet the window anywhere within reach of the centre; a half is searched around an offset found within it.
     wide = F.lit(reach) * F.when(F.col("half") == 0, 1).otherwise(2)
-    met = windows.join(span, keys).select(*keys, "half", (F.col("begin") + F.col("centre") - wide).alias("low"), (F.col("end") + F.col("centre") + wide).alias("high"))
+    met = windows.join(span, keys).select(*keys, "half", "centre", (F.col("begin") + F.col("centre") - wide).alias("low"), (F.col("end") + F.col("centre") + wide).alias("high"))
     other = first.select(*keys, "ts", F.col("value").cast("double").alias("value")).join(met, keys).where("ts between low and high")
 
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        of = lambda d, h: d[d["half"] == h]
-        start = float(b["centre"].iloc[0]) if len(b) else 0.0
-        whole = paired(of(a, 0), of(b, 0), start, rate, max_lag)
-        row = [*key, *whole]
-        for h in (1, 2):
-            x, y = of(a, h), of(b, h)
-            usable = whole[0] is not None and min(len(x), len(y)) >= HALF_SAMPLES
-            offset, r, _, middle = paired(x, y, whole[0], rate, max_lag) if usable else (None, None, 0, None)
-            row += [offset, r, middle]
-        return pd.DataFrame([row], columns=[*keys, *(c.split()[0] for c in f"{PAIR}, {HALVES}".split(", "))])
+    columns = [*keys, *(c.split()[0] for c in f"{PAIR}, {HALVES}".split(", "))]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for key, (part, centre, ts, value) in together(frames, keys, ("part", "centre", "ts", "value")):
+            cuts = np.searchsorted(part, range(7))
+            series = [(ts[i:j], value[i:j]) for i, j in itertools.pairwise(cuts)]
+            whole = paired(series[0], series[3], float(centre[0]), rate, max_lag)
+            row = [*key, *whole]
+            for x, y in zip(series[1:3], series[4:], strict=True):
+                usable = whole[0] is not None and min(len(x[0]), len(y[0])) >= HALF_SAMPLES
+                offset, r, _, middle = paired(x, y, whole[0], rate, max_lag) if usable else (None, None, 0, None)
+                row += [offset, r, middle]
+            rows.append(row)
+            if len(rows) == ROWS:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     kinds = ", ".join(f"{k} {first.schema[k].dataType.simpleString()}" for k in keys)
-    named = lambda d, *more: d.select(*(F.col(c).alias(c) for c in (*keys, "ts", "value", "half", *more)))
-    sides = named(other), named(own, "centre")
-    return sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInPandas(run, f"{kinds}, {PAIR}, {HALVES}")
+    # A part is one of both sides and of the whole and its halves. Sorted rows come in batches of many pairs: a pair is too little for a batch of
+    # its own. They are few bytes for the work that they make, so that their number of tasks is not left to their size.
+    part = lambda d, side: d.select(*keys, (F.col("half") + 3 * side).alias("part"), "centre", "ts", "value")
+    tasks = max(TASKS, int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = part(other, 0).unionByName(part(own, 1)).repartition(tasks, *keys).sortWithinPartitions(*keys, "part", "ts", "value")
+    return rows.mapInPandas(run, f"{kinds}, {PAIR}, {HALVES}")
 
 
 def consensus(pairs: DataFrame, keys: Sequence[str], least: float = 0.3, full_pairs: int = 3, spread: float = 0.05) -> DataFrame:
